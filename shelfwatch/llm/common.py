@@ -36,3 +36,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def hashed_bucket(*cols: str | Column, n: int) -> Column:
     """A bucket from 0 to n-1 that depends on the values alone, so a repeated task gives the same rows."""
     return F.pmod(F.xxhash64(*cols), F.lit(n))
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the named public tokenizer file lies; it is part of every worker's Python environment."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
