@@ -1 +1,8 @@
 """Storefront SEO and best-seller analytics as Spark operators. See README.md."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel with their code, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
