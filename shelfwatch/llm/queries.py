@@ -6,10 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import audio, chat, linededup, packing, quality, simhash, wordpiece
+from . import audio, chat, decontaminate, licenses, linededup, packing, quality, simhash, wordpiece
 from .common import read_table, tokenizer_path
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+OP1_SQL = r"""
+WITH items AS (
+  SELECT min(item_id) AS item_id, words FROM (
+    SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS words FROM benchmark
+  ) WHERE len(words) > 0 GROUP BY words
+), wanted AS (
+  SELECT DISTINCT item_id, array_to_string(words[p : p + least(len(words), 5) - 1], ' ') AS shingle
+  FROM (SELECT *, unnest(range(1, len(words) - least(len(words), 5) + 2)) AS p FROM items)
+), sizes AS (
+  SELECT item_id, count(*) AS n FROM wanted GROUP BY item_id
+), said AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS words FROM documents
+), spans AS (
+  SELECT DISTINCT doc_id, array_to_string(words[p : p + 4], ' ') AS shingle FROM (SELECT *, unnest(range(1, len(words) - 3)) AS p FROM said)
+)
+SELECT s.doc_id, w.item_id, CAST(z.n AS INTEGER) AS item_shingles, count(*) AS matched
+FROM spans s JOIN wanted w ON s.shingle = w.shingle JOIN sizes z ON z.item_id = w.item_id
+GROUP BY s.doc_id, w.item_id, z.n HAVING 10 * count(*) >= 8 * z.n
+"""
+
+
 def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = audio.media_columns(read_table(spark, sf_dir, "documents"))
     return stored.select(
@@ -29,6 +54,31 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    values = lambda rows: ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in rows)
+    spelled = ", ".join(f"{quoted(a)}: {quoted(b)}" for a, b in licenses.SPELLINGS.items())
+    digest = lambda t: rf"""sha256(array_to_string(list_transform(list_filter(string_split_regex(
+  regexp_replace(lower(coalesce({t}, '')), '(?m)^[^\p{{L}}\p{{N}}\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$', '', 'g'),
+  '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: coalesce(MAP {{{spelled}}}[w], w)), ' '))"""
+    return f"""
+WITH licenses(license_id, text) AS (VALUES {values(licenses.LICENSES)}),
+notices(license_id, text) AS (VALUES {values(licenses.NOTICES)}),
+known AS (SELECT {digest('text')} AS digest, min(license_id) AS license_id FROM licenses GROUP BY 1),
+granted AS (SELECT {digest('text')} AS digest, min(license_id) AS license_id FROM notices GROUP BY 1),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents),
+found AS (SELECT l.doc_id, string_agg(DISTINCT g.license_id, ',' ORDER BY g.license_id) AS notices
+          FROM (SELECT doc_id, {digest('text')} AS digest FROM lines) l JOIN granted g ON l.digest = g.digest GROUP BY l.doc_id),
+whole AS (SELECT doc_id, {digest('text')} AS digest FROM documents)
+SELECT w.doc_id, w.digest, k.license_id, coalesce(f.notices, '') AS notices
+FROM whole w LEFT JOIN known k ON w.digest = k.digest LEFT JOIN found f ON w.doc_id = f.doc_id
+"""
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -94,8 +144,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_mpeg_audio": op2_mpeg_audio,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_license_scan": op4_license_scan,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_counts": op6_token_counts,
     "op7_chat_formatting": op7_chat_formatting,
@@ -104,6 +156,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": OP1_SQL,
+    "op4_license_scan": _license_sql(),
     "op7_chat_formatting": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
 }
