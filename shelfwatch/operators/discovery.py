@@ -66,7 +66,7 @@ def crawl_frontier(links: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame
     visited = seeds.select("url").distinct().withColumn("round", F.lit(0))
     frontier = visited
     for k in range(1, rounds + 1):
-        step = frontier.join(links, frontier["url"] == links["source"]).select(links["target"].alias("url")).distinct()
+        step = frontier.select("url").join(links.select(F.col("source").alias("url"), "target"), "url").select(F.col("target").alias("url")).distinct()
         frontier = step.join(visited, "url", "left_anti").withColumn("round", F.lit(k))
         visited = visited.unionByName(frontier)
     return visited
