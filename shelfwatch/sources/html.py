@@ -24,6 +24,7 @@ class _Elements(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
         self.stack: list[dict] = []
+        self.root: dict = {"last": None}
 
     def _close(self, at: int) -> None:
         del self.stack[at:]
@@ -39,10 +40,10 @@ class _Elements(HTMLParser):
                     break
         parent = self.stack[-1] if self.stack else None
         node = {"ord": len(self.nodes), "tag": tag, "attrs": {k: v or "" for k, v in reversed(attrs)}, "parts": [], "parent": parent, "next": None, "last": None}
-        if parent is not None:
-            if parent["last"] is not None:
-                parent["last"]["next"] = node
-            parent["last"] = node
+        holder = parent or self.root
+        if holder["last"] is not None:
+            holder["last"]["next"] = node
+        holder["last"] = node
         self.nodes.append(node)
         if tag not in VOID:
             self.stack.append(node)
