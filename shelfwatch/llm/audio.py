@@ -155,34 +155,35 @@ def _seek_table(frame: bytes, side: int) -> dict | None:
 def read_stream(data: bytes) -> dict:
     """Frames of a stream: payload, samples, rate, offsets, good and bad checksums, lost bytes, stated frames.
 
-    After bytes that are no frame, the next header counts only if another header, the end or an ID3v1 tag
-    follows its frame. A frame cut short by the end is lost.
+    A header counts if its checksum is right, or if another header, the end or an ID3v1 tag follows its frame;
+    from anything else the search goes on byte by byte. A frame cut short by the end is lost.
     """
     end = len(data) - 128 if data[-128:-125] == b"TAG" and len(data) >= 128 else len(data)
     at, texts = _tags(data)
-    offsets, bodies, good, bad, lost, samples, table, kind, sure = [], [], 0, 0, 0, 0, None, None, True
+    offsets, bodies, good, bad, lost, samples, table, kind = [], [], 0, 0, 0, 0, None, None
     while at + 4 <= end:
         head = frame_header(data[at : at + 4])
         fits = head is not None and at + head[0] <= end and (kind is None or head[5] == kind)
-        if fits and not sure:
-            after = at + head[0]
+        right = False
+        if fits:
+            after, side = at + head[0], head[4]
+            if head[3]:
+                right = checksum(data[at + 2 : at + 4] + data[at + 6 : at + 6 + side]) == int.from_bytes(data[at + 4 : at + 6], "big")
             follows = frame_header(data[after : after + 4]) if after + 4 <= end else None
-            fits = after == end or follows is not None and follows[5] == head[5]
+            fits = right or after == end or follows is not None and follows[5] == head[5]
         if not fits:
             step = data.find(b"\xff", at + 1, end)
             step = end if step < 0 else step
-            lost, at, sure = lost + step - at, step, False
+            lost, at = lost + step - at, step
             continue
         size, count, _, protected, side, _ = head
-        first, sure = kind is None, True
+        first = kind is None
         kind = head[5]
         if first and (found := _seek_table(data[at : at + size], side)) is not None:
             table = found
         else:
             body = at + 4 + side + (CRC if protected else 0)
             if protected:
-                stated = int.from_bytes(data[at + 4 : at + 6], "big")
-                right = checksum(data[at + 2 : at + 4] + data[at + 6 : at + 6 + side]) == stated
                 good, bad = good + right, bad + (not right)
             offsets.append(at)
             bodies.append(data[body : at + size])
