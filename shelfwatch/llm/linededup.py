@@ -129,7 +129,8 @@ def repeated_keys(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, key): the keys that a document loses."""
     suspects = cut_lineage(_suspects(docs, bits))
     ends = suspects.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other"))
-    repeated = ends.where("keeper <> other").select("key", "keeper")
+    # A stored side has no partitioning that the join must keep, so a hot key's rows may be split over tasks.
+    repeated = cut_lineage(ends.where("keeper <> other").select("key", "keeper"))
     return suspects.join(repeated, "key").where("doc_id <> keeper").select("doc_id", "key")
 
 
