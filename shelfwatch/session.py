@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -23,3 +26,9 @@ def build(master: str = "local[*]", app: str = "shelfwatch", **extra: str) -> Sp
     for key, value in (SETTINGS | extra).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which all executors share; a temporary one only where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
