@@ -81,7 +81,8 @@ register("degenerate_title", ("page_seo",), lambda p: facts(p).select("page_id",
 register("page_empty_flag", ("page_seo",), lambda p: fields(p).select("page_id", "empty"), f"WITH {FACTS} SELECT page_id, coalesce(ld_name, og_title, h1) IS NULL AND coalesce(ld_description, og_description, meta) IS NULL AND n_structured = 0 AS empty FROM f")
 _WARNED = " UNION ALL ".join(f"SELECT page_id, warned FROM (SELECT page_id, {s} FROM f)" for s in FIVE.values())
 register("field_warnings", ("page_seo",), lambda p: fields(p).select("page_id", F.size("warnings").alias("warned")), f"WITH {FACTS} SELECT page_id, CAST(sum(warned) AS INT) AS warned FROM ({_WARNED}) GROUP BY page_id")
-register("seo_snapshot", ("page_seo",), lambda p: fields(p).select("page_id", U.host(F.col("url")).alias("domain"), F.to_json(F.struct("title", "description", "canonical_url", "product_title", "product_description", "warnings")).alias("snapshot")))
+register("seo_snapshot", ("page_seo",), lambda p: fields(p).select("page_id", U.host(F.col("url")).alias("domain"), F.to_json(F.struct(*[F.struct(F.col(f"{n}.source").alias("source"), F.size(f"{n}.warnings").alias("warned")).alias(n) for n in FIVE])).alias("snapshot")),
+         f"WITH {FACTS} SELECT page_id, domain, '{{' || string_agg('\"' || n || '\":{{\"source\":\"' || source || '\",\"warned\":' || warned::VARCHAR || '}}', ',' ORDER BY k) || '}}' AS snapshot FROM (" + " UNION ALL ".join(f"SELECT page_id, {_host('url')} AS domain, '{n}' AS n, {k} AS k, source, warned FROM (SELECT page_id, url, {s} FROM f)" for k, (n, s) in enumerate(FIVE.items())) + ") GROUP BY page_id, domain")
 _FF = {
     "title": _chain(("title_tag", "'title_tag'", "0.95", "0"), ("og_title", "'og:title'", "0.9", "0"), ("tw_title", "'twitter:title'", "0.85", "0"), ("ld_name", "'jsonld:Product.name'", "0.95", "0"), ("h1", "'h1'", "0.65", "1"), none="not_found"),
     "description": _chain(("meta", "'meta_description'", "0.9", "0"), ("og_description", "'og:description'", "0.85", "0"), ("ld_description", "'jsonld:Product.description'", "0.95", "0"), none="not_found"),
@@ -100,4 +101,5 @@ register("store_title_audit", ("page_seo",), lambda p: E.store_title_audit(facts
 register("field_coverage", ("page_seo",), lambda p: E.field_coverage(fields(p)),
          f"WITH {FACTS}, r AS (" + " UNION ALL ".join(f"SELECT {_host('url')} AS host, '{n}' AS field, source, confidence, value IS NULL AS missing FROM (SELECT url, {s} FROM f)" for n, s in FIVE.items())
          + ") SELECT coalesce(field, '*') AS field, coalesce(source, '*') AS source, coalesce(host, '*') AS host, count(*) AS pages, round(avg(confidence), 6) AS confidence, round(avg(CASE WHEN missing THEN 1.0 ELSE 0 END), 6) AS missing FROM r GROUP BY ROLLUP (field, source, host)")
-register("label_section_text", ("pages",), lambda p: E.label_section_text(html_elements(p.withColumn("html", F.concat(F.lit("<div><h3>Product Details "), F.col("page_id").cast("string"), F.lit("</h3><p>"), F.regexp_extract("html", "<p><b>([^<]{0,60})", 1), F.lit("</p></div>"))), NEAR, NEAR)))
+register("label_section_text", ("pages",), lambda p: E.label_section_text(html_elements(p.withColumn("html", F.concat(F.lit("<div><h3>Product Details "), F.col("page_id").cast("string"), F.lit("</h3><p>"), F.regexp_extract("html", "<p><b>([^<]{0,60})", 1), F.lit("</p></div>"))), NEAR, NEAR)),
+         f"SELECT page_id, label_text FROM (SELECT page_id, {_text(_tag('<p><b>([^<]{0,60})'))} AS label_text FROM pages) WHERE length(label_text) >= 30")

@@ -11,7 +11,7 @@ from ..operators import ranking as R
 from ..sources import tables as S
 from ..sources.html import html_elements
 from .registry import columns, register
-from .url_text import _path, _resolve
+from .url_text import _param, _path, _resolve
 
 _c = F.col
 # Fetch outcomes.
@@ -60,7 +60,9 @@ register("collection_rollup", ("fetch_log",), lambda f: D.collection_rollup(P.fe
 register("crawl_frontier", ("part",), lambda p: D.crawl_frontier(p.select(_c("p_partkey").cast("string").alias("source"), (_c("p_partkey") * 2).cast("string").alias("target")).unionByName(p.select(_c("p_partkey").cast("string").alias("source"), (_c("p_partkey") * 3).cast("string").alias("target"))), p.where("p_partkey IN (1, 5, 7)").select(_c("p_partkey").cast("string").alias("url")), 4), """
 WITH RECURSIVE l AS (SELECT p_partkey AS s, p_partkey * 2 AS t FROM part UNION ALL SELECT p_partkey, p_partkey * 3 FROM part), r AS (SELECT p_partkey AS u, 0 AS n FROM part WHERE p_partkey IN (1, 5, 7) UNION SELECT l.t, r.n + 1 FROM r JOIN l ON r.u = l.s WHERE r.n < 4)
 SELECT CAST(u AS VARCHAR) AS url, CAST(min(n) AS INT) AS round FROM r GROUP BY u""")
-register("next_page_url", ("pages",), lambda p: D.next_page_url(html_elements(p.withColumn("html", F.concat(F.lit('<ul class="pagination"><li><a href="?page=1">1</a><li><a href="?page=2">2</a><li><a href="?page=3">3</a></ul>'), F.when(_c("page_id") % 2 == 0, F.lit('<link rel="next" href="?page=9">')).otherwise(""), "html")), ("a", "link"))))
+register("next_page_url", ("pages",), lambda p: D.next_page_url(html_elements(p.withColumn("html", F.concat(F.lit('<ul class="pagination"><li><a href="?page=1">1</a><li><a href="?page=2">2</a><li><a href="?page=3">3</a></ul>'), F.when(_c("page_id") % 2 == 0, F.lit('<link rel="next" href="?page=9">')).otherwise(""), "html")), ("a", "link"))),
+         f"""WITH u AS (SELECT page_id, url, coalesce(try_cast({_param('url', 'page')} AS INT), 1) AS now, {_resolve("'?page=9'", 'url')} AS far FROM pages), r AS (SELECT *, {_resolve("'?page=' || (now + 1)::VARCHAR", 'url')} AS next FROM u)
+SELECT page_id, CASE WHEN now + 1 <= 3 THEN next ELSE far END AS next_url FROM r WHERE now + 1 <= 3 OR (page_id % 2 = 0 AND regexp_replace(far, '#.*$', '') <> regexp_replace(url, '#.*$', ''))""")
 
 # Ranking.
 _GRID = lambda p: p.select(_c("p_partkey").cast("long").alias("page_id"), F.lit("https://shop.example.com/collections/all").alias("url"), F.concat(F.lit('<nav><a href="/products/menu">Menu</a></nav><div class="upsell"><a href="/products/up">Up</a></div><div id="product-grid"><ul><li><a href="/products/a-'), _c("p_partkey").cast("string"), F.lit('"><img src="/i.jpg" alt="Alt '), _c("p_name"), F.lit('"></a><li class="card"><h3>Head '), _c("p_name"), F.lit('</h3><img data-src="/card.png"><a href="/products/b"></a></ul></div><a href="/about">About</a>')).alias("html"))
