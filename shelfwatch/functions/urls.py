@@ -30,6 +30,11 @@ def _or_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def scheme(u: Column) -> Column:
     return _or_null(F.lower(F.regexp_extract(u, URL, 1)))
 
@@ -128,24 +133,34 @@ def host_same_ignoring_www(a: Column, b: Column) -> Column:
 def set_param(u: Column, name: str, value: Column) -> Column:
     """Give a parameter one value, in place of its first occurrence or at the end; null removes it."""
     is_it = lambda p: F.split_part(p, F.lit("="), F.lit(1)) == name
-    there = F.exists(_params(u), is_it)
     pair = F.concat(F.lit(f"{name}="), value)
-    first = F.array_position(F.transform(_params(u), is_it), True) - 1
-    replaced = F.filter(F.transform(_params(u), lambda p, i: F.when(i == first, pair).when(~is_it(p), p)), lambda p: p.isNotNull())
-    dropped = F.filter(_params(u), lambda p: ~is_it(p))
-    return _with_query(u, F.when(value.isNull(), dropped).when(there, replaced).otherwise(F.array_append(_params(u), pair)))
+
+    def changed(params: Column) -> Column:
+        first = F.array_position(F.transform(params, is_it), True) - 1
+        replaced = F.filter(F.transform(params, lambda p, i: F.when(i == first, pair).when(~is_it(p), p)), lambda p: p.isNotNull())
+        dropped = F.filter(params, lambda p: ~is_it(p))
+        return F.when(value.isNull(), dropped).when(F.exists(params, is_it), replaced).otherwise(F.array_append(params, pair))
+
+    return _let(_let(_params(u), changed), lambda params: _with_query(u, params))
 
 
 def safe_redirect_target(requested: Column, location: Column) -> Column:
     """Where a redirect may lead: the same host and collection; lost sort_by and page are put back. Else null."""
-    target = url_resolve(location, requested)
-    same = host_same_ignoring_www(host(requested), host(target)) & (collection_handle(requested) == collection_handle(target))
     sort, page = param(requested, "sort_by"), param(requested, "page")
-    lost_sort = (F.coalesce(sort, F.lit("")) != "") & ~param(target, "sort_by").eqNullSafe(sort)
-    sorted_target = F.when(lost_sort, set_param(target, "sort_by", sort)).otherwise(target)
-    lost_page = (F.coalesce(page, F.lit("")) != "") & (F.coalesce(param(target, "page"), F.lit("")) == "")
-    final = F.when(lost_page, set_param(sorted_target, "page", page)).otherwise(sorted_target)
-    return F.when(same & (final != requested), final)
+
+    def sorted_again(target: Column) -> Column:
+        lost = (F.coalesce(sort, F.lit("")) != "") & ~param(target, "sort_by").eqNullSafe(sort)
+        return F.when(lost, set_param(target, "sort_by", sort)).otherwise(target)
+
+    def paged_again(target: Column) -> Column:
+        lost = (F.coalesce(page, F.lit("")) != "") & (F.coalesce(param(target, "page"), F.lit("")) == "")
+        return F.when(lost, set_param(target, "page", page)).otherwise(target)
+
+    def followed(target: Column) -> Column:
+        same = host_same_ignoring_www(host(requested), host(target)) & (collection_handle(requested) == collection_handle(target))
+        return F.when(same, _let(_let(sorted_again(target), paged_again), lambda final: F.when(final != requested, final)))
+
+    return _let(url_resolve(location, requested), followed)
 
 
 def redirect_away(target: Column, landed: Column) -> Column:
