@@ -23,7 +23,17 @@ SPELLINGS = {
     "realise": "realize", "recognise": "recognize", "signalling": "signaling", "sublicence": "sublicense",
     "utilisation": "utilization", "whilst": "while", "wilful": "willful",
 }
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+# A notice names a year or a holder: clauses stay that a line happens to open with 'copyright', as does a grant behind a notice.
+_CLAUSE = (
+    r"acts?|and|applies|as|claims?|conditions?|disclaimers?|for|grants?|holders?|if|in|information|infringements?|interests?|is|laws?|licen[sc]e[sd]?|"
+    r"licensors?|may|materials?|notices?|of|on|or|owners?|owned|patents?|permissions?|protection|registrations?|rights?|shall|statements?|terms?|that|"
+    r"this|to|trademarks?|treat(?:y|ies)|under|with|works?"
+)
+_GRANT = r"permission is hereby granted|permission to use|redistribution and use|this software is provided"
+COPYRIGHT_LINE = (
+    rf"(?m)^[^\p{{L}}\p{{N}}\n]*(?:(?:copyright(?![\p{{L}}\p{{N}}])(?![ \t]+(?:{_CLAUSE})(?![\p{{L}}\p{{N}}]))|\(c\)|©)[^\n]*?(?=(?:{_GRANT})|$)"
+    r"|all rights reserved[^\p{L}\p{N}\n]*$)"
+)
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
