@@ -29,10 +29,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
+#: The most rows of a side that is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def sized(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table, marked for broadcast if it has few rows."""
+    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
+
+
 def hashed_bucket(*cols: str | Column, n: int) -> Column:
     """A bucket from 0 to n-1 that depends on the values alone, so a repeated task gives the same rows."""
     return F.pmod(F.xxhash64(*cols), F.lit(n))

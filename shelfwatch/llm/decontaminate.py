@@ -11,11 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, sized
 
 WORDS, SIMILARITY = 5, 0.8
-#: The most rows of a build side that is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 200_000
 
 
 def words(text: str) -> Column:
@@ -23,11 +21,6 @@ def words(text: str) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), "")
 
 
-def sized(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A stored table, marked for broadcast if it has few rows."""
-    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
-
-
 def _spans(tokens: DataFrame, width: int, keys: list[str]) -> DataFrame:
     """(keys, words) -> a row for each place where ``width`` words stand in a row: keys, words, size, at."""
     room = F.size("words") - width

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .decontaminate import sized
+from .common import sized
 from .license_texts import LICENSES, NOTICES
 
 # Spellings that the public matching guidelines for licences hold equivalent.

@@ -1,27 +1,31 @@
 """Exact line dedup across documents; two Bloom filters choose the lines that have to be shuffled.
 
-Each task marks the hashes of its lines in a sparse copy of two filters, for keys seen once and seen twice. The
-copies are folded by segment: a bit that two tasks have seen once is a bit seen twice, so a key of two documents
-has all its bits in the twice-seen filter wherever its lines lie. That filter has a fixed size and is broadcast.
-Only keys it holds are suspects; they are shuffled as text, pre-aggregated, confirmed exactly, and the least
-doc_id keeps its lines. A table with more lines than the filter is made for has more suspects, not other results.
+A line's key is told by a 128-bit digest of its text. First only the 8 bytes of its upper half travel, once for each
+batch of documents, dealt by value: every task holds the two filters, for keys seen once and seen twice, of its own
+share of all hashes, so filters grow with the number of tasks and are never gathered or broadcast. What a task sees
+again is a suspect, and so is what one batch holds in two documents. Only suspects are then shuffled with both halves
+of their digests, confirmed exactly, and the least doc_id keeps its lines. Texts are not shuffled unless the lost keys
+are too many to be broadcast. A full filter makes more suspects, not other results.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WHITE, cut_lineage
+from .common import WHITE, cut_lineage, sized
 
 LEAST_CHARS = 10
-#: Bits of each filter (16 MiB), of a segment of it, and the bits that a key sets.
-FILTER_BITS, SEGMENT_BITS, HASHES = 27, 20, 2
+#: Bits of each of a task's two filters (16 MiB), and the bits that a key sets.
+FILTER_BITS, HASHES = 27, 2
+#: Hashes that a task gathers before it sends what is distinct among them.
+GATHERED = 1 << 20
+#: The most suspects, and the most lost keys, that are broadcast (16 bytes each); beyond that joins shuffle.
+BROADCAST_KEYS = 400_000
 _PAD = WHITE.encode()
 
 
@@ -34,134 +38,148 @@ def line_keys(text: bytes) -> list[bytes | None]:
     return keys
 
 
-def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """The filter bits of each hash, a row of HASHES positions."""
-    step = np.uint64(64 // HASHES)
-    return np.stack([(hashes >> np.uint64(k) * step) & np.uint64((1 << bits) - 1) for k in range(HASHES)], axis=1)
+def key_digest(key: bytes) -> bytes:
+    return blake2b(key, digest_size=16).digest()
 
 
-def _hashes(keys) -> np.ndarray:
-    keys = list(keys)
-    return np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys))
+def _digests(text: bytes | None) -> set[bytes]:
+    return {key_digest(key) for key in set(line_keys(text or b"")) if key is not None}
 
 
-def _segments(positions: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Sorted distinct positions by segment: as numbers, or as a bitmap where that is smaller."""
-    cuts = np.nonzero(np.diff(positions >> SEGMENT_BITS))[0] + 1
-    for part in np.split(positions, cuts) if len(positions) else []:
-        low = (part & ((1 << SEGMENT_BITS) - 1)).astype(np.uint32)
-        yield int(part[0] >> SEGMENT_BITS), low.tobytes() if 32 * len(low) < 1 << SEGMENT_BITS else _bitmap(low).tobytes()
+def _halves(digests: list[bytes]) -> np.ndarray:
+    """A row of two longs for each digest."""
+    return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
 
 
-def _bitmap(low: np.ndarray) -> np.ndarray:
-    flags = np.zeros(1 << SEGMENT_BITS, np.uint8)
-    flags[low] = 1
-    return np.packbits(flags, bitorder="little")
+def key_hashes(docs: DataFrame) -> DataFrame:
+    """(text, ...) -> (h, twice): hashes of keys, distinct in each batch; ``twice`` if two documents of it hold the key."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def distinct() -> pa.RecordBatch:
+            hashes, counts = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(counts > 1)], ["h", "twice"])
 
-def _read(stored: bytes) -> np.ndarray:
-    full = len(stored) == 1 << (SEGMENT_BITS - 3)
-    return np.frombuffer(stored, np.uint8) if full else _bitmap(np.frombuffer(stored, np.uint32))
+        held, size = [], 0
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                held.append(_halves(list(_digests(text)))[:, 0])
+                size += len(held[-1])
+                if size >= GATHERED:
+                    yield distinct()
+                    held, size = [], 0
+        if size:
+            yield distinct()
 
+    return docs.select("text").mapInArrow(run, "h long, twice boolean")
 
-def twice_seen(docs: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """The bytes of the filter of keys that lie in two documents at least (and of some others)."""
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[np.ndarray] = []
-        for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                seen.append(_hashes(set(line_keys(text or b"")) - {None}))
-        if not seen:
-            return
-        hashes, counts = np.unique(np.concatenate(seen), return_counts=True)
-        once = dict(_segments(np.unique(_positions(hashes, bits)).astype(np.int64)))
-        twice = dict(_segments(np.unique(_positions(hashes[counts > 1], bits)).astype(np.int64)))
-        rows = [{"segment": s, "once": x, "twice": twice.get(s, b"")} for s, x in once.items()]
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("segment", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())]))
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, once, twice = None, None, None
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zlib.compress(twice, 1)], pa.binary())], ["segment", "twice"])
+class Filter:
+    """A Bloom filter over 64-bit hashes."""
+
+    def __init__(self, bits: int):
+        self.mask, self.octets = np.uint64((1 << bits) - 1), np.zeros(1 << (bits - 3), np.uint8)
+
+    def _bits(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        mixed = hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for k in range(HASHES):
+            at = mixed >> np.uint64(64 // HASHES * k) & self.mask
+            yield at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        found = np.ones(len(hashes), bool)
+        for octet, bit in self._bits(hashes):
+            found &= self.octets[octet] & bit > 0
+        return found
+
+    def add(self, hashes: np.ndarray) -> None:
+        for octet, bit in self._bits(hashes):
+            np.bitwise_or.at(self.octets, octet, bit)
+
+
+def suspects(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """(h): the hashes of all keys that two documents hold, and of some others.
+
+    A task keeps 8 bytes of each of its hashes until both filters are complete. There are as many tasks as the input
+    has partitions at least, so that its share doesn't grow with the corpus; a key that all batches hold is one row of each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice, held = Filter(bits), Filter(bits), []
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["segment"] != at:
-                    if at is not None and twice.any():
-                        yield out()
-                    at, once, twice = row["segment"], *np.zeros((2, 1 << (SEGMENT_BITS - 3)), np.uint8)
-                new = _read(row["once"])
-                twice |= once & new
-                twice |= _read(row["twice"])
-                once |= new
-        if at is not None and twice.any():
-            yield out()
-
-    marked = docs.select("text").mapInArrow(mark, "segment int, once binary, twice binary")
-    folded = marked.repartition("segment").sortWithinPartitions("segment").mapInArrow(fold, "segment int, twice binary")
-    found = np.zeros((1 << (bits - SEGMENT_BITS), 1 << (SEGMENT_BITS - 3)), np.uint8)
-    for segment, stored in folded.collect():  # at most the fixed size of the filter
-        found[segment] = np.frombuffer(zlib.decompress(stored), np.uint8)
-    return found.reshape(-1)
-
-
-def _suspects(docs: DataFrame, bits: int) -> DataFrame:
-    """(doc_id, key): each document's keys that the filter holds."""
-    shared = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, bits))
+            hashes, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            times = np.bincount(at, weights=1 + batch.column(1).to_numpy(zero_copy_only=False), minlength=len(hashes))
+            twice.add(hashes[(times > 1) | once.holds(hashes)])
+            once.add(hashes)
+            held.append(hashes)
+        for hashes in held:
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[twice.holds(hashes)])], ["h"])
+
+    found = key_hashes(docs)
+    tasks = max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return found.repartition(tasks, "h").mapInArrow(run, "h long").distinct()
+
+
+def held_keys(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, ...) -> distinct (doc_id, h, rest) of each row: the halves of the digests of its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = shared.value
         for batch in batches:
-            ids, keys = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                own = list(set(line_keys(text or b"")) - {None})
-                at = _positions(_hashes(own), bits)
-                hit = (filled[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(axis=1)
-                keep = [own[k] for k in np.nonzero(hit)[0].tolist()]
-                keys += keep
-                ids += [doc] * len(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "key"])
+            found = [_digests(text) for text in batch.column(1).cast(pa.binary()).to_pylist()]
+            rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            halves = _halves([d for f in found for d in f])
+            columns = [batch.column(0).take(pa.array(rows)), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "rest"])
 
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return known.mapInArrow(run, "doc_id long, key binary")
+    return known.mapInArrow(run, "doc_id long, h long, rest long")
 
 
 def repeated_keys(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """(doc_id, key): the keys that a document loses."""
-    suspects = cut_lineage(_suspects(docs, bits))
-    ends = suspects.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other"))
+    """(doc_id, h, rest): the keys that a document loses."""
+    known = docs.where("doc_id is not null").select("doc_id", "text")
+    wanted = sized(cut_lineage(suspects(known, bits)), BROADCAST_KEYS)
+    held = cut_lineage(held_keys(known).join(wanted, "h").select("doc_id", "h", "rest"))
+    ends = held.groupBy("h", "rest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other"))
     # A stored side has no partitioning that the join must keep, so a hot key's rows may be split over tasks.
-    repeated = cut_lineage(ends.where("keeper <> other").select("key", "keeper"))
-    return suspects.join(repeated, "key").where("doc_id <> keeper").select("doc_id", "key")
+    repeated = cut_lineage(ends.where("keeper <> other").select("h", "rest", "keeper"))
+    return held.join(sized(repeated, BROADCAST_KEYS), ["h", "rest"]).where("doc_id <> keeper").select("doc_id", "h", "rest").distinct()
 
 
-def line_dedup(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+def line_dedup(docs: DataFrame, bits: int = FILTER_BITS, counts: bool = True) -> DataFrame:
     """(doc_id, text, ...) -> the same rows and columns with the kept text, and n_lines, n_dropped (longs).
 
     A key of ten code points or more that at least two documents hold loses all its lines except in the
     smallest doc_id that holds it; there they all stay. Other lines stay, joined by a line feed. A null text
     counts as one empty line and becomes an empty text. Rows that share a doc_id count as one document and each
     loses the same keys. Rows without a doc_id lose nothing and take nothing. An empty table gives an empty one.
-    Columns that are named n_lines or n_dropped already are replaced.
+    Columns that are named n_lines or n_dropped already are replaced, unless ``counts`` is off; then these two are
+    not made. Any other name may be used by the caller.
     """
-    lost = repeated_keys(docs, bits).groupBy(F.col("doc_id").alias("_lost_doc")).agg(F.collect_set("key").alias("_lost_keys"))
+    lost = cut_lineage(repeated_keys(docs, bits))
+    few = lost.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    of_doc = lost.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("h", "rest")).alias("keys"))
 
     @F.arrow_udf("struct<text:string,n_lines:bigint,n_dropped:bigint>")
     def kept(texts: pa.Array, losses: pa.Array) -> pa.Array:
         out, lines, dropped = [], [], []
-        for text, loss in zip(texts.cast(pa.binary()).to_pylist(), losses.to_pylist(), strict=True):
+        for text, loss in zip(texts.cast(pa.binary()).to_pylist(), losses, strict=True):
             text = text or b""
             lines.append(text.count(b"\n") + 1)
             dropped.append(0)
-            if loss:
-                gone = set(loss)
-                stay = [line for line, key in zip(text.split(b"\n"), line_keys(text), strict=True) if key not in gone]
+            if loss.is_valid:
+                gone = {(x["h"], x["rest"]) for x in loss.as_py()}
+                keys = line_keys(text)
+                own = {key: tuple(_halves([key_digest(key)])[0].tolist()) in gone for key in set(keys) - {None}}
+                stay = [line for line, key in zip(text.split(b"\n"), keys, strict=True) if not own.get(key)]
                 dropped[-1] = lines[-1] - len(stay)
                 text = b"\n".join(stay)
             out.append(text)
         columns = [pa.array(out, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
         return pa.StructArray.from_arrays(columns, ["text", "n_lines", "n_dropped"])
 
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*names, F.col("doc_id").cast("long").alias("_own_doc")).join(lost, F.col("_own_doc") == F.col("_lost_doc"), "left")
-    made = joined.withColumn("_kept", kept("text", "_lost_keys"))
-    return made.select(*[F.col("_kept.text").alias("text") if c == "text" else c for c in names], "_kept.n_lines", "_kept.n_dropped")
+    added = ["n_lines", "n_dropped"] if counts else []
+    names = [c for c in docs.columns if c not in added]
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*names).alias("row"))  # the caller's names lie inside
+    rows = rows.join(F.broadcast(of_doc) if few else of_doc, "id", "left")
+    made = rows.select("row", kept("row.text", "keys").alias("made"))
+    return made.select(*[F.col("made.text").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in names], *[f"made.{c}" for c in added])

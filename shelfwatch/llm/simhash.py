@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, sized
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -207,12 +207,17 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return marked.join(classes.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def drop_copies(docs: DataFrame, components: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is null or is its own component's in (doc_id, component_id); texts are not shuffled if few go."""
+    gone = cut_lineage(components.where("doc_id <> component_id").select(F.col("doc_id").alias("copy")).distinct())
+    return docs.join(sized(gone), F.col("doc_id").cast("long") == F.col("copy"), "left_anti")
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """Keep the document with the least doc_id of each component, with all its columns.
 
-    Of rows with one doc_id one stays. Rows without a doc_id can't be named as anyone's copy and all stay.
+    Rows that share a doc_id are one document: all stay if any of them is the first of its component.
+    Rows without a doc_id can't be named as anyone's copy and all stay.
     """
-    found = simhash_components(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
-    return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    found = simhash_components(docs.where("doc_id is not null"))
+    return drop_copies(docs, found.groupBy("doc_id").agg(F.max("component_id").alias("component_id")))
