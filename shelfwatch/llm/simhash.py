@@ -209,8 +209,8 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame, components: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is null or is its own component's in (doc_id, component_id); texts are not shuffled if few go."""
-    gone = cut_lineage(components.where("doc_id <> component_id").select(F.col("doc_id").alias("copy")).distinct())
-    return docs.join(sized(gone), F.col("doc_id").cast("long") == F.col("copy"), "left_anti")
+    gone = cut_lineage(components.where("doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
