@@ -404,7 +404,7 @@ def test_markup_that_is_not_article():
     page = """<head><title>T</title><body><div id="cookie-banner">We use cookies</div><header><h1>Site</h1></header><main><article class="post"><header><h1>Title &amp; more</h1></header>
     <p>One<br>two <b>bo</b>ld<p>Three<ul><li>a<li>b</ul><aside>side</aside><form>f</form><div class="share-buttons">share</div><script>if (a < b) {}</script></article>
     <section id="comments"><article class="comment">nice</article></section></main><footer>foot</footer>"""
-    assert htmltext.blocks(page) == (["Title & more", "One two bold", "Three", "a", "b"], [])
+    assert htmltext.main_blocks(htmltext.blocks(page)) == ["Title & more", "One two bold", "Three", "a", "b"]
 
 
 def test_host_boilerplate_without_articles(spark):
