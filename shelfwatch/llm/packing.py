@@ -22,7 +22,7 @@ from .common import cut_lineage, hashed_bucket
 
 CAPACITY = 2048
 #: Pieces of a shard on average, islands of a shard, rounds between migrations, population, generations a round.
-SHARD, ISLANDS, ROUNDS, POPULATION, GENERATIONS = 8192, 2, 2, 3, 3
+SHARD, ISLANDS, ROUNDS, POPULATION, GENERATIONS = 8192, 3, 3, 6, 10
 #: Characters of text that are tokenised at once.
 SLICE = 8 << 20
 
@@ -118,15 +118,50 @@ def fitness(assigned: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[i
 
 
 def crossover(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+    """A child of a: well-filled whole bins of b go in, a's bins that hold one of their pieces go, displaced pieces are best-fit."""
     fill = np.bincount(b, weights=lengths)
     inject = (fill >= np.quantile(fill, 0.5)) & (rng.random(len(fill)) < 0.5)
     moved = inject[b]
     hit = np.zeros(int(a.max()) + 1, bool)
     hit[a[moved]] = True
-    hit |= (np.bincount(a, weights=lengths) < 0.6 * capacity) & (rng.random(len(hit)) < 0.5)  # mutation: poor bins dissolve
     child = np.where(moved, b + len(hit), a)
-    loose = np.nonzero(hit[a] & ~moved)[0]
-    return best_fit(child, loose[np.argsort(-lengths[loose], kind="stable")], lengths, capacity)
+    loose = hit[a] & ~moved
+    return refill(child, loose, lengths, capacity)
+
+
+def mutate(a: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+    """A few bins, the poorest first of all, are emptied and their pieces best-fit again."""
+    fill = np.bincount(a, weights=lengths)
+    out = rng.random(len(fill)) < np.where(fill < np.quantile(fill, 0.1), 0.5, min(0.2, 3 / len(fill)))
+    return refill(a, out[a], lengths, capacity)
+
+
+def refill(assigned: np.ndarray, loose: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Best-fit the loose pieces, the longest first; before that a loose piece may take the place of a shorter one that fills its bin worse."""
+    assigned, loose = np.where(loose, -1, assigned), loose.copy()
+    order = np.argsort(assigned, kind="stable")
+    order = order[assigned[order] >= 0]
+    free = np.nonzero(loose)[0]
+    if len(free) and len(order):
+        fill = np.bincount(assigned[order], weights=lengths[order]).astype(np.int64)
+        pool = free[np.argsort(lengths[free], kind="stable")]
+        sizes = lengths[pool]
+        used = np.zeros(len(pool), bool)
+        # For each placed piece the longest loose one that still fits in its stead.
+        at = np.searchsorted(sizes, capacity - fill[assigned[order]] + lengths[order], side="right") - 1
+        gain = np.where(at >= 0, sizes[np.maximum(at, 0)] - lengths[order], 0)
+        changed = np.zeros(len(fill), bool)
+        for k in np.argsort(-gain, kind="stable"):
+            if gain[k] <= 0:
+                break
+            piece, other, bin_ = order[k], at[k], assigned[order[k]]
+            if used[other] or changed[bin_]:
+                continue
+            used[other] = changed[bin_] = True
+            assigned[pool[other]], assigned[piece] = bin_, -1
+            loose[pool[other]], loose[piece] = False, True
+    free = np.nonzero(loose)[0]
+    return best_fit(assigned, free[np.argsort(-lengths[free], kind="stable")], lengths, capacity)
 
 
 def evolve(lengths: np.ndarray, seeds: list[np.ndarray], capacity: int, rng: np.random.Generator) -> np.ndarray:
@@ -142,8 +177,10 @@ def evolve(lengths: np.ndarray, seeds: list[np.ndarray], capacity: int, rng: np.
     for _ in range(GENERATIONS):
         if rank(crowd[0])[0] <= bound or len(crowd) < 2:
             break
-        pairs = [rng.choice(len(crowd), 2, replace=False) for _ in range(2)]
-        crowd = sorted(crowd + [crossover(crowd[i], crowd[j], lengths, capacity, rng) for i, j in pairs], key=rank)[:POPULATION]
+        pairs = [rng.choice(len(crowd), 2, replace=False) for _ in range(POPULATION // 2)]
+        born = [crossover(crowd[i], crowd[j], lengths, capacity, rng) for i, j in pairs]
+        born += [mutate(crowd[int(rng.integers(len(crowd)))], lengths, capacity, rng) for _ in range(2)]
+        crowd = sorted(crowd + born, key=rank)[:POPULATION]
     return crowd[0]
 
 
@@ -171,18 +208,18 @@ def pack(found: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Data
     """Pieces with ``length`` 1 to ``capacity`` and any other columns -> the same rows, sequence_id and offset.
 
     Pieces of one sequence lie behind one another without a gap. Full pieces are sequences of their own.
-    Repeated rows are packed each for itself; an empty table gives an empty table.
+    Repeated rows are packed each for itself; an empty table gives an empty table. Columns that are named
+    sequence_id or offset already are replaced; any other name may be used by the caller.
     """
-    names = found.columns
-    found = cut_lineage(found)  # so that the row numbers below stay when a task runs again
-    rows = found.withColumn("row", F.monotonically_increasing_id())
-    full = rows.where(F.col("length") >= capacity).select(*names, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    part = rows.where(F.col("length") < capacity)
+    names = [c for c in found.columns if c not in ("sequence_id", "offset")]
+    found = cut_lineage(found.select(F.col("length").cast("int").alias("size"), F.struct(*names).alias("own")))
+    rows = found.withColumn("row", F.monotonically_increasing_id())  # stored rows keep their numbers when a task runs again
+    full = rows.where(F.col("size") >= capacity).select("own", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    part = rows.where(F.col("size") < capacity)
     shards = max(1, ceil(part.count() / shard))
     part = part.withColumn("shard", hashed_bucket("row", n=shards).cast("long"))
-    item = F.struct(F.col("length").alias("size"), "row", *names)
-    grouped = cut_lineage(part.groupBy("shard").agg(F.sort_array(F.collect_list(item), asc=False).alias("items")))
-    islands = grouped.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("items.size").cast("array<int>").alias("lengths"))
+    grouped = cut_lineage(part.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("size", "row", "own")), asc=False).alias("items")))
+    islands = grouped.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("items.size").alias("lengths"))
     islands = islands.repartition(ceil(shards * ISLANDS / 4), "shard", "island")  # few rows, but much work in each
     none = F.lit(None).cast("array<int>")
     state = cut_lineage(_round(islands.select("*", none.alias("elite"), none.alias("guest")), 0, capacity))
@@ -191,7 +228,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Data
         state = cut_lineage(_round(state.join(sent, ["shard", "island"]), number, capacity))
     best = state.groupBy("shard").agg(F.min_by("elite", F.struct("bins", "fill", "island")).alias("bin"))
     spots = grouped.join(best, "shard").select("shard", F.posexplode(F.arrays_zip("items", "bin")).alias("at", "x"))
-    spots = spots.select("shard", "at", "x.bin", "x.items.*")
-    ahead = "sum(length) over (partition by shard, bin order by at rows between unbounded preceding and 1 preceding)"
+    spots = spots.select("shard", "at", "x.bin", "x.items.size", "x.items.own")
+    ahead = "sum(size) over (partition by shard, bin order by at rows between unbounded preceding and 1 preceding)"
     spots = spots.withColumn("sequence_id", F.shiftleft("shard", 20) + F.col("bin")).withColumn("offset", F.expr(f"coalesce({ahead}, 0)").cast("long"))
-    return full.unionByName(spots.select(*names, "sequence_id", "offset"))
+    return full.unionByName(spots.select("own", "sequence_id", "offset")).select("own.*", "sequence_id", "offset")

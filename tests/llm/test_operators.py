@@ -377,6 +377,29 @@ def test_packing_meets_the_bound_where_small_pieces_fill_up(spark):
     assert len(check_sequences(packing.pack(rows).collect())) == packing.lower_bound(lengths, 2048)
 
 
+def test_evolution_beats_best_fit():
+    """Pieces that fill sequences by threes: best fit decreasing wastes a seventh, the islands far less."""
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        a = rng.integers(780, 1000, 170)
+        b = np.array([rng.integers(512, (2048 - x) // 2) for x in a])
+        lengths = rng.permutation(np.concatenate([a, b, 2048 - a - b]))
+        plain = packing.best_fit(np.full(len(lengths), -1), np.argsort(-lengths, kind="stable"), lengths, 2048).max() + 1
+        best = packing.evolve(lengths, [], 2048, np.random.default_rng(1))
+        fill = np.bincount(best, weights=lengths)
+        assert fill.max() <= 2048 and fill.min() > 0 and len(fill) >= packing.lower_bound(lengths, 2048) == 170
+        assert len(fill) < plain - 10
+
+
+def test_packing_of_rows_with_names_of_its_own(spark):
+    rows = [(k, 1, "r", 2, 700, "i", 5, 6, 7) for k in range(9)]
+    names = "doc_id long, row int, own string, shard int, length int, items string, size int, sequence_id int, offset int"
+    got = packing.pack(spark.createDataFrame(rows, names))
+    assert got.columns == ["doc_id", "row", "own", "shard", "length", "items", "size", "sequence_id", "offset"]
+    found = got.collect()
+    assert sorted(tuple(r)[:7] for r in found) == [r[:7] for r in rows] and len({r.sequence_id for r in found}) == 5
+
+
 def test_crossover_keeps_every_piece():
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 1500, 500)
