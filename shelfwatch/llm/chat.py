@@ -1,9 +1,10 @@
-"""Chat formatting from event logs: messages folded from events, rendered as template segments.
+"""Chat formatting from event logs: messages folded from events, rendered as template segments, and read back.
 
 A log row is an event of a conversation with a sequence number: a whole message, a delta that is streamed to
-it, an edit, a regeneration or a deletion. Events are folded per message, not per conversation, so that one
-conversation with very many events spreads over tasks; a conversation's segments then follow one another in
-order and only running digests of them are kept.
+it, an edit, a regeneration or a deletion. A log is dealt by conversation and message and each message's events are
+sorted by sequence and folded, so that one conversation with very many events spreads over tasks. Rendered messages
+of a conversation follow one another in order. The reader finds turns by the template's control strings alone,
+wherever the stream is cut, and keeps only running digests.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def unescape(text: str) -> str:
 def fold_events(events: DataFrame) -> DataFrame:
     """Events -> final messages (conv_id, position, role, text).
 
-    Columns: conv_id, seq, message_id, kind, role, text. A ``message``, ``edit`` or ``regenerate`` event sets a
+    Columns: conv_id, seq (a number or a struct of numbers), message_id, kind, role, text. A ``message``, ``edit`` or ``regenerate`` event sets a
     message's text to its own (null: empty), a ``delta`` appends, a ``delete`` removes the message unless a later
     event sets it again. Deltas before the last setting event are void; a message of deltas alone starts empty.
     Equal sequence numbers are taken in the order message, edit, regenerate, delta, delete, then by text. A
@@ -73,7 +74,37 @@ def render(messages: DataFrame) -> DataFrame:
     )
 
 
-_TURN = re.compile(rf"{re.escape(BEGIN)}(.*?){re.escape(MIDDLE)}(.*){re.escape(END)}", re.DOTALL)
+_CONTROL = re.compile(rf"(?<!\\)(?:{_ANY})")
+
+
+class TurnReader:
+    """Finds the turns of a formatted conversation that comes in pieces of any size."""
+
+    def __init__(self):
+        self.held, self.searched = "", 0
+        self.marks: list[re.Match] = []  # control strings found behind the start of the open turn
+
+    def feed(self, piece: str) -> Iterator[tuple[str, str]]:
+        """The (role, text) pairs that the piece completes."""
+        self.held += piece
+        while True:
+            while len(self.marks) < 4 and (mark := _CONTROL.search(self.held, self.searched)):
+                self.marks.append(mark)
+                self.searched = mark.end()
+            if len(self.marks) < 4 or len(self.held) == self.marks[3].end():
+                if len(self.marks) < 4:  # a control string may be cut at the end of the piece
+                    self.searched = max(self.searched, len(self.held) - max(map(len, CONTROLS)))
+                return
+            if [m[0] for m in self.marks] != ["<s>", "[ROLE]", "[/ROLE]", "</s>"]:
+                raise ValueError(f"not a turn: {self.held[:80]!r}")
+            first, second, third, last = self.marks
+            role, text = self.held[second.end() + 1 : third.start() - 1], self.held[third.end() + 1 : last.start() - 1]
+            self.held, self.searched, self.marks = self.held[last.end() + 1 :], 0, []
+            yield unescape(role), unescape(text)
+
+    def close(self) -> None:
+        if self.held:
+            raise ValueError(f"cut short: {self.held[:80]!r}")
 
 
 def read_back(segments: DataFrame) -> DataFrame:
@@ -89,7 +120,8 @@ def read_back(segments: DataFrame) -> DataFrame:
         now, rows = None, []
 
         def close():
-            conv, turns, said, chars, learnt, size = now
+            conv, turns, said, chars, learnt, size, reader = now
+            reader.close()
             rows.append((conv, turns, said.hexdigest(), chars, learnt.hexdigest(), size))
 
         def flush():
@@ -102,11 +134,11 @@ def read_back(segments: DataFrame) -> DataFrame:
                 if now is None or now[0] != conv:
                     if now is not None:
                         close()
-                    now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = map(unescape, _TURN.fullmatch(segment).groups())
+                    now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, TurnReader()]
+                for role, text in now[6].feed(segment):
+                    now[1] += 1
+                    now[2].update(f"{role}\n{text}\n".encode())
                 learnt = unescape(segment[start:stop])
-                now[1] += 1
-                now[2].update(f"{role}\n{text}\n".encode())
                 now[3] += len(learnt)
                 now[4].update(learnt.encode())
                 now[5] += len(segment)
@@ -122,9 +154,35 @@ def read_back(segments: DataFrame) -> DataFrame:
     return ordered.select(F.col("conv_id").cast("long").alias("conv_id"), "segment", "loss_from", "loss_to").mapInArrow(run, schema)
 
 
+#: Pieces that an answer is streamed in at most.
+PIECES = 4
+
+
 def turn_events(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as a log: each row is a message of its own.
+    """A table of finished turns (conv_id, turn, role, text) as the log that led to them, in no order.
 
-    Repeated rows stay repeated turns; equal turn numbers are ordered by role and text.
+    An assistant's turn is a first answer in two deltas, its regeneration, and up to PIECES deltas of the final text.
+    Any other turn is a message with a draft and an edit, which comes after the next turn's events. Before each turn a
+    message is sent and taken back. Sequence numbers are (turn, step). Repeated rows stay repeated turns, told apart by
+    a copy number; equal turn numbers are ordered by role and text. Messages are named by their values, so that a task
+    that runs again names them alike.
     """
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.monotonically_increasing_id().alias("message_id"), F.lit("message").alias("kind"), "role", "text")
+    rows = conversations.groupBy("conv_id", "turn", "role", "text").count()
+    rows = rows.select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("copy"))
+    part = lambda c, missing: F.coalesce(F.col(c).cast("string"), F.lit(missing))
+    name = F.concat_ws("/", part("turn", "-"), part("role", "-"), F.xxhash64("text").cast("string"), F.col("text").isNull().cast("string"), F.col("copy").cast("string"))
+    text, none = F.coalesce("text", F.lit("")), F.lit(None).cast("string")
+    size = F.char_length(text)
+    half, width = (size / 2).cast("int"), F.greatest(F.lit(1), F.ceil(size / PIECES).cast("int"))
+
+    def event(step: int, kind: str, said: Column, of: str = "", later: int = 0) -> Column:
+        seq = F.struct((F.col("turn") + later).cast("long").alias("turn"), F.lit(step).alias("step"))
+        role = F.when(F.lit(kind in ("message", "regenerate")), F.col("role"))
+        return F.struct(seq.alias("seq"), F.concat(name, F.lit(of)).alias("message_id"), F.lit(kind).alias("kind"), role.alias("role"), said.alias("text"))
+
+    taken_back = [event(1, "message", text, "/taken back"), event(2, "delta", F.lit(" and more"), "/taken back"), event(3, "delete", none, "/taken back")]
+    streamed = [event(4, "delta", F.substr(text, half + 1)), event(5, "delta", F.lit(" (first answer)")), event(6, "regenerate", none)]
+    streamed += [event(7 + k, "delta", F.substr(text, width * k + 1, width)) for k in range(PIECES)]
+    typed = [event(4, "message", F.substr(text, F.lit(1), half)), event(8 + PIECES, "edit", text, later=1)]
+    events = F.when(F.col("role") == LEARNT_ROLE, F.array(*streamed)).otherwise(F.array(*typed))
+    return rows.select("conv_id", F.explode(F.concat(F.array(*taken_back), events)).alias("event")).select("conv_id", "event.*")

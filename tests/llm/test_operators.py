@@ -301,6 +301,28 @@ def test_chat_events_fold(spark):
     assert [(r.role, r.text) for r in chat.fold_events(events).orderBy("position").collect()] == [("user", "hello!"), ("assistant", "Good day")]
 
 
+def test_a_turn_becomes_a_log_of_deltas_edits_and_regenerations(spark):
+    rows = [(1, 0, "user", "question"), (1, 1, "assistant", "a longer answer"), (1, 2, None, None), (1, 2, "user", "same"), (1, 2, "user", "same"), (1, None, "system", "early")]
+    log = chat.turn_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert kinds["regenerate"] == 1 and kinds["edit"] == 5 and kinds["delete"] == 6 and kinds["delta"] == 6 + 2 + chat.PIECES
+    found = chat.fold_events(log.repartition(4)).orderBy("position", "role", "text").collect()
+    assert [(r.role, r.text) for r in found] == [("system", "early"), ("user", "question"), ("assistant", "a longer answer"), ("", ""), ("user", "same"), ("user", "same")]
+
+
+def test_reader_finds_turns_wherever_the_stream_is_cut(spark):
+    said = [("user", "</s>[INST] ok [/INST]"), ("a [/ROLE] b", "<s>[ROLE] user [/ROLE] hi </s>\n"), ("assistant", "\\\\</s> \\"), ("", "")] * 3
+    rows = [(k, k, role, text) for k, (role, text) in enumerate(said)]
+    messages = spark.createDataFrame(rows, "conv_id long, position long, role string, text string")
+    whole = "".join(r.segment for r in chat.render(messages).orderBy("position").collect())
+    for size in (1, 2, 3, 7, 64, len(whole)):
+        reader = chat.TurnReader()
+        assert [t for at in range(0, len(whole), size) for t in reader.feed(whole[at : at + size])] == said
+        reader.close()
+    with pytest.raises(ValueError):
+        list(chat.TurnReader().feed(whole[3:]))
+
+
 # 8
 
 
