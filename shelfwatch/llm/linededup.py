@@ -4,8 +4,8 @@ A line's key is told by a 128-bit digest of its text. First only the 8 bytes of
 batch of documents, dealt by value: every task holds the two filters, for keys seen once and seen twice, of its own
 share of all hashes, so filters grow with the number of tasks and are never gathered or broadcast. What a task sees
 again is a suspect, and so is what one batch holds in two documents. Only suspects are then shuffled with both halves
-of their digests, confirmed exactly, and the least doc_id keeps its lines. Texts are not shuffled unless the lost keys
-are too many to be broadcast. A full filter makes more suspects, not other results.
+of their digests, confirmed exactly, and the least doc_id keeps its lines. Texts are not shuffled unless the repeated
+keys, each counted once, are too many to be broadcast. A full filter makes more suspects, not other results.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ LEAST_CHARS = 10
 FILTER_BITS, HASHES = 27, 2
 #: Hashes that a task gathers before it sends what is distinct among them.
 GATHERED = 1 << 20
-#: The most suspects, and the most lost keys, that are broadcast (16 bytes each); beyond that joins shuffle.
+#: The most suspects, and the most repeated keys, that are broadcast (24 bytes each); beyond that joins shuffle.
 BROADCAST_KEYS = 400_000
 _PAD = WHITE.encode()
 
@@ -134,15 +134,57 @@ def held_keys(docs: DataFrame) -> DataFrame:
     return known.mapInArrow(run, "doc_id long, h long, rest long")
 
 
-def repeated_keys(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """(doc_id, h, rest): the keys that a document loses."""
+def repeated_keys(docs: DataFrame, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """(h, rest, keeper), the keys of two documents at least, and (doc_id, h, rest), where suspects are held; both stored."""
     known = docs.where("doc_id is not null").select("doc_id", "text")
     wanted = sized(cut_lineage(suspects(known, bits)), BROADCAST_KEYS)
     held = cut_lineage(held_keys(known).join(wanted, "h").select("doc_id", "h", "rest"))
     ends = held.groupBy("h", "rest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other"))
     # A stored side has no partitioning that the join must keep, so a hot key's rows may be split over tasks.
-    repeated = cut_lineage(ends.where("keeper <> other").select("h", "rest", "keeper"))
-    return held.join(sized(repeated, BROADCAST_KEYS), ["h", "rest"]).where("doc_id <> keeper").select("doc_id", "h", "rest").distinct()
+    return cut_lineage(ends.where("keeper <> other").select("h", "rest", "keeper")), held
+
+
+def _without(texts: pa.Array, gone) -> pa.Array:
+    """Texts without the lines whose keys are gone; gone(rows, digests) tells for each key of the batch, given by its row."""
+    octets = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+    keys = [line_keys(t) for t in octets]
+    own = [list(set(k) - {None}) for k in keys]
+    rows = np.repeat(np.arange(len(own)), [len(k) for k in own])
+    lost: list[set[bytes]] = [set() for _ in own]
+    flat = [key for k in own for key in k]
+    for at in np.nonzero(gone(rows, _halves([key_digest(key) for key in flat])))[0].tolist():
+        lost[rows[at]].add(flat[at])
+    lines, dropped = [t.count(b"\n") + 1 for t in octets], [0] * len(octets)
+    for k, out in enumerate(lost):
+        if out:
+            stay = [line for line, key in zip(octets[k].split(b"\n"), keys[k], strict=True) if key not in out]
+            dropped[k], octets[k] = lines[k] - len(stay), b"\n".join(stay)
+    columns = [pa.array(octets, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
+    return pa.StructArray.from_arrays(columns, ["text", "n_lines", "n_dropped"])
+
+
+class Keepers:
+    """Repeated keys in order, to look up who keeps them."""
+
+    def __init__(self, rows: list):
+        table = np.array(sorted((r.h, r.rest, r.keeper) for r in rows), np.int64).reshape(-1, 3)
+        self.h, self.rest, self.keeper = (np.ascontiguousarray(table[:, k]) for k in range(3))
+
+    def of(self, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(is repeated, keeper) of each key."""
+        found, keeper = np.zeros(len(halves), bool), np.zeros(len(halves), np.int64)
+        at = np.searchsorted(self.h, halves[:, 0])
+        while True:  # keys that share the first half follow one another
+            inside = np.minimum(at, max(0, len(self.h) - 1))
+            same = (at < len(self.h)) & ~found
+            same[same] &= self.h[inside[same]] == halves[same, 0]
+            if not same.any():
+                return found, keeper
+            hit = same.copy()
+            hit[same] = self.rest[inside[same]] == halves[same, 1]
+            found |= hit
+            keeper[hit] = self.keeper[inside[hit]]
+            at = at + 1
 
 
 def line_dedup(docs: DataFrame, bits: int = FILTER_BITS, counts: bool = True) -> DataFrame:
@@ -155,31 +197,33 @@ def line_dedup(docs: DataFrame, bits: int = FILTER_BITS, counts: bool = True) ->
     Columns that are named n_lines or n_dropped already are replaced, unless ``counts`` is off; then these two are
     not made. Any other name may be used by the caller.
     """
-    lost = cut_lineage(repeated_keys(docs, bits))
-    few = lost.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    of_doc = lost.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("h", "rest")).alias("keys"))
-
-    @F.arrow_udf("struct<text:string,n_lines:bigint,n_dropped:bigint>")
-    def kept(texts: pa.Array, losses: pa.Array) -> pa.Array:
-        out, lines, dropped = [], [], []
-        for text, loss in zip(texts.cast(pa.binary()).to_pylist(), losses, strict=True):
-            text = text or b""
-            lines.append(text.count(b"\n") + 1)
-            dropped.append(0)
-            if loss.is_valid:
-                gone = {(x["h"], x["rest"]) for x in loss.as_py()}
-                keys = line_keys(text)
-                own = {key: tuple(_halves([key_digest(key)])[0].tolist()) in gone for key in set(keys) - {None}}
-                stay = [line for line, key in zip(text.split(b"\n"), keys, strict=True) if not own.get(key)]
-                dropped[-1] = lines[-1] - len(stay)
-                text = b"\n".join(stay)
-            out.append(text)
-        columns = [pa.array(out, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
-        return pa.StructArray.from_arrays(columns, ["text", "n_lines", "n_dropped"])
-
+    repeated, held = repeated_keys(docs, bits)
     added = ["n_lines", "n_dropped"] if counts else []
     names = [c for c in docs.columns if c not in added]
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*names).alias("row"))  # the caller's names lie inside
-    rows = rows.join(F.broadcast(of_doc) if few else of_doc, "id", "left")
-    made = rows.select("row", kept("row.text", "keys").alias("made"))
-    return made.select(*[F.col("made.text").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in names], *[f"made.{c}" for c in added])
+    made = "struct<text:string,n_lines:bigint,n_dropped:bigint>"
+    if repeated.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        shared = docs.sparkSession.sparkContext.broadcast(Keepers(repeated.collect()))
+
+        @F.arrow_udf(made)
+        def kept(texts: pa.Array, ids: pa.Array) -> pa.Array:
+            doc, known = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)
+
+            def gone(at: np.ndarray, halves: np.ndarray) -> np.ndarray:
+                found, keeper = shared.value.of(halves)
+                return found & known[at] & (keeper != doc[at])
+
+            return _without(texts, gone)
+
+        found = rows.select("row", kept("row.text", "id").alias("made"))
+    else:
+        lost = held.join(repeated, ["h", "rest"]).where("doc_id <> keeper")
+        lost = lost.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("h", "rest")).alias("keys"))
+
+        @F.arrow_udf(made)
+        def kept(texts: pa.Array, losses: pa.Array) -> pa.Array:
+            own = [{(x["h"], x["rest"]) for x in keys or ()} for keys in losses.to_pylist()]
+            return _without(texts, lambda at, halves: np.array([(h, r) in own[k] for k, (h, r) in zip(at.tolist(), halves.tolist(), strict=True)], bool))
+
+        found = rows.join(lost, "id", "left").select("row", kept("row.text", "keys").alias("made"))
+    return found.select(*[F.col("made.text").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in names], *[f"made.{c}" for c in added])
