@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import audio, chat, decontaminate, htmltext, licenses, linededup, packing, quality, simhash, wordpiece
+from . import audio, chat, decontaminate, htmltext, license_texts, licenses, linededup, packing, quality, simhash, wordpiece
 from .common import read_table, tokenizer_path
 
 
@@ -59,23 +59,69 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
+    """The scan by paragraphs and lines: texts are cut at empty lines and each paragraph is told apart by its first words."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     values = lambda rows: ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in rows)
     spelled = ", ".join(f"{quoted(a)}: {quoted(b)}" for a, b in licenses.SPELLINGS.items())
-    digest = lambda t: rf"""sha256(array_to_string(list_transform(list_filter(string_split_regex(
-  regexp_replace(lower(coalesce({t}, '')), '(?m)^[^\p{{L}}\p{{N}}\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$', '', 'g'),
-  '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: coalesce(MAP {{{spelled}}}[w], w)), ' '))"""
-    return f"""
-WITH licenses(license_id, text) AS (VALUES {values(licenses.LICENSES)}),
+    return rf"""
+WITH files(license_id, text) AS (VALUES {values(license_texts.FILES)}),
+parts AS (
+  SELECT license_id, unnest([text, regexp_extract(text, '(?s)^(.*?)(?:END OF TERMS AND CONDITIONS|\n[ \t]*APPENDIX:|\nADDENDUM:|\nEXHIBIT A -|\z)', 1),
+                             regexp_extract(text, '(?s)^.*END OF TERMS AND CONDITIONS')]) AS text FROM files
+), licenses AS (
+  SELECT license_id, unnest([text, regexp_extract(text, '(?s)^\s*(?:.*?)\n[ \t]*\n(.*)$', 1)]) AS text FROM parts WHERE text <> ''
+  UNION ALL SELECT * FROM (VALUES {values(license_texts.SHORT)})
+),
 notices(license_id, text) AS (VALUES {values(licenses.NOTICES)}),
-known AS (SELECT {digest('text')} AS digest, min(license_id) AS license_id FROM licenses GROUP BY 1),
-granted AS (SELECT {digest('text')} AS digest, min(license_id) AS license_id FROM notices GROUP BY 1),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents),
-found AS (SELECT l.doc_id, string_agg(DISTINCT g.license_id, ',' ORDER BY g.license_id) AS notices
-          FROM (SELECT doc_id, {digest('text')} AS digest FROM lines) l JOIN granted g ON l.digest = g.digest GROUP BY l.doc_id),
-whole AS (SELECT doc_id, {digest('text')} AS digest FROM documents)
-SELECT w.doc_id, w.digest, k.license_id, coalesce(f.notices, '') AS notices
-FROM whole w LEFT JOIN known k ON w.digest = k.digest LEFT JOIN found f ON w.doc_id = f.doc_id
+texts AS (
+  SELECT 'd' AS kind, doc_id AS id, '' AS name, lower(coalesce(text, '')) AS low FROM documents
+  UNION ALL SELECT 'l', row_number() OVER (), license_id, lower(text) FROM licenses
+), told AS (
+  SELECT *, contains(low, 'copyright') OR contains(low, '(c)') OR contains(low, '©') OR contains(low, 'reserved') AS noticed FROM texts
+), paragraphs AS (
+  SELECT kind, id, unnest(string_split(regexp_replace(regexp_replace(low, '(?m)^[^\p{{L}}\p{{N}}
+(©<\[]+', '', 'g'), '
+[^\S
+]*
+', chr(30), 'g'), chr(30))) AS p,
+         generate_subscripts(string_split(regexp_replace(regexp_replace(low, '(?m)^[^\p{{L}}\p{{N}}
+(©<\[]+', '', 'g'), '
+[^\S
+]*
+', chr(30), 'g'), chr(30)), 1) AS pos
+  FROM told WHERE noticed
+), blanked AS (  -- blank forms, then what stands before a grant
+  SELECT kind, id, pos, regexp_replace(regexp_replace(p, {quoted(licenses._BLANK)}, chr(10) || chr(10), 'g'),
+         {quoted(f"{licenses._SIGN}(?s:.{{0,400}}?)({licenses._GRANT})")}, chr(10) || chr(10) || '', 'g') AS p FROM paragraphs
+), kept AS (
+  SELECT kind, id, pos, CASE
+    WHEN regexp_matches(p, '^\s*(?:' || {quoted(licenses._SIGN)} || ')') AND length(p) <= 200 THEN ''
+    WHEN regexp_matches(p, '^\s*(?:copyright(?:[^\p{{L}}\p{{N}},;.)"''“”’]|$)|\(c\))') AND length(p) <= 200
+         AND NOT regexp_matches(p, {quoted(f"^{chr(92)}s*copyright{chr(92)}s+(?:{licenses._CLAUSE})(?:[^{chr(92)}p{{L}}{chr(92)}p{{N}}]|$)")}) THEN ''
+    ELSE regexp_replace(regexp_replace(p, '(?m)^' || {quoted(licenses._SIGN)} || '[^
+]*', '', 'g'), '(?m)all\s+rights\s+reserved(?:\.|[^\p{{L}}\p{{N}}
+]*$)', '', 'g')
+  END AS p FROM blanked
+), cleaned AS (
+  SELECT kind, id, string_agg(p, chr(10) || chr(10) ORDER BY pos) AS low FROM kept GROUP BY kind, id
+  UNION ALL SELECT kind, id, low FROM told WHERE NOT noticed
+), worded AS (
+  SELECT kind, id, array_to_string(list_transform(list_filter(string_split_regex(low, '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: coalesce(MAP {{{spelled}}}[w], w)), ' ') AS said FROM cleaned
+), digested AS (
+  SELECT kind, id, sha256({"".join("replace(" for _ in licenses.PHRASES)}said{"".join(f", {quoted(a)}, {quoted(b)})" for a, b in licenses.PHRASES.items())}) AS digest FROM worded
+), known AS (
+  SELECT digest, min(name) AS license_id FROM digested JOIN texts USING (kind, id) WHERE kind = 'l' GROUP BY digest
+), lines AS (
+  SELECT doc_id, '' AS name, unnest(string_split(text, chr(10))) AS text FROM documents UNION ALL SELECT NULL, license_id, text FROM notices
+), lined AS (
+  SELECT doc_id, name, array_to_string(list_transform(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: coalesce(MAP {{{spelled}}}[w], w)), ' ') AS said FROM lines
+), granted AS (
+  SELECT said, min(name) AS license_id FROM lined WHERE name <> '' GROUP BY said
+), found AS (
+  SELECT l.doc_id, string_agg(DISTINCT g.license_id, ',' ORDER BY g.license_id) AS notices FROM lined l JOIN granted g ON l.said = g.said WHERE l.doc_id IS NOT NULL GROUP BY l.doc_id
+)
+SELECT w.id AS doc_id, w.digest, k.license_id, coalesce(f.notices, '') AS notices
+FROM digested w LEFT JOIN known k ON w.digest = k.digest LEFT JOIN found f ON w.id = f.doc_id WHERE w.kind = 'd'
 """
 
 
