@@ -16,11 +16,11 @@ VARIANT_PARAMS = (
 
 #: Scheme, authority, path, query with its mark, fragment with its mark.
 URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#\s]+)([^?#\s]*)(\?[^#\s]*)?(#\S*)?$"
-HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@\s]*@)?([^/?#:\s]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@\s]*@)?(\[[^\]/?#\s]*\]|[^/?#:\s]+)"
 LOCALE = r"(?i)^/([a-z]{2}(?:-[a-z]{2})?)(/.*)$"
 PRIVATE_HOST = (
-    r"^(?:localhost|.*\.localhost|.*\.local|.*\.internal|\[?::1\]?|\[?(?:fc|fd|fe80).*|0\..*|10\..*|127\..*"
-    r"|169\.254\..*|192\.168\..*|172\.(?:1[6-9]|2[0-9]|3[01])\..*)$"
+    r"^(?:localhost|.*\.localhost|.*\.local|.*\.internal|\[?::1\]?|\[?(?:fc|fd|fe80).*|0*(?:0|10|127)(?:\.\d{1,3}){3}"
+    r"|169\.254(?:\.\d{1,3}){2}|192\.168(?:\.\d{1,3}){2}|172\.(?:1[6-9]|2[0-9]|3[01])(?:\.\d{1,3}){2})$"
 )
 COLLECTION = r"(?i)/collections/([^/?#]+)"
 PRODUCT = r"(?i)/products/([^/?#]+)"
@@ -72,24 +72,55 @@ def url_validate(u: Column) -> Column:
 
 
 def url_is_private_host(h: Column) -> Column:
-    """Loopback, link-local and private networks. Any name that starts with fc or fd counts, too."""
+    """Loopback, link-local and private networks, by name, four numbers or IPv6 address (in brackets or not).
+
+    Any name that starts with fc, fd or fe80 counts, too.
+    """
     return F.lower(h).rlike(PRIVATE_HOST)
 
 
+def _without_dots(path: Column) -> Column:
+    """A path whose dot segments are resolved; it ends with a slash where they stand last."""
+    dot, up = r"^(?:\.|%2[eE])$", r"^(?:\.|%2[eE]){2}$"
+    fold = lambda kept, s: F.when(s.rlike(up), F.slice(kept, F.lit(1), F.greatest(F.lit(1), F.size(kept) - 1))).when(s.rlike(dot), kept).otherwise(F.array_append(kept, s))
+    parts = F.split(path, "/")
+    closing = F.when(path.rlike(r"/(?:\.|%2[eE]){1,2}$"), "/").otherwise("")
+    joined = F.concat(F.lit("/"), F.array_join(F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit("")), fold), "/"), closing)
+    return F.regexp_replace(joined, "^//", "/")
+
+
+def _tidy(u: Column) -> Column:
+    """An absolute URL with dot segments resolved and spaces written as %20."""
+    spaced = F.when(u.contains(" "), F.replace(u, F.lit(" "), F.lit("%20"))).otherwise(u)
+
+    def resolved(v: Column) -> Column:
+        whole = F.concat(F.regexp_extract(v, URL, 1), F.lit("://"), F.regexp_extract(v, URL, 2), _without_dots(F.regexp_extract(v, URL, 3)), F.regexp_extract(v, URL, 4), F.regexp_extract(v, URL, 5))
+        return F.when(v.rlike(r"(?i)^[^?#]*/(?:\.|%2e){1,2}(?:[/?#]|$)"), whole).otherwise(v)
+
+    return _let(spaced, resolved)
+
+
 def url_resolve(raw: Column, base: Column) -> Column:
-    """``raw`` against the page's URL; null for fragments, other schemes and paths with dot segments."""
-    value = F.trim(raw)
-    start = origin(base)
-    folder = F.regexp_replace(path(base), "[^/]*$", "")
-    unusable = (value == "") | value.startswith("#") | (value.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") & ~value.rlike(r"(?i)^https?://")) | value.rlike(r"(?:^|/)\.\.?(?:/|$)") | value.rlike(r"\s")
-    return (
-        F.when(unusable | start.isNull(), F.lit(None))
-        .when(value.rlike(r"(?i)^https?://"), value)
-        .when(value.startswith("//"), F.concat(scheme(base), F.lit(":"), value))
-        .when(value.startswith("/"), F.concat(start, value))
-        .when(value.startswith("?"), F.concat(start, path(base), value))
-        .otherwise(F.concat(start, folder, value))
-    )
+    """``raw`` against the page's URL; null for fragments and other schemes.
+
+    Dot segments are resolved, spaces inside become %20, and tabs and line ends inside are left out.
+    """
+    value = F.regexp_replace(F.trim(raw), r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]", "")
+
+    def against(value: Column) -> Column:
+        start = origin(base)
+        folder = F.regexp_replace(path(base), "[^/]*$", "")
+        unusable = (value == "") | value.startswith("#") | (value.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") & ~value.rlike(r"(?i)^https?://"))
+        return (
+            F.when(unusable | start.isNull(), F.lit(None))
+            .when(value.rlike(r"(?i)^https?://"), value)
+            .when(value.startswith("//"), F.concat(scheme(base), F.lit(":"), value))
+            .when(value.startswith("/"), F.concat(start, value))
+            .when(value.startswith("?"), F.concat(start, path(base), value))
+            .otherwise(F.concat(start, folder, value))
+        )
+
+    return _tidy(_let(value, against))
 
 
 def _with_query(u: Column, params: Column) -> Column:

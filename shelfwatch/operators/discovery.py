@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import urls as U
+from ..session import shared_folder, stored
 
 # Path patterns of collection pages.
 COLLECTION_PATHS = r"(?i)/(?:collections|category|categories|shop)(?:/|$)"
@@ -61,31 +62,42 @@ def collection_rollup(results: DataFrame, by: str) -> DataFrame:
 def crawl_frontier(links: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
     """(source, target) links and (url) seeds -> (url, round) reached within the rounds, each once.
 
-    A round joins the last frontier with the links and takes away what was visited (an anti-join).
+    A round joins the last frontier with the links and takes away what was visited (an anti-join). Every round is
+    stored in the shared folder and read from there, so a round's plan has one join and one anti-join whatever its
+    number; the walk ends where a frontier is empty. Null ends are ignored; an empty table gives an empty table.
     """
-    visited = seeds.select("url").distinct().withColumn("round", F.lit(0))
-    frontier = visited
+    spark, folder = links.sparkSession, shared_folder(links.sparkSession, "frontier")
+    edges = stored(links.select(F.col("source").alias("url"), "target").where("url is not null and target is not null"), "links")
+    kind = f"url {seeds.schema['url'].dataType.simpleString()}, round int"
+    seeds.select("url").where("url is not null").distinct().withColumn("round", F.lit(0)).write.parquet(f"{folder}/0")
+    done = [f"{folder}/0"]
     for k in range(1, rounds + 1):
-        step = frontier.select("url").join(links.select(F.col("source").alias("url"), "target"), "url").select(F.col("target").alias("url")).distinct()
-        frontier = step.join(visited, "url", "left_anti").withColumn("round", F.lit(k))
-        visited = visited.unionByName(frontier)
-    return visited
+        visited, frontier = (spark.read.schema(kind).parquet(*paths) for paths in (done, done[-1:]))
+        step = frontier.select("url").join(edges, "url").select(F.col("target").alias("url")).distinct()
+        step.join(visited, "url", "left_anti").withColumn("round", F.lit(k)).write.parquet(f"{folder}/{k}")
+        if spark.read.schema(kind).parquet(f"{folder}/{k}").isEmpty():
+            break
+        done.append(f"{folder}/{k}")
+    return spark.read.schema(kind).parquet(*done)
 
 
-def next_page_url(elements: DataFrame) -> DataFrame:
+def next_page_url(elements: DataFrame, visited: DataFrame | None = None) -> DataFrame:
     """(page_id, url, ord, tag, attrs, text, path) -> (page_id, next_url) of pages with a safe next page.
 
     Candidates are rel=next links, anchors called next and links of pagination lists. One to the page after
-    this is best; else the first that isn't a plain pagination link and keeps the path.
+    this is best; else the first that isn't a plain pagination link and keeps the path. ``visited`` (url) names
+    pages that no candidate may lead to.
     """
     attr = lambda n: F.coalesce(F.element_at("attrs", n), F.lit(""))
     words = F.lower(F.concat_ws(" ", "text", attr("aria-label"), attr("rel"), attr("class")))
     control = words.rlike(r"\b(next|suivant|volgende|weiter|older|more)\b")
     named = (F.col("tag") == "a") & (attr("aria-label").rlike("(?i)next") | attr("class").rlike("(?i)next"))
-    listed = (F.col("tag") == "a") & F.exists("path", lambda p: p["cls"].rlike("(?i)pag") & p["tag"].isin("nav", "ul", "div"))
+    listed = (F.col("tag") == "a") & F.exists("path", lambda p: p["cls"].rlike("(?i)pag") & p["tag"].isin("nav", "ul", "div") | (p["tag"] == "nav") & F.coalesce(F.element_at(p["attrs"], "aria-label"), F.lit("")).rlike("(?i)pag"))
     tier = F.when((attr("rel") == "next") & (F.col("tag") == "link"), 0).when((attr("rel") == "next") & (F.col("tag") == "a"), 1).when(named, 2).when(listed & control, 3).when(listed, 4)
     rows = elements.where(F.col("tag").isin("a", "link")).withColumn("tier", tier).where("tier is not null").withColumn("to", U.url_resolve(attr("href"), F.col("url")))
     rows = rows.where(U.host(F.col("to")) == U.host(F.col("url")))
+    if visited is not None:
+        rows = rows.join(visited.select(F.col("url").alias("to")).distinct(), "to", "left_anti")
     page = lambda u: F.coalesce(U.param(u, "page").try_cast("int"), F.lit(1))
     follows = U.param(F.col("to"), "page").try_cast("int") == page(F.col("url")) + 1
     bare = lambda u: F.regexp_replace(U.path(u), "/+$", "")

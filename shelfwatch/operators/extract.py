@@ -59,19 +59,23 @@ def link_tags(elements: DataFrame) -> DataFrame:
     return elements.where((F.col("tag") == "link") & good).select("page_id", "ord", _attr("rel").alias("rel"), _attr("href").alias("href"))
 
 
-def _flatten(value, out: list) -> None:
+def _flatten(value) -> list[dict]:
     """Nodes of lists and graphs, what a graph holds before the node that holds it."""
-    if isinstance(value, list):
-        for v in value:
-            _flatten(v, out)
-    elif isinstance(value, dict):
-        if isinstance(value.get("@graph"), list):
-            _flatten(value["@graph"], out)
-        out.append(value)
+    found, work = [], [(value, False)]
+    while work:
+        value, opened = work.pop()
+        if isinstance(value, list):
+            work += [(v, False) for v in reversed(value)]
+        elif isinstance(value, dict):
+            if isinstance(value.get("@graph"), list) and not opened:
+                work += [(value, True), (value["@graph"], False)]
+            else:
+                found.append(value)
+    return found
 
 
 def jsonld_nodes(elements: DataFrame) -> DataFrame:
-    """Script elements -> (page_id, pos, node JSON); blocks that aren't JSON are skipped."""
+    """Script elements -> (page_id, pos, node JSON); blocks that aren't JSON, or are nested too deeply, are skipped."""
 
     @F.arrow_udf("array<string>")
     def nodes(blocks: pa.Array) -> pa.Array:
@@ -80,10 +84,10 @@ def jsonld_nodes(elements: DataFrame) -> DataFrame:
             found: list = []
             for text in texts or []:
                 try:
-                    _flatten(json.loads(text), found)
-                except ValueError:
+                    found += [json.dumps(n, ensure_ascii=False) for n in _flatten(json.loads(text))]
+                except (ValueError, RecursionError):  # RecursionError: nested too deeply for the JSON parser
                     continue
-            made.append([json.dumps(n, ensure_ascii=False) for n in found])
+            made.append(found)
         return pa.array(made, pa.list_(pa.string()))
 
     scripts = elements.where((F.col("tag") == "script") & (_attr("type") == "application/ld+json"))
@@ -250,17 +254,28 @@ def _first(pattern: str) -> Column:
     return F.when(cleaned != "", cleaned)
 
 
-def _meta(attribute: str, key: str) -> Column:
-    """The cleaned content of the last meta tag whose attribute is the key, whatever the order of the attributes."""
-    tags = F.regexp_extract_all("html", F.lit(rf"(?is)(<meta\b[^>]*\b{attribute}=[\"']{key}[\"'][^>]*>)"), 1)
-    content = F.regexp_extract(F.get(tags, F.size(tags) - 1), r"(?is)\bcontent=[\"']([^\"']*)[\"']", 1)
-    cleaned = F.trim(F.regexp_replace(decode_entities(content, True), r"\s+", " "))
-    return F.when(cleaned != "", cleaned)
+#: An attribute's value up to the quote that opened it.
+_QUOTED = r"\s*=\s*([\"'])(.*?)\1"
+
+
+def _value(tag: Column, name: str) -> Column:
+    return decode_entities(F.regexp_extract(tag, rf"(?i)\b{name}{_QUOTED}", 2), True)
+
+
+def _meta(attribute: str, key: str, last: bool = True) -> Column:
+    """The cleaned content of the meta tags with the key: the last that has any, or that of the first tag."""
+    tags = F.regexp_extract_all("html", F.lit(r"(?i)(<meta\b[^>]*>)"), 1)
+    tags = F.filter(tags, lambda t: F.lower(_value(t, attribute)) == key)
+    said = F.transform(tags, lambda t: F.trim(F.regexp_replace(_value(t, "content"), r"\s+", " ")))
+    said = F.filter(said, lambda v: v != "") if last else said
+    found = F.try_element_at(said, F.lit(-1)) if last else F.get(said, F.lit(0))
+    return F.when(found != "", found)
 
 
 def _canonical() -> Column:
-    tag = F.regexp_extract("html", r"(?is)(<link\b[^>]*\brel=[\"'][^\"']*canonical[^\"']*[\"'][^>]*>)", 1)
-    href = decode_entities(F.regexp_extract(tag, r"(?is)\bhref=[\"']([^\"']+)[\"']", 1), True)
+    tags = F.regexp_extract_all("html", F.lit(r"(?i)(<link\b[^>]*>)"), 1)
+    tag = F.get(F.filter(tags, lambda t: F.lower(_value(t, "rel")).contains("canonical")), F.lit(0))
+    href = _value(tag, "href")
     return F.when(href != "", href)
 
 
@@ -273,7 +288,7 @@ def fetch_first_fields(pages: DataFrame) -> DataFrame:
     node = F.coalesce(direct, graph)
     rows = pages.select(
         "page_id", "url", "html", _first(r"(?is)<title[^>]*>(.*?)</title>").alias("t"), _first(r"(?is)<h1[^>]*>(.*?)</h1>").alias("h1"), _meta("property", "og:title").alias("og_title"), _meta("property", "og:description").alias("og_description"),
-        _meta("property", "og:url").alias("og_url"), _meta("name", "twitter:title").alias("tw_title"), _meta("name", "twitter:description").alias("tw_description"), _meta("name", "description").alias("meta"), _canonical().alias("canonical"), node.alias("n"),
+        _meta("property", "og:url").alias("og_url"), _meta("name", "twitter:title").alias("tw_title"), _meta("name", "twitter:description").alias("tw_description"), _meta("name", "description", last=False).alias("meta"), _canonical().alias("canonical"), node.alias("n"),
     )
     rows = rows.withColumn("ld_name", clean_text(F.try_variant_get("n", "$.name", "string"))).withColumn("ld_description", clean_text(F.try_variant_get("n", "$.description", "string")))
     c = F.col

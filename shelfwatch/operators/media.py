@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import urls as U
 from ..functions.hashing import edges_of, hamming, ssim_of
 from ..functions.text import srcset_urls
+from ..sources.html import ancestors
 
 # Parts of URLs of assets that show no product; sections and containers of product pages.
 ASSET_PARTS = (
@@ -22,8 +25,11 @@ OUT_CLASSES = ("related", "upsell", "cross-sell", "recommendations", "recently-v
 OUT_CLASS_PARTS, OUT_ID_PARTS = ("review", "cookie", "gdpr", "newsletter", "popup"), ("reviews", "cookie", "gdpr", "newsletter", "popup")
 SCOPE_CLASSES = ("product__media-gallery", "product-gallery", "product-images", "product-single", "product-detail", "product-page", "product--full")
 SCOPE_IDS = ("product-images", "product-media", "product-gallery")
+# Fixed value: what only stands in templates.
+PLACEHOLDER = r"(?i)[<>]|%3c|%3e|\{\{|\}\}|\$\{"
 TIERS = ("jsonld", "og", "img", "picture", "css", "preload")
 #: The largest distance and the least similarities of one group; images kept of a page; the least size and the largest ratio.
+DOUBT = 0.08
 DISTANCE, SSIM, EDGES, MOST_IMAGES, LEAST_SIDE, MOST_RATIO = 6, 0.88, 0.9, 30, 300, 3.0
 
 
@@ -33,7 +39,7 @@ def excluded_asset(u: Column) -> Column:
 
 def template_placeholder(raw: Column) -> Column:
     """Markup that a template engine should have filled in."""
-    return F.coalesce(raw.rlike(r"(?i)[<>]|%3c|%3e|\{\{|\}\}|\$\{"), F.lit(False))
+    return F.coalesce(raw.rlike(PLACEHOLDER), F.lit(False))
 
 
 def _has_class(step: Column, names: tuple[str, ...]) -> Column:
@@ -41,24 +47,30 @@ def _has_class(step: Column, names: tuple[str, ...]) -> Column:
 
 
 def excluded_section(path: Column) -> Column:
-    """Some ancestor is a section whose images aren't the product's."""
+    """The element or some ancestor is a section whose images aren't the product's."""
     return F.exists(path, lambda s: s["tag"].isin(*OUT_TAGS) | s["role"].isin(*OUT_ROLES) | _has_class(s, OUT_CLASSES) | s["cls"].rlike("|".join(OUT_CLASS_PARTS)) | s["id"].rlike("|".join(OUT_ID_PARTS)))
 
 
-def _scope_rank(step: Column) -> Column:
-    """The place of an ancestor in the list of product containers, null if it is none."""
+def _scope_rank(step: Column, above: Column) -> Column:
+    """The place of an element in the list of product containers, null if it is none; ``above`` are its ancestors.
+
+    An article is one only inside the main element.
+    """
     kind = F.coalesce(F.element_at(step["attrs"], "itemtype"), F.lit(""))
     rank = F.when(kind.rlike("(?i)schema.org/product"), 0)
     for k, name in enumerate(SCOPE_CLASSES, 2):
         rank = rank.when(_has_class(step, (name,)), k)
     for k, name in enumerate(SCOPE_IDS, 9):
         rank = rank.when(step["id"] == name, k)
-    return rank.when(step["tag"] == "article", 12).when((step["tag"] == "main") | (step["role"] == "main"), 14)
+    in_main, in_role = F.exists(above, lambda s: s["tag"] == "main"), F.exists(above, lambda s: s["role"] == "main")
+    article = step["tag"] == "article"
+    return rank.when(article & in_main, 12).when(article & in_role, 13).when(step["tag"] == "main", 14).when(step["role"] == "main", 15)
 
 
 def product_scope(elements: DataFrame) -> DataFrame:
     """(page_id, scope): the position of each page's best product container that holds an element."""
-    steps = elements.select("page_id", F.explode("path").alias("s")).select("page_id", F.col("s.ord").alias("ord"), _scope_rank(F.col("s")).alias("r")).where("r is not null")
+    holders = elements.select("page_id", F.transform(ancestors(), lambda s, k: F.struct(s["ord"].alias("ord"), _scope_rank(s, F.slice("path", F.lit(1), k)).alias("r"))).alias("s"))
+    steps = holders.select("page_id", F.inline("s")).where("r is not null")
     return steps.groupBy("page_id").agg(F.min_by("ord", F.struct("r", "ord")).alias("scope"))
 
 
@@ -149,7 +161,9 @@ def leader_groups(images: DataFrame) -> DataFrame:
     """(product_id, ord, dhash, gray) -> (product_id, ord, group, ambiguous), in order, one product at a time.
 
     An image joins the first group whose leader is near in hash, or alike in structure and edges; else it
-    leads a group of its own. A product has the images of one page, so a group fits a task.
+    leads a group of its own. It is in doubt if both likenesses to a leader that it was held against lie within DOUBT
+    of their least values, even if a later group takes it. A product has the images of one page, of which
+    ``discover_images`` keeps 30, so a group fits a task.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -165,12 +179,10 @@ def leader_groups(images: DataFrame) -> DataFrame:
                 if alike >= SSIM and edges >= EDGES:
                     chosen = k
                     break
-                doubt |= alike >= SSIM - 0.08 and edges >= EDGES - 0.08
+                doubt |= abs(alike - SSIM) <= DOUBT and abs(edges - EDGES) <= DOUBT
             if chosen < 0:
                 leaders.append((h, np.asarray(gray, float)))
                 chosen = len(leaders) - 1
-            else:
-                doubt = False
             groups.append(chosen)
             doubts.append(bool(doubt))
         return pd.DataFrame({"product_id": pdf["product_id"], "ord": pdf["ord"], "group": groups, "ambiguous": doubts})
@@ -178,12 +190,12 @@ def leader_groups(images: DataFrame) -> DataFrame:
     return images.select("product_id", "ord", "dhash", "gray").groupBy("product_id").applyInPandas(run, "product_id long, ord long, group int, ambiguous boolean")
 
 
-def selection_fallback(groups: DataFrame, failed: DataFrame, enabled: bool = True) -> DataFrame:
-    """(product_id, mode): keep_all where under two are usable, over half failed, or a group is in doubt.
+def selection_fallback(groups: DataFrame, failed: DataFrame, enabled: bool = False) -> DataFrame:
+    """(product_id, mode): keep_all where under two images are usable, over half failed, or one is in doubt.
 
-    ``failed`` has (product_id, total, failed).
+    ``groups`` has a row for each usable image; ``failed`` has (product_id, total, failed). Off unless enabled.
     """
-    seen = groups.groupBy("product_id").agg(F.count_distinct("group").alias("usable"), F.max("ambiguous").alias("ambiguous"))
+    seen = groups.groupBy("product_id").agg(F.count(F.lit(1)).alias("usable"), F.max("ambiguous").alias("ambiguous"))
     rows = failed.join(seen, "product_id", "left")
     doubt = (F.coalesce("usable", F.lit(0)) < 2) | (F.col("failed") > 0.5 * F.col("total")) | F.coalesce("ambiguous", F.lit(False))
     return rows.select("product_id", F.when(F.lit(enabled) & doubt, "keep_all").otherwise("deduplicated").alias("mode"))
@@ -200,13 +212,21 @@ def selection_report(groups: DataFrame, modes: DataFrame) -> DataFrame:
 def near_dup_pairs(hashes: DataFrame, max_dist: int = DISTANCE) -> DataFrame:
     """(id, hash) -> (a, b, distance) of all pairs of distinct hashes within ``max_dist`` bits, with a < b as hashes.
 
-    The hash is cut into max_dist + 1 bands; two hashes in reach agree on one, so an equi-join on bands finds
-    every pair without a cross join. Images that share a hash are one entry, named by the least id.
+    The hash is cut into max_dist + 2 bands; two hashes in reach agree on two of them, so an equi-join on pairs of
+    bands finds every pair without a cross join. A pair counts where it first agrees, so none is met twice. Images
+    that share a hash are one entry, named by the least id: copies make no pairs.
     """
     one = hashes.groupBy("hash").agg(F.min("id").alias("id"))
-    bands, edges = max_dist + 1, [round(64 * k / (max_dist + 1)) for k in range(max_dist + 2)]
-    keys = [F.shiftrightunsigned("hash", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)) for k in range(bands)]
-    rows = one.select("id", "hash", F.posexplode(F.array(*keys)).alias("band", "bits"))
-    other = rows.select(F.col("id").alias("b"), F.col("hash").alias("_hash"), "band", "bits")
-    pairs = rows.join(other, ["band", "bits"]).where(F.col("hash") < F.col("_hash")).withColumn("distance", hamming(F.col("hash"), F.col("_hash")))
-    return pairs.where(F.col("distance") <= max_dist).select(F.col("id").alias("a"), "b", "distance").distinct()
+    count = max_dist + 2
+    edges = [round(64 * k / count) for k in range(count + 1)]
+    masks = [((1 << edges[k + 1]) - (1 << edges[k])) for k in range(count)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = [F.col("hash").bitwiseAND(F.lit(masks[x] | masks[y])) for x, y in combinations(range(count), 2)]
+    rows = one.select("id", "hash", F.posexplode(F.array(*keys)).alias("bands", "bits"))
+    other = rows.select(F.col("id").alias("b"), F.col("hash").alias("_hash"), "bands", "bits")
+    differ = F.col("hash").bitwiseXOR(F.col("_hash"))
+    agreed = F.filter(F.array(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(k)) for k, m in enumerate(masks)]), lambda k: k.isNotNull())
+    first = F.create_map(*[F.lit(v) for n, (x, y) in enumerate(combinations(range(count), 2)) for v in (x * count + y, n)])
+    here = F.element_at(first, F.get(agreed, F.lit(0)) * count + F.get(agreed, F.lit(1))) == F.col("bands")
+    pairs = rows.join(other, ["bands", "bits"]).where(F.col("hash") < F.col("_hash")).withColumn("distance", hamming(F.col("hash"), F.col("_hash")))
+    return pairs.where((F.col("distance") <= max_dist) & here).select(F.col("id").alias("a"), "b", "distance")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import urls as U
 from ..functions.text import clean_text, srcset_urls
+from ..sources.html import ancestors
 
 # Class names of blocks that aren't the grid, markers of grids, classes of product cards.
 CHROME_TAGS = ("header", "nav", "footer")
@@ -43,6 +44,7 @@ def _is_grid(step: Column) -> Column:
 
 
 def drop_chrome_links(anchors: DataFrame) -> DataFrame:
+    """Anchors that neither lie in page furniture nor are furniture by their own class."""
     return anchors.where(~F.exists("path", _in_chrome))
 
 
@@ -51,7 +53,7 @@ def grid_anchor_select(anchors: DataFrame) -> DataFrame:
     anchors = anchors.withColumn("href", F.element_at("attrs", "href")).where("href is not null")
     clean = drop_chrome_links(anchors)
     handle = F.lower(F.regexp_extract("href", U.PRODUCT, 1))
-    inside = clean.select("page_id", "ord", F.when(handle != "", handle).alias("h"), F.explode(F.transform(F.filter("path", _is_grid), lambda s: s["ord"])).alias("grid"))
+    inside = clean.select("page_id", "ord", F.when(handle != "", handle).alias("h"), F.explode(F.transform(F.filter(ancestors(), _is_grid), lambda s: s["ord"])).alias("grid"))
     sizes = inside.groupBy("page_id", "grid").agg(F.count_distinct("h").alias("n")).where("n >= 2")
     best = sizes.groupBy("page_id").agg(F.min_by("grid", F.struct(-F.col("n"), F.col("grid"))).alias("grid"))
     in_grid = clean.join(inside.join(best, ["page_id", "grid"], "left_semi").select("page_id", "ord").distinct(), ["page_id", "ord"], "left_semi")
@@ -61,7 +63,7 @@ def grid_anchor_select(anchors: DataFrame) -> DataFrame:
 
 
 def _card(path: Column) -> Column:
-    """The nearest product card among the ancestors: its position in the page, null if there is none."""
+    """The nearest product card, the element itself or an ancestor: its position in the page, null if there is none."""
     is_card = lambda s: s["tag"].isin("li", "article") | F.lower(s["cls"]).rlike("|".join(CARD_CLASSES)) | F.map_contains_key(s["attrs"], "data-product-handle") | F.map_contains_key(s["attrs"], "data-product-id")
     return F.try_element_at(F.transform(F.filter(path, is_card), lambda s: s["ord"]), F.lit(-1))
 
@@ -75,7 +77,7 @@ def card_fields(elements: DataFrame) -> DataFrame:
     attr = lambda n: clean_text(F.element_at("attrs", n))
     anchors = elements.where(F.col("tag") == "a").select("page_id", "url", "ord", "text", "attrs", F.coalesce(_card(F.col("path")), F.col("ord")).alias("card"))
     src = F.coalesce(attr("src"), attr("data-src"), attr("data-original"), F.get(srcset_urls(attr("srcset")), F.lit(0)), F.get(srcset_urls(attr("data-srcset")), F.lit(0)))
-    up = F.transform("path", lambda s: s["ord"])
+    up = F.transform(ancestors(), lambda s: s["ord"])
     inner = elements.where(F.col("tag") != "a").select("page_id", F.col("ord").alias("at"), "tag", clean_text(F.col("text")).alias("said"), attr("alt").alias("alt"), src.alias("src"), attr("data-product-title").alias("data"), F.lower(F.coalesce(F.element_at("attrs", "class"), F.lit(""))).alias("cls"), up.alias("up"))
     own = inner.withColumn("holder", F.explode("up"))
     of = lambda key: anchors.select("page_id", "ord", F.col(key).alias("holder")).join(own, ["page_id", "holder"])
@@ -89,9 +91,13 @@ def card_fields(elements: DataFrame) -> DataFrame:
     return rows.select("page_id", "ord", title.alias("title"), F.coalesce(U.url_resolve(F.col("link_src"), F.col("url")), U.url_resolve(F.col("card_src"), F.col("url"))).alias("image_url"))
 
 
+# Fixed value: what stands behind the last separator of a title.
+SITE = r"[|\-–—]\s*([^|\-–—]{2,40})\s*$"
+
+
 def site_name(og: Column, title: Column) -> Column:
     """og:site_name, else what stands behind the last separator of the title (2 to 40 characters)."""
-    tail = F.trim(F.regexp_extract(title, r"[|\-–—]\s*([^|\-–—]{2,40})\s*$", 1))
+    tail = F.trim(F.regexp_extract(title, SITE, 1))
     return F.coalesce(clean_text(og), F.when(tail != "", tail))
 
 

@@ -76,7 +76,7 @@ _TSQL = "t AS (SELECT p_partkey, p_name, p_name || CASE p_partkey % 3 WHEN 0 THE
 register("site_name", ("part",), lambda p: _TITLES(p).select("p_partkey", R.site_name(F.when(_c("p_partkey") % 5 == 0, " Og  Name "), _c("title")).alias("site")), f"WITH {_TSQL} SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'Og Name' ELSE CASE p_partkey % 3 WHEN 0 THEN 'Handy Shop' WHEN 1 THEN 'handy shop' ELSE 'Black' END END AS site FROM t")
 register("strip_site_suffix", ("part",), lambda p: _TITLES(p).select("p_partkey", R.strip_site_suffix(_c("title"), F.lit("Handy Shop")).alias("title")), f"WITH {_TSQL} SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN p_name ELSE title END AS title FROM t")
 _HANDLES = lambda u: u.select("url_id", U.product_identity(U.product_url_normalize(_c("raw"), _c("base")))["handle"].alias("handle"))
-register("junk_product_filter", ("shop_urls",), lambda u: _HANDLES(u).select("url_id", R.junk_product_filter(_c("handle")).alias("junk")), "SELECT url_id, url_id % 16 IN (8, 9) AS junk FROM shop_urls")
+register("junk_product_filter", ("shop_urls",), lambda u: _HANDLES(u).select("url_id", R.junk_product_filter(_c("handle")).alias("junk")), "SELECT url_id, url_id < 1000000 AND url_id % 16 IN (8, 9) AS junk FROM shop_urls")
 # A listing is a supplier's month of line items; pages of ten; the same part may come again.
 _LINES = lambda l: l.select(F.concat(_c("l_suppkey").cast("string"), F.lit(":"), F.substring(_c("l_shipdate").cast("string"), 1, 4)).alias("listing_key"), (F.floor(_c("l_orderkey") / 200)).cast("int").alias("page_no"), (_c("l_orderkey") * 8 + _c("l_linenumber")).alias("ord"), F.concat(F.lit("handle:p-"), (_c("l_partkey") % 40).cast("string")).alias("product_key"), F.concat(F.when(_c("l_partkey") % 40 == 7, "order-insurance").otherwise("p-"), (_c("l_partkey") % 40).cast("string")).alias("handle"), F.when(_c("l_quantity") > 25, F.concat(F.lit("T"), _c("l_quantity").cast("int").cast("string"))).alias("title"), F.when(_c("l_linenumber") % 2 == 0, F.concat(F.lit("/i"), _c("l_linenumber").cast("string"))).alias("image_url"))
 _LSQL = "l AS (SELECT l_suppkey::VARCHAR || ':' || substr(l_shipdate::VARCHAR, 1, 4) AS listing_key, CAST(floor(l_orderkey / 200) AS INT) AS page_no, l_orderkey * 8 + l_linenumber AS ord, 'handle:p-' || (l_partkey % 40)::VARCHAR AS product_key, CASE WHEN l_partkey % 40 = 7 THEN 'order-insurance' ELSE 'p-' END || (l_partkey % 40)::VARCHAR AS handle, CASE WHEN l_quantity > 25 THEN 'T' || l_quantity::INT::VARCHAR END AS title, CASE WHEN l_linenumber % 2 = 0 THEN '/i' || l_linenumber::VARCHAR END AS image_url FROM lineitem)"

@@ -12,7 +12,7 @@ from .views import AS_OF
 
 # Building blocks of the SQL side; an expression e is a column name or SQL.
 _URL = r"'^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#\s]+)([^?#\s]*)(\?[^#\s]*)?(#\S*)?$'"
-_HOST = r"'^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@\s]*@)?([^/?#:\s]+)'"
+_HOST = r"'^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@\s]*@)?(\[[^\]/?#\s]*\]|[^/?#:\s]+)'"
 
 
 def _is(e):
@@ -55,10 +55,25 @@ def _collection(e):
     return f"nullif(lower(regexp_extract({_no_locale('(' + _path(e) + ')')}, '(?i)/collections/([^/?#]+)', 1)), '')"
 
 
-_BAD = r"(trim(raw) = '' OR starts_with(trim(raw), '#') OR (regexp_matches(trim(raw), '^[A-Za-z][A-Za-z0-9+.\-]*:') AND NOT regexp_matches(trim(raw), '(?i)^https?://')) OR regexp_matches(trim(raw), '(?:^|/)\.\.?(?:/|$)') OR regexp_matches(trim(raw), '\s'))"
+_BAD = r"(trim(raw) = '' OR starts_with(trim(raw), '#') OR (regexp_matches(trim(raw), '^[A-Za-z][A-Za-z0-9+.\-]*:') AND NOT regexp_matches(trim(raw), '(?i)^https?://')))"
+
+
+def _undotted(p):
+    """A path without dot segments, by rewriting it: single dots go, then up to five pairs of a name and two dots, then dots at the root."""
+    p = rf"regexp_replace(regexp_replace({p}, '/\.(?:/\.)*(/|$)', '/', 'g'), '/\.(/|$)', '/', 'g')"
+    for _ in range(5):
+        p = rf"regexp_replace({p}, '/(?:[^/.][^/]*|\.[^/.][^/]*|\.\.[^/]+)/\.\.(/|$)', '/')"
+    return rf"regexp_replace({p}, '^(?:/\.\.)+(/|$)', '/')"
 
 
 def _resolve(raw, base):
+    v = f"replace({_joined(raw, base)}, ' ', '%20')"
+    dotted = _undotted(r"regexp_extract(v, '^[A-Za-z][^:/]*://[^/?#]+([^?#]*)', 1)")
+    whole = rf"regexp_extract(v, '^[A-Za-z][^:/]*://[^/?#]+') || {dotted} || regexp_extract(v, '^[^?#]*(.*)$', 1)"
+    return rf"(list_transform([{v}], lambda v: CASE WHEN regexp_matches(v, '^[^?#]*/\.\.?([/?#]|$)') THEN {whole} ELSE v END)[1])"
+
+
+def _joined(raw, base):
     bad = _BAD.replace("raw", raw)
     return f"""(CASE WHEN {bad} OR ({_origin(base)}) IS NULL THEN NULL WHEN regexp_matches(trim({raw}), '(?i)^https?://') THEN trim({raw})
       WHEN starts_with(trim({raw}), '//') THEN {_scheme(base)} || ':' || trim({raw}) WHEN starts_with(trim({raw}), '/') THEN ({_origin(base)}) || trim({raw})
@@ -68,7 +83,8 @@ def _resolve(raw, base):
 c = F.col
 _bare = r"regexp_replace(regexp_replace(url, '#.*$', ''), '\?.*$', '')"
 _private = r"""(h IN ('localhost', '::1', '[::1]') OR h LIKE '%.localhost' OR h LIKE '%.local' OR h LIKE '%.internal' OR h LIKE 'fc%' OR h LIKE 'fd%' OR h LIKE 'fe80%' OR h LIKE '[fc%' OR h LIKE '[fd%' OR h LIKE '[fe80%'
-  OR h LIKE '0.%' OR h LIKE '10.%' OR h LIKE '127.%' OR h LIKE '169.254.%' OR h LIKE '192.168.%' OR (h LIKE '172.%' AND try_cast(string_split(h, '.')[2] AS INT) BETWEEN 16 AND 31))"""
+  OR (len(string_split(h, '.')) = 4 AND len(list_filter(string_split(h, '.'), lambda n: regexp_full_match(n, '[0-9]{1,3}'))) = 4
+      AND (try_cast(string_split(h, '.')[1] AS INT) IN (0, 10, 127) OR h LIKE '169.254.%' OR h LIKE '192.168.%' OR (h LIKE '172.%' AND try_cast(string_split(h, '.')[2] AS INT) BETWEEN 16 AND 31))))"""
 
 columns("url_validate", "full_urls", ("url_id",), {
     "host": (lambda: U.url_validate(c("url"))["host"], f"CASE WHEN {_scheme('trim(url)')} IN ('http', 'https') THEN {_host('trim(url)')} END"),

@@ -68,10 +68,20 @@ VIEWS = {
                  WHEN 9 THEN '/products/gift-card' WHEN 10 THEN '/products/tip-toe-' || CAST(p_partkey AS STRING) WHEN 11 THEN '#top'
                  WHEN 12 THEN '?page=3&sort_by=price' WHEN 13 THEN 'p-' || CAST(p_partkey AS STRING)
                  WHEN 14 THEN 'https://www.shop.example.com/de/collections/Sale/?sort_by=title&utm_campaign=z' ELSE '/products/bad%ZZ+plus-' || CAST(p_partkey AS STRING) END AS raw
+        FROM {part}
+        UNION ALL
+        SELECT 1000000 + p_partkey, 'https://shop.example.com/en-us/collections/all?sort_by=best-selling&page=2',
+               CASE p_partkey % 12
+                 WHEN 0 THEN '../../products/up-' || CAST(p_partkey AS STRING) WHEN 1 THEN './products/here-' || CAST(p_partkey AS STRING) || '/..'
+                 WHEN 2 THEN '  /products/two words-' || CAST(p_partkey AS STRING) || '?q=a b ' WHEN 3 THEN '../../../../../products/top-' || CAST(p_partkey AS STRING)
+                 WHEN 4 THEN 'https://shop.example.com/a/./b/../products/mid-' || CAST(p_partkey AS STRING) || '?from=/x/../y#/z/../w' WHEN 5 THEN '/products/.hidden..name-' || CAST(p_partkey AS STRING)
+                 WHEN 6 THEN 'http://[::1]/products/loop' WHEN 7 THEN '//10.example.com/products/ten' WHEN 8 THEN 'http://10.0.0.' || CAST(p_partkey % 200 AS STRING) || ':8080/products/lan'
+                 WHEN 9 THEN '..' WHEN 10 THEN '/a/b/./c/../../products/deep-' || CAST(p_partkey AS STRING) || '/' ELSE 'http://[fd00::7]:81/x/..' END
         FROM {part}""",
     "full_urls": """
         SELECT url_id, CASE WHEN url_id % 16 IN (1, 6, 7, 14) THEN raw WHEN url_id % 16 = 3 THEN 'https:' || raw WHEN url_id % 16 IN (0, 2, 8, 9, 10, 15) THEN 'https://shop.example.com' || raw ELSE base END AS url
-        FROM {shop_urls}
+        FROM {shop_urls} WHERE url_id < 1000000
+        UNION ALL SELECT url_id, CASE WHEN url_id % 12 IN (2, 3) THEN 'https://user:pw@127.cdn.example.net/a' WHEN raw LIKE 'http%' THEN raw WHEN raw LIKE '//%' THEN 'https:' || raw ELSE base END FROM {shop_urls} WHERE url_id >= 1000000
         UNION ALL SELECT -1 - page_id, url FROM {pages}""",
     "redirects": """
         SELECT p_partkey AS redirect_id, 'https://shop.example.com/collections/hats?sort_by=best-selling' || CASE WHEN p_partkey % 3 = 0 THEN '&page=2' ELSE '' END AS requested,
@@ -101,9 +111,9 @@ VIEWS = {
         FROM {pages} p CROSS JOIN (SELECT 'proxy' AS attempt, 0 AS k UNION ALL SELECT 'direct', 1) a""",
     "rank_tiers": """
         SELECT listing_key, tier, rank, product_key, has_sort_by FROM (
-          SELECT i.listing_key AS listing_key, t.tier AS tier, i.rank AS rank, i.product_key AS product_key, length(i.listing_key) % 2 = 0 OR ascii(substr(i.listing_key, length(i.listing_key), 1)) % 2 = 0 AS has_sort_by,
+          SELECT i.snapshot_id AS listing_key, t.tier AS tier, i.rank AS rank, i.product_key AS product_key, length(i.listing_key) % 2 = 0 OR ascii(substr(i.listing_key, length(i.listing_key), 1)) % 2 = 0 AS has_sort_by,
                  ascii(substr(i.listing_key, length(i.listing_key), 1)) % 4 AS c, ascii(substr(i.listing_key, length(i.listing_key) - 1, 1)) % 3 AS d, t.k AS k
-          FROM {rank_items} i CROSS JOIN (SELECT 'fetched_html' AS tier, 0 AS k UNION ALL SELECT 'rendered_html', 1 UNION ALL SELECT 'feed', 2) t WHERE i.checked_at = TIMESTAMP '1997-03-01 00:00:00'
+          FROM {rank_items} i CROSS JOIN (SELECT 'fetched_html' AS tier, 0 AS k UNION ALL SELECT 'rendered_html', 1 UNION ALL SELECT 'feed', 2) t
         ) x WHERE (k = 0 AND c IN (0, 1)) OR (k = 1 AND c <> 3) OR (k = 2 AND d <> 1)""",
     "usage_events": """
         SELECT event_id, user_id, ts, event_type AS endpoint, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, CASE WHEN event_id % 97 = 0 THEN NULL ELSE event_type <> 'error' END AS ok,
@@ -133,10 +143,10 @@ VIEWS = {
                CASE WHEN o_orderkey % 2 = 0 THEN TIMESTAMP '2024-01-20 00:00:00' END AS last_used_at, CASE WHEN o_orderkey % 9 <> 0 THEN 'po-' || CAST(o_orderkey % 3000 AS STRING) END AS provider_order_id
         FROM {orders}""",
     "image_meta": """
-        SELECT CAST(p.p_partkey AS BIGINT) AS image_id, p.p_brand AS product_id, p.p_partkey AS ord, CAST(p.p_size * 40 AS INT) AS width, CAST((p.p_partkey % 13) * 60 + 40 AS INT) AS height,
-               'https://cdn.example.com/' || CASE p.p_partkey % 6 WHEN 0 THEN 'logo' WHEN 1 THEN 'icon-set' WHEN 2 THEN 'shoe' WHEN 3 THEN 'sprite' WHEN 4 THEN 'cart-icon' ELSE 'photo' END || '-' || CAST(p.p_partkey AS STRING) || CASE WHEN p.p_partkey % 10 = 0 THEN '.svg?v=1' ELSE '.jpg' END AS url,
-               d.text AS content, CASE WHEN p.p_partkey % 3 = 0 THEN p.p_name END AS alt
-        FROM {part} p JOIN {documents} d ON d.doc_id = p.p_partkey % 150""",
+        SELECT d.doc_id AS image_id, d.doc_id % 40 AS product_id, d.doc_id AS ord, CAST((d.doc_id % 50 + 1) * 40 AS INT) AS width, CAST((d.doc_id % 13) * 60 + 40 AS INT) AS height,
+               'https://cdn.example.com/' || CASE d.doc_id % 6 WHEN 0 THEN 'logo' WHEN 1 THEN 'icon-set' WHEN 2 THEN 'shoe' WHEN 3 THEN 'sprite' WHEN 4 THEN 'cart-icon' ELSE 'photo' END || '-' || CAST(d.doc_id AS STRING) || CASE WHEN d.doc_id % 10 = 0 THEN '.svg?v=1' ELSE '.jpg' END AS url,
+               d.text AS content, CASE WHEN d.doc_id % 3 = 0 THEN d.source || ' ' || CAST(d.doc_id AS STRING) END AS alt
+        FROM {documents} d""",
     "runs": """
         SELECT 'run-' || CAST(event_id AS STRING) AS run_id, 'd' || CAST(user_id % 9 AS STRING) || '.example.com' AS domain, ts AS created_at, CAST(event_id * 1000 + 1 AS BIGINT) AS bytes FROM {events}""",
 }

@@ -2,96 +2,135 @@
 
 from __future__ import annotations
 
+import html
+from collections import Counter
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-# Elements without content, and elements whose start ends an open one of the same kind.
+from ..session import stored
+from .markup import Scanner, attributes
+
+# Elements without content, elements whose content is no markup, and elements whose start ends an open one of the same kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW, DECODED = frozenset("script style title textarea".split()), ("title", "textarea")
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+HOLDS = ("table", "ul", "ol", "div", "section", "article", "select")
+#: Attributes besides id, class and role that operators look for in ancestors.
+MARKS = ("itemtype", "data-section-type", "data-product-handle", "data-product-id", "aria-label")
+#: Elements that lie deeper count as children of the element at this depth, as in browsers.
+DEPTH = 512
 
 STEP = "struct<ord:int,tag:string,id:string,cls:string,role:string,attrs:map<string,string>>"
 SCHEMA = f"page_id bigint, url string, ord int, tag string, attrs map<string,string>, text string, next_text string, parent_text string, path array<{STEP}>"
 
 
-class _Elements(HTMLParser):
-    """Elements in document order with their text, ancestors and next sibling; end tags may be missing."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.nodes: list[dict] = []
-        self.stack: list[dict] = []
-        self.root: dict = {"last": None}
-
-    def _close(self, at: int) -> None:
-        del self.stack[at:]
-
-    def handle_starttag(self, tag, attrs):
+class _Node:
+    __slots__ = ("ord", "tag", "attrs", "parent", "next", "last", "start", "stop", "path")
+
+    def __init__(self, order: int, tag: str, attrs: dict[str, str], parent: _Node | None, start: int):
+        self.ord, self.tag, self.attrs, self.parent, self.start, self.stop = order, tag, attrs, parent, start, start
+        self.next = self.last = self.path = None
+
+    def steps(self) -> list[dict]:
+        """The ancestors from the root and the element itself."""
+        chain, node = [], self
+        while node is not None:
+            if node.path is None:
+                a = node.attrs
+                node.path = {"ord": node.ord, "tag": node.tag, "id": a.get("id", ""), "cls": a.get("class", ""), "role": a.get("role", ""), "attrs": [(k, a[k]) for k in MARKS if k in a]}
+            chain.append(node.path)
+            node = node.parent
+        return chain[::-1]
+
+
+def _nodes(page: str) -> tuple[list[_Node], str]:
+    """Elements in document order, with their places in the page's text; end tags may be missing."""
+    nodes: list[_Node] = []
+    stack: list[_Node] = []
+    deeper: Counter = Counter()  # open elements below DEPTH, which are on no stack
+    said: list[str] = []
+    size = 0
+    root = _Node(-1, "", {}, None, 0)
+
+    def close(to: int) -> None:
+        for node in stack[to:]:
+            node.stop = size
+        del stack[to:]
+        deeper.clear()
+
+    for before, tag, is_end, rest, content in Scanner(page, RAW):
+        if before:
+            said.append(text := html.unescape(before))
+            size += len(text)
+        if not tag:
+            continue
+        if is_end:
+            if deeper[tag]:
+                deeper[tag] -= 1
+                continue
+            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), -1)
+            if at >= 0:
+                close(at)
+            continue
         if tag in CLOSES_P or tag in ENDS:
             closed = ENDS.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-            for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k]["tag"] in closed:
-                    self._close(k)
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k].tag in closed:
+                    close(k)
                     break
-                if self.stack[k]["tag"] in ("table", "ul", "ol", "div", "section", "article", "select"):
+                if stack[k].tag in HOLDS:
                     break
-        parent = self.stack[-1] if self.stack else None
-        node = {"ord": len(self.nodes), "tag": tag, "attrs": {k: v or "" for k, v in reversed(attrs)}, "parts": [], "parent": parent, "next": None, "last": None}
-        holder = parent or self.root
-        if holder["last"] is not None:
-            holder["last"]["next"] = node
-        holder["last"] = node
-        self.nodes.append(node)
-        if tag not in VOID:
-            self.stack.append(node)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k]["tag"] == tag:
-                self._close(k)
-                break
-
-    def handle_data(self, data):
-        for node in self.stack:
-            node["parts"].append(data)
+        parent = stack[-1] if stack else None
+        node = _Node(len(nodes), tag, attributes(rest), parent, size)
+        holder = parent or root
+        if holder.last is not None:
+            holder.last.next = node
+        holder.last = node
+        nodes.append(node)
+        if content is not None:
+            said.append(text := html.unescape(content) if tag in DECODED else content)
+            size += len(text)
+            node.stop = size
+        elif tag not in VOID and not rest.endswith("/"):
+            if len(stack) < DEPTH:
+                stack.append(node)
+            else:
+                deeper[tag] += 1
+    close(0)
+    return nodes, "".join(said)
 
 
 def page_elements(page: str, tags: frozenset[str], with_neighbours: frozenset[str]) -> list[dict]:
     """Rows for the wanted tags of one page."""
-    parser = _Elements()
-    parser.feed(page)
-    parser.close()
+    nodes, said = _nodes(page)
     rows = []
-    for node in parser.nodes:
-        if node["tag"] not in tags:
+    for node in nodes:
+        if node.tag not in tags:
             continue
-        path, up = [], node["parent"]
-        while up is not None:
-            a = up["attrs"]
-            path.append({"ord": up["ord"], "tag": up["tag"], "id": a.get("id", ""), "cls": a.get("class", ""), "role": a.get("role", ""), "attrs": list(a.items())})
-            up = up["parent"]
-        near = node["tag"] in with_neighbours
+        near = node.tag in with_neighbours
         rows.append({
-            "ord": node["ord"], "tag": node["tag"], "attrs": list(node["attrs"].items()), "text": "".join(node["parts"]),
-            "next_text": "".join(node["next"]["parts"]) if near and node["next"] else None,
-            "parent_text": "".join(node["parent"]["parts"]) if near and node["parent"] else None, "path": path[::-1],
+            "ord": node.ord, "tag": node.tag, "attrs": list(node.attrs.items()), "text": said[node.start : node.stop],
+            "next_text": said[node.next.start : node.next.stop] if near and node.next else None,
+            "parent_text": said[node.parent.start : node.parent.stop] if near and node.parent else None, "path": node.steps(),
         })
     return rows
 
 
+def ancestors(path: str | Column = "path") -> Column:
+    """A path without the element itself."""
+    path = F.col(path) if isinstance(path, str) else path
+    return F.slice(path, F.lit(1), F.size(path) - 1)
+
+
 def html_elements(pages: DataFrame, tags: tuple[str, ...], with_neighbours: tuple[str, ...] = ()) -> DataFrame:
     """(page_id, url, html) -> a row for each element of the wanted tags, in document order.
 
-    ``path`` holds the ancestors from the root. ``with_neighbours`` names tags for which the texts of the next
-    sibling and of the parent are given. Nothing is pushed through the parser: filter pages before it.
+    ``path`` holds the ancestors from the root and the element itself, last; of their attributes only MARKS.
+    ``with_neighbours`` names tags for which the texts of the next sibling and of the parent are given. The table is
+    stored once, so that however many branches a plan has, a page is parsed once. Filter pages before it.
     """
     wanted, near = frozenset(tags), frozenset(with_neighbours)
     text, attrs = pa.string(), pa.map_(pa.string(), pa.string())
@@ -108,4 +147,5 @@ def html_elements(pages: DataFrame, tags: tuple[str, ...], with_neighbours: tupl
                     rows = []
             yield pa.RecordBatch.from_pylist(rows, kind)
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, SCHEMA)
+    source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    return stored(source.mapInArrow(run, SCHEMA), "elements")
