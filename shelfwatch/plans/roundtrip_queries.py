@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import urls as U
@@ -9,8 +11,9 @@ from ..session import shared_folder
 from ..sources import sinks
 from ..streaming import streams
 from .extract_queries import FACTS, TITLE, fields
-from .registry import register
+from .registry import ORACLE_SQL, register
 from .snapshot_queries import CHANGES
+from .stream_queries import PROGRESS, stamped
 from .url_text import _host
 
 _HEAD = "SELECT page_id, {} AS domain, CAST(length(html) AS INT) AS chars FROM pages".format(_host("url"))
@@ -41,13 +44,34 @@ def _as_stream(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).parquet(f"{folder}/in")
 
 
+def updated(df: DataFrame, name: str, make: Callable[[DataFrame], DataFrame], *keys: str) -> DataFrame:
+    """The batch as a stream of files, through a streaming operator, with the last row of each key."""
+    folder = shared_folder(df.sparkSession, name)
+    streams.write_updates(make(_as_stream(df, folder)), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return streams.latest(df.sparkSession.read.parquet(f"{folder}/out"), *keys)
+
+
 def rank_changes_stream(items: DataFrame) -> DataFrame:
-    folder, spark = shared_folder(items.sparkSession, "ranks"), items.sparkSession
     source = items.select("listing_key", "snapshot_id", F.col("checked_at").cast("timestamp").alias("checked_at"), "rank", "product_key")
-    changes = streams.rank_diff_stream(_as_stream(source, folder))
-    query = changes.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    # The whole history comes unordered here, so all of it has to be remembered.
+    made = updated(source, "ranks", lambda d: streams.rank_diff_stream(d, 1000), "listing_key", "snapshot_id", "product_key")
+    return made.where("direction is not null")
+
+
+def tails_stream(events: DataFrame) -> DataFrame:
+    made = updated(PROGRESS(events), "tails", lambda d: streams.progress_tail_stream(d, 5), "run_id")
+    rows = made.select("run_id", F.explode(F.from_json("tail", "array<array<string>>")).alias("event"))
+    return rows.select("run_id", F.get("event", F.lit(0)).cast("long").alias("seq"))
+
+
+def repeats_stream(ledger: DataFrame) -> DataFrame:
+    """Keys once each, and every event without one; which event of a key a stream keeps is the first to come."""
+    folder, spark = shared_folder(ledger.sparkSession, "repeats"), ledger.sparkSession
+    kept = streams.idempotent_events(_as_stream(ledger, folder), "provider_order_id", "4000 days")
+    query = kept.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    rows = spark.read.parquet(f"{folder}/out")
+    return rows.select("provider_order_id", F.when(F.col("provider_order_id").isNull(), F.col("event_id")).alias("event_id"))
 
 
 def page_stream(pages: DataFrame) -> DataFrame:
@@ -62,3 +86,12 @@ register("write_data_json", ("pages",), data_json, _HEAD)
 register("write_raw", ("pages",), raw, _HEAD)
 register("rank_diff_stream", ("rank_items", "rank_snapshots"), lambda i, h: rank_changes_stream(i), f"WITH {CHANGES} SELECT pairs.listing_key, snapshot_id, product_key, CAST(previous_rank AS BIGINT) AS previous_rank, CAST(current_rank AS BIGINT) AS current_rank, direction FROM changes JOIN pairs USING (snapshot_id)")
 register("page_extract_stream", ("page_seo",), page_stream, f"WITH {FACTS} SELECT page_id, value, source FROM (SELECT page_id, {TITLE} FROM f)")
+
+# The other streaming operators over streams of files; each gives what its batch form gives.
+register("progress_tail_stream", ("events",), tails_stream)
+register("rate_limit_windows_stream", ("usage_events",), lambda e: updated(stamped(e), "minutes", lambda d: streams.rate_limit_windows(d, 1), "minute", "user_id"))
+register("usage_stream_daily_stream", ("usage_events",), lambda e: updated(stamped(e), "days", streams.usage_stream_daily, "user_id", "day"))
+register("quota_stream_sliding", ("usage_events",), lambda e: updated(stamped(e), "quota", lambda d: streams.quota_stream(d, 5, "1 hour"), "user_id", "until"))
+register("idempotent_events_stream", ("credit_ledger",), lambda d: repeats_stream(d.withColumn("ts", F.col("created_at").cast("timestamp"))), "SELECT DISTINCT provider_order_id, CASE WHEN provider_order_id IS NULL THEN event_id END AS event_id FROM credit_ledger")
+for _stream, _batch in (("progress_tail_stream", "progress_tail"), ("rate_limit_windows_stream", "rate_limit_windows"), ("usage_stream_daily_stream", "usage_stream_daily"), ("quota_stream_sliding", "quota_stream")):
+    ORACLE_SQL[_stream] = ORACLE_SQL[_batch]

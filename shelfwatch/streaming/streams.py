@@ -60,45 +60,80 @@ def quota_stream(events: DataFrame, hours: int = 5, slide: str = "15 minutes", l
 
 
 def idempotent_events(events: DataFrame, key: str, within: str = "1 day") -> DataFrame:
-    """Each key once (within the watermark, for a stream); events without a key all stay in a batch only."""
+    """Each key once (within the watermark, for a stream); events without a key all stay."""
+    named, bare = events.where(F.col(key).isNotNull()), events.where(F.col(key).isNull())
     if events.isStreaming:
-        return events.withWatermark("ts", within).dropDuplicatesWithinWatermark([key])
+        return named.withWatermark("ts", within).dropDuplicatesWithinWatermark([key]).unionByName(bare.withWatermark("ts", within))
     first = Window.partitionBy(key).orderBy("ts", "event_id")
-    named = events.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return named.unionByName(events.where(F.col(key).isNull()))
+    return named.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").unionByName(bare)
 
 
-def rank_diff_stream(items: DataFrame) -> DataFrame:
-    """A stream of ranked items -> changes of each new snapshot against the one before it in its listing.
+def _changes(before: dict[str, int], now: dict[str, int]) -> dict[str, tuple]:
+    """product -> (previous rank, current rank, direction)."""
+    found = {}
+    for product in [*now, *(p for p in before if p not in now)]:
+        old, new = before.get(product), now.get(product)
+        if old is None or new is None:
+            way = "new" if old is None else "missing"
+        else:
+            way = "up" if old > new else "down" if old < new else "same"
+        found[product] = (old, new, way)
+    return found
 
-    Columns: listing_key, snapshot_id, checked_at, rank, product_key. A snapshot has to arrive whole in one
-    trigger; one that is older than the remembered one is skipped. State holds one snapshot for each listing.
+
+#: Snapshots of a listing that a stream remembers.
+REMEMBERED = 3
+
+
+def rank_diff_stream(items: DataFrame, remembered: int = REMEMBERED) -> DataFrame:
+    """A stream of ranked items -> changes of each snapshot against the one before it in its listing, as updates.
+
+    Columns: listing_key, snapshot_id, checked_at, rank, product_key. A snapshot may come in any number of triggers and
+    in any order: each trigger gives the rows that are new or other than before, keyed by listing, snapshot and
+    product; the last one counts (``latest``). A row with a null direction takes an earlier one back. State holds the
+    newest ``remembered`` snapshots of a listing; rows of older ones are skipped.
     """
 
+    def all_changes(known: list, cut: bool) -> dict[tuple, tuple]:
+        made = {}
+        for k, (_, snapshot, ranks) in enumerate(known):
+            if k or not cut:  # nothing is known of what stood before the first one, once older ones are forgotten
+                made |= {(snapshot, p): c for p, c in _changes(known[k - 1][2] if k else {}, ranks).items()}
+        return made
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, ranks = json.loads(state.get[0]) if state.exists else (None, {})
-        rows = pd.concat(list(batches)).sort_values(["checked_at", "snapshot_id", "rank"])
-        made = []
-        for (at, snapshot), part in rows.groupby(["checked_at", "snapshot_id"], sort=True):
-            order = [str(at), snapshot]
-            if last is not None and order <= last:
-                continue
-            now = {p: int(r) for p, r in zip(part["product_key"], part["rank"], strict=True)}
-            for product in [*now, *(p for p in ranks if p not in now)]:
-                before, after = ranks.get(product), now.get(product)
-                if before is None or after is None:
-                    way = "new" if before is None else "missing"
-                else:
-                    way = "up" if before > after else "down" if before < after else "same"
-                made.append((key[0], snapshot, product, before, after, way))
-            last, ranks = order, now
-        state.update((json.dumps([last, ranks]),))
+        known, cut = json.loads(state.get[0]) if state.exists else ([], False)
+        before = all_changes(known, cut)
+        by_order = {(at, snapshot): ranks for at, snapshot, ranks in known}
+        for (at, snapshot), part in pd.concat(list(batches)).groupby(["checked_at", "snapshot_id"], sort=True):
+            order = (str(at), snapshot)
+            if not (cut and order < min(by_order)):
+                by_order.setdefault(order, {}).update(zip(part["product_key"], map(int, part["rank"]), strict=True))
+        known = [[*order, ranks] for order, ranks in sorted(by_order.items())]
+        after = all_changes(known, cut)
+        rows = [(key[0], *k, *v) for k, v in after.items() if before.get(k) != v]
+        rows += [(key[0], *k, None, None, None) for k in before if k not in after]
+        state.update((json.dumps([known[-remembered:], cut or len(known) > remembered]),))
         columns = ["listing_key", "snapshot_id", "product_key", "previous_rank", "current_rank", "direction"]
-        out = pd.DataFrame(made, columns=columns)
-        yield out.astype({"previous_rank": "Int64", "current_rank": "Int64"})
+        yield pd.DataFrame(rows, columns=columns).astype({"previous_rank": "Int64", "current_rank": "Int64"})
 
     schema = "listing_key string, snapshot_id string, product_key string, previous_rank long, current_rank long, direction string"
-    return items.groupBy("listing_key").applyInPandasWithState(step, schema, "known string", "append", GroupStateTimeout.NoTimeout)
+    return items.groupBy("listing_key").applyInPandasWithState(step, schema, "known string", "update", GroupStateTimeout.NoTimeout)
+
+
+def write_updates(updates: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    """Append each trigger's updated rows to a Parquet sink, in a folder of its number, so that a repeated trigger replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    return updates.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(updates: DataFrame, *keys: str) -> DataFrame:
+    """What ``write_updates`` wrote -> the last row of each key."""
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row")).select(*keys, "row.*")
 
 
 def page_extract_stream(pages: DataFrame, extract: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> StreamingQuery:
