@@ -180,7 +180,7 @@ def turn_events(conversations: DataFrame) -> DataFrame:
         role = F.when(F.lit(kind in ("message", "regenerate")), F.col("role"))
         return F.struct(seq.alias("seq"), F.concat(name, F.lit(of)).alias("message_id"), F.lit(kind).alias("kind"), role.alias("role"), said.alias("text"))
 
-    taken_back = [event(1, "message", text, "/taken back"), event(2, "delta", F.lit(" and more"), "/taken back"), event(3, "delete", none, "/taken back")]
+    taken_back = [event(1, "message", F.lit("sent by mistake"), "/taken back"), event(2, "delta", F.lit(" and more"), "/taken back"), event(3, "delete", none, "/taken back")]
     streamed = [event(4, "delta", F.substr(text, half + 1)), event(5, "delta", F.lit(" (first answer)")), event(6, "regenerate", none)]
     streamed += [event(7 + k, "delta", F.substr(text, width * k + 1, width)) for k in range(PIECES)]
     typed = [event(4, "message", F.substr(text, F.lit(1), half)), event(8 + PIECES, "edit", text, later=1)]
