@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..operators import extract as E
 from ..sources.html import html_elements
-from .registry import register
+from ..sources.tables import scan_pages
+from .registry import register, register_path
 from .url_text import _host, _path
 
 TAGS = ("title", "meta", "link", "script", "h1", "h2", "h3", "h4", "dt", "summary", "strong", "b")
@@ -58,7 +59,7 @@ PRODUCT_TITLE = _chain(("ld_name", "'jsonld:Product.name'", "0.95", "0"), ("CASE
 PRODUCT_DESCRIPTION = _chain(("ld_description", "'jsonld:Product.description'", "0.95", "0"), ("og_description", "'og:description'", "0.85", "0"), ("meta", "'meta_description'", "0.9", "0"), none="none")
 FIVE = {"title": TITLE, "description": DESCRIPTION, "canonical_url": CANONICAL, "product_title": PRODUCT_TITLE, "product_description": PRODUCT_DESCRIPTION}
 
-register("scan_pages", ("pages",), lambda p: p.select("page_id", "url", F.char_length("html").alias("chars")), "SELECT page_id, url, CAST(length(html) AS INT) AS chars FROM pages")
+register_path("scan_pages", "pages", lambda spark, path: scan_pages(spark, path).select("page_id", "url", F.char_length("html").alias("chars")), "SELECT page_id, url, CAST(length(html) AS INT) AS chars FROM pages")
 register("html_elements", ("pages",), lambda p: html_elements(p, ("title", "h1")).select("page_id", "tag", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text")),
          f"SELECT page_id, 'title' AS tag, coalesce({_text(_tag('<title>(.*?)</title>'))}, '') AS text FROM pages UNION ALL SELECT page_id, 'h1', coalesce({_text(_tag('<h1>(.*?)</h1>'))}, '') FROM pages")
 register("meta_tags", ("page_seo",), lambda p: E.meta_tags(elements(p)).select("page_id", "name", "property", "content"),
@@ -79,8 +80,8 @@ for _name, _sql in FIVE.items():
 register("degenerate_title", ("page_seo",), lambda p: facts(p).select("page_id", E.degenerate_title(F.col("title_tag"), F.concat(F.col("title_tag"), F.when(F.col("page_id") % 2 == 0, "!").otherwise(" 2"))).alias("bad")),
          f"WITH {FACTS} SELECT page_id, coalesce(trim(regexp_replace(strip_accents(lower(title_tag)), '[^a-z0-9]+', ' ', 'g')) = trim(regexp_replace(strip_accents(lower(title_tag || CASE WHEN page_id % 2 = 0 THEN '!' ELSE ' 2' END)), '[^a-z0-9]+', ' ', 'g')), false) AS bad FROM f")
 register("page_empty_flag", ("page_seo",), lambda p: fields(p).select("page_id", "empty"), f"WITH {FACTS} SELECT page_id, coalesce(ld_name, og_title, h1) IS NULL AND coalesce(ld_description, og_description, meta) IS NULL AND n_structured = 0 AS empty FROM f")
-_WARNED = " UNION ALL ".join(f"SELECT page_id, warned FROM (SELECT page_id, {s} FROM f)" for s in FIVE.values())
-register("field_warnings", ("page_seo",), lambda p: fields(p).select("page_id", F.size("warnings").alias("warned")), f"WITH {FACTS} SELECT page_id, CAST(sum(warned) AS INT) AS warned FROM ({_WARNED}) GROUP BY page_id")
+WARNED = " UNION ALL ".join(f"SELECT page_id, warned FROM (SELECT page_id, {s} FROM f)" for s in FIVE.values())
+register("field_warnings", ("page_seo",), lambda p: fields(p).select("page_id", F.size("warnings").alias("warned")), f"WITH {FACTS} SELECT page_id, CAST(sum(warned) AS INT) AS warned FROM ({WARNED}) GROUP BY page_id")
 register("seo_snapshot", ("page_seo",), lambda p: fields(p).select("page_id", U.host(F.col("url")).alias("domain"), F.to_json(F.struct(*[F.struct(F.col(f"{n}.source").alias("source"), F.size(f"{n}.warnings").alias("warned")).alias(n) for n in FIVE])).alias("snapshot")),
          f"WITH {FACTS} SELECT page_id, domain, '{{' || string_agg('\"' || n || '\":{{\"source\":\"' || source || '\",\"warned\":' || warned::VARCHAR || '}}', ',' ORDER BY k) || '}}' AS snapshot FROM (" + " UNION ALL ".join(f"SELECT page_id, {_host('url')} AS domain, '{n}' AS n, {k} AS k, source, warned FROM (SELECT page_id, url, {s} FROM f)" for k, (n, s) in enumerate(FIVE.items())) + ") GROUP BY page_id, domain")
 _FF = {
@@ -101,5 +102,5 @@ register("store_title_audit", ("page_seo",), lambda p: E.store_title_audit(facts
 register("field_coverage", ("page_seo",), lambda p: E.field_coverage(fields(p)),
          f"WITH {FACTS}, r AS (" + " UNION ALL ".join(f"SELECT {_host('url')} AS host, '{n}' AS field, source, confidence, value IS NULL AS missing FROM (SELECT url, {s} FROM f)" for n, s in FIVE.items())
          + ") SELECT coalesce(field, '*') AS field, coalesce(source, '*') AS source, coalesce(host, '*') AS host, count(*) AS pages, round(avg(confidence), 6) AS confidence, round(avg(CASE WHEN missing THEN 1.0 ELSE 0 END), 6) AS missing FROM r GROUP BY ROLLUP (field, source, host)")
-register("label_section_text", ("pages",), lambda p: E.label_section_text(html_elements(p.withColumn("html", F.concat(F.lit("<div><h3>Product Details "), F.col("page_id").cast("string"), F.lit("</h3><p>"), F.regexp_extract("html", "<p><b>([^<]{0,60})", 1), F.lit("</p></div>"))), NEAR, NEAR)),
-         f"SELECT page_id, CASE WHEN length(t) >= 30 THEN t ELSE 'Product Details ' || page_id::VARCHAR || t END AS label_text FROM (SELECT page_id, {_text(_tag('<p><b>([^<]{0,60})'))} AS t FROM pages) WHERE length('Product Details ' || page_id::VARCHAR || t) >= 30")
+register("label_section_text", ("pages",), lambda p: E.label_section_text(html_elements(p.withColumn("html", F.concat(F.lit("<div><h3>Product Details "), F.col("page_id").cast("string"), F.lit("</h3><p>"), F.regexp_extract("html", "<p><b>([^<]*)", 1), F.lit("</p></div>"))), NEAR, NEAR)),
+         f"SELECT page_id, CASE WHEN length(t) >= 30 THEN t ELSE 'Product Details ' || page_id::VARCHAR || t END AS label_text FROM (SELECT page_id, {_text(_tag('<p><b>([^<]*)'))} AS t FROM pages) WHERE length('Product Details ' || page_id::VARCHAR || t) >= 30")

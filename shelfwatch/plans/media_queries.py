@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..operators import extract as E
 from ..operators import media as M
+from ..session import stored
 from ..sources.html import html_elements
 from .registry import columns, register
 
@@ -15,8 +16,11 @@ IMAGE_TAGS = ("img", "source", "link", "meta", "script", "div")
 
 
 def _gallery(pages):
-    """Pages with a small gallery that is made from their own id and title."""
-    piece = F.concat(F.lit('<main><div class="product-gallery"><img src="/a-'), _c("page_id").cast("string"), F.lit('.jpg" alt="x"><img data-src="/b.jpg?utm_source=q&w=3" srcset="/c.jpg 1x, /a-'), _c("page_id").cast("string"), F.lit('.jpg 2x"><picture><source srcset="/d.webp 1x"></picture><div style="background-image: url(\'/e.png\')"></div></div></main><nav><img src="/logo.png"></nav>'))
+    """Pages with a small gallery that is made from their own id, in four kinds of containers; every fourth page has none."""
+    kind = _c("page_id") % 4
+    opened = F.when(kind == 0, '<main><div class="x product-gallery">').when(kind == 1, '<main><div itemtype="https://schema.org/Product">').when(kind == 2, "<main><article>").otherwise("<section><article>")
+    closed = F.when(kind < 2, "</div></main>").when(kind == 2, "</article></main>").otherwise("</article></section>")
+    piece = F.concat(opened, F.lit('<img class="review-photo" src="/r.jpg"><img src="/a-'), _c("page_id").cast("string"), F.lit('.jpg" alt="x"><img data-src="/b.jpg?utm_source=q&w=3" srcset="/c.jpg 1x, /a-'), _c("page_id").cast("string"), F.lit('.jpg 2x"><picture><source srcset="/d.webp 1x"></picture><div style="background-image: url(\'/e.png\')"></div>'), closed, F.lit('<nav><img src="/logo.png"></nav>'), F.when(kind < 3, '<p><img src="/elsewhere.jpg"></p>').otherwise(""))
     return pages.withColumn("html", F.concat(F.lit('<link rel="preload" as="image" href="/f.jpg">'), piece, "html"))
 
 
@@ -36,14 +40,14 @@ register("discover_images", ("page_seo",), lambda p: discovered(p).select("page_
 register("tier_counts", ("page_seo",), lambda p: M.tier_counts(discovered(p)), f"WITH {_FOUND} SELECT page_id, {', '.join(f'count(*) FILTER (WHERE tier = {chr(39)}{t}{chr(39)}) AS {t}' for t in M.TIERS)} FROM found GROUP BY page_id")
 register("dom_images", ("page_seo",), lambda p: M.dom_images(html_elements(_gallery(p), IMAGE_TAGS)).select("page_id", "raw", "source"),
          f"SELECT page_id, CASE WHEN d.raw = '/a-' THEN '/a-' || page_id::VARCHAR || '.jpg' WHEN d.o = 3 THEN '/b.jpg?utm_source=q&w=3' ELSE d.raw END AS raw, d.source AS source FROM page_seo CROSS JOIN {_DOM} AS d(tier, o, raw, source) UNION ALL SELECT page_id, '/a-' || page_id::VARCHAR || '.jpg', 'srcset' FROM page_seo")
-register("product_scope", ("page_seo",), lambda p: M.product_scope(html_elements(_gallery(p), ("img", "source"))).select("page_id", F.col("scope").isNotNull().alias("found")), "SELECT page_id, true AS found FROM page_seo")
-register("excluded_section", ("page_seo",), lambda p: html_elements(_gallery(p), ("img",)).groupBy("page_id").agg(F.count_if(M.excluded_section(_c("path"))).alias("excluded"), F.count(F.lit(1)).alias("images")), "SELECT page_id, CAST(1 AS BIGINT) AS excluded, CAST(3 AS BIGINT) AS images FROM page_seo")
+register("product_scope", ("page_seo",), lambda p: M.product_scope(html_elements(_gallery(p), ("img", "source"))), "SELECT page_id, CAST(2 AS INT) AS scope FROM page_seo WHERE page_id % 4 < 3")
+register("excluded_section", ("page_seo",), lambda p: html_elements(_gallery(p), ("img",)).groupBy("page_id").agg(F.count_if(M.excluded_section(_c("path"))).alias("excluded"), F.count(F.lit(1)).alias("images")), "SELECT page_id, CAST(2 AS BIGINT) AS excluded, CAST(CASE WHEN page_id % 4 < 3 THEN 5 ELSE 4 END AS BIGINT) AS images FROM page_seo")
 register("jsonld_images", ("page_seo",), lambda p: M.jsonld_images(E.jsonld_nodes(html_elements(p, ("script",)))).select("page_id", "at", "raw", "source"),
          "SELECT page_id, CAST(k - 1 AS INT) AS at, 'https://cdn.example.com/' || k::VARCHAR || '.jpg' AS raw, CASE k WHEN 1 THEN 'jsonld' ELSE 'jsonld:ImageObject' END AS source FROM page_seo CROSS JOIN (VALUES (1), (2)) AS v(k) WHERE page_id % 8 = 5".replace("AS at,", 'AS "at",'))
 columns("excluded_asset", "image_meta", ("image_id",), {"excluded": (lambda: M.excluded_asset(_c("url")), "regexp_matches(lower(url), '\\.svg($|\\?)|sprite|logo|\\bicon\\b|cart')")})
 columns("template_placeholder", "image_meta", ("image_id",), {"placeholder": (lambda: M.template_placeholder(F.when(_c("image_id") % 3 == 0, F.concat(F.lit("/{{ "), _c("alt"), F.lit(" }}"))).when(_c("image_id") % 3 == 1, F.concat("url", F.lit("%3Cx"))).otherwise(_c("url"))), "image_id % 3 <> 2")})
 register("fetch_first_images", ("page_seo",), lambda p: M.fetch_first_images(_gallery(p)),
-         f"SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS INT) AS nth, image FROM (SELECT page_id, {_ORIGIN} || '/img/' || page_id::VARCHAR || '.jpg' AS image, 0 AS o FROM page_seo WHERE page_id % 8 = 2 UNION ALL SELECT page_id, {_ORIGIN} || '/a-' || page_id::VARCHAR || '.jpg', 1 FROM page_seo UNION ALL SELECT page_id, {_ORIGIN} || '/b.jpg?utm_source=q&w=3', 2 FROM page_seo UNION ALL SELECT page_id, {_ORIGIN} || '/logo.png', 3 FROM page_seo)")
+         f"SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS INT) AS nth, image FROM (SELECT page_id, {_ORIGIN} || '/img/' || page_id::VARCHAR || '.jpg' AS image, 0 AS o FROM page_seo WHERE page_id % 8 = 2 UNION ALL SELECT page_id, {_ORIGIN} || '/r.jpg', 0.5 FROM page_seo UNION ALL SELECT page_id, {_ORIGIN} || '/a-' || page_id::VARCHAR || '.jpg', 1 FROM page_seo UNION ALL SELECT page_id, {_ORIGIN} || '/b.jpg?utm_source=q&w=3', 2 FROM page_seo UNION ALL SELECT page_id, {_ORIGIN} || '/logo.png', 3 FROM page_seo UNION ALL SELECT page_id, {_ORIGIN} || '/elsewhere.jpg', 4 FROM page_seo WHERE page_id % 4 < 3)")
 columns("content_sha256", "documents", ("doc_id",), {"sha": (lambda: H.content_sha256(_c("text").cast("binary")), "sha256(text)")})
 _AT = [r * 8 + k for r in range(8) for k in range(7)]
 _DHASH = "list_aggregate(list_transform([" + ", ".join(map(str, _AT)) + "], lambda i: CASE WHEN embedding[i + 1] < embedding[i + 2] THEN '1' ELSE '0' END), 'string_agg', '')"
@@ -68,8 +72,15 @@ register("phash_bits", ("embeddings",), lambda d: d.select("vec_id", H.phash_bit
 _IMAGES = lambda d: d.select((F.floor(_c("vec_id") / 25)).cast("long").alias("product_id"), _c("vec_id").cast("long").alias("ord"), H.dhash_bits(_c("embedding"), 8, 8).alias("dhash"), _gray(_c("embedding")).alias("gray"))
 register("leader_groups", ("embeddings",), lambda d: M.leader_groups(_IMAGES(d)))
 _FAILED = lambda d: _IMAGES(d).groupBy("product_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(_c("ord") % 7 == 0).alias("failed"))
-register("selection_fallback", ("embeddings",), lambda d: M.selection_fallback(M.leader_groups(_IMAGES(d)), _FAILED(d)))
-register("selection_report", ("embeddings",), lambda d: M.selection_report(M.leader_groups(_IMAGES(d)), M.selection_fallback(M.leader_groups(_IMAGES(d)), _FAILED(d))))
+register("selection_fallback", ("embeddings",), lambda d: M.selection_fallback(M.leader_groups(_IMAGES(d)), _FAILED(d), enabled=True))
+
+
+def _report(d):
+    groups = stored(M.leader_groups(_IMAGES(d)), "groups")
+    return M.selection_report(groups, M.selection_fallback(groups, _FAILED(d), enabled=True))
+
+
+register("selection_report", ("embeddings",), _report)
 register("exact_dup_filter", ("image_meta",), lambda i: M.exact_dup_filter(i.withColumn("sha", F.sha2("content", 256)), "product_id", "sha", "ord").select("image_id", "similar_to"),
          "WITH m AS (SELECT *, min(ord) OVER (PARTITION BY product_id, sha256(content)) AS first_ord FROM image_meta) SELECT image_id, CASE WHEN first_ord < ord THEN first_ord END AS similar_to FROM m")
 register("quality_filter", ("image_meta",), lambda i: M.quality_filter(i).select("image_id", "reason"), "SELECT image_id, CASE WHEN width < 300 OR height < 300 THEN 'too_small' WHEN greatest(width / height, height / width) > 3 THEN 'extreme_ratio' END AS reason FROM image_meta")

@@ -52,25 +52,68 @@ _HREF = r"""a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=
 register("page_links", ("pages",), lambda p: D.page_links(_ANCHORS(p), 5).select("page_id", "link", "nth"),
          f"WITH {_HREF}, r AS (SELECT page_id, {_resolve('raw', 'url')} AS link, min(o) AS o FROM a GROUP BY 1, 2), k AS (SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY o) AS nth FROM r WHERE link IS NOT NULL) SELECT page_id, link, CAST(nth AS INT) AS nth FROM k WHERE nth <= 5")
 columns("is_collection", "full_urls", ("url_id",), {"collection": (lambda: D.is_collection(U.path(_c("url")), _c("url_id") % 3 == 0, _c("url_id") % 2 + 1), f"CASE WHEN url_id % 3 = 0 AND (({_path('url')}) ILIKE '%/products/%' OR NOT regexp_matches(({_path('url')}), '(?i)/(collections|category|categories|shop)(/|$)')) THEN false ELSE regexp_matches(({_path('url')}), '(?i)/(collections|category|categories|shop)(/|$)') OR url_id % 2 + 1 > 1 END")})
-_CANDS = lambda f, s: D.candidate_union(40, html=f.where("position % 3 = 0").select(_c("listing_key").alias("origin"), F.concat(F.lit("/products/"), "handle").alias("url"), _c("position").alias("ord")), feed=f.where("position % 2 = 0").select(_c("listing_key").alias("origin"), F.concat(F.lit("/products/"), "handle").alias("url"), _c("position").alias("ord")))
-_CSQL = "c AS (SELECT listing_key AS origin, '/products/' || handle AS url, CASE WHEN position % 3 = 0 THEN 'html' ELSE 'feed' END AS source, row_number() OVER (PARTITION BY listing_key ORDER BY CASE WHEN position % 3 = 0 THEN 0 ELSE 1 END, position) AS nth FROM feed_products WHERE position % 3 = 0 OR position % 2 = 0)"
-register("candidate_union", ("feed_products", "part"), _CANDS, f"WITH {_CSQL} SELECT origin, url, source, CAST(nth AS INT) AS nth FROM c WHERE nth <= 40")
-register("candidate_source_counts", ("feed_products", "part"), lambda f, s: D.candidate_source_counts(_CANDS(f, s)), f"WITH {_CSQL} SELECT origin, source, count(*) AS n FROM c WHERE nth <= 40 GROUP BY origin, source")
+# Tiers: every third product is on a page, every second in the feed, all are in the shop's sitemap, with some of no feed.
+_TIER = lambda f, keep: f.where(keep).select(_c("listing_key").alias("origin"), F.concat(F.lit("/products/"), "handle").alias("url"), _c("position").alias("ord"))
+_SITEMAP = lambda p: p.select(F.concat(F.lit("store-"), (_c("p_partkey") % 20).cast("string")).alias("origin"), F.concat(F.lit("/products/"), F.regexp_replace(F.lower("p_name"), " ", "-"), F.lit("-"), _c("p_partkey").cast("string")).alias("url"), _c("p_partkey").alias("ord"))
+_CANDS = lambda f, p: D.candidate_union(2000, html=_TIER(f, "position % 3 = 0"), feed=_TIER(f, "position % 2 = 0"), sitemap=_SITEMAP(p))
+_CSQL = """t AS (SELECT listing_key AS origin, '/products/' || handle AS url, CASE WHEN position % 3 = 0 THEN 0 ELSE 1 END AS tier, position AS ord FROM feed_products WHERE position % 3 = 0 OR position % 2 = 0
+  UNION ALL SELECT 'store-' || (p_partkey % 20)::VARCHAR, '/products/' || replace(lower(p_name), ' ', '-') || '-' || p_partkey::VARCHAR, 2, p_partkey FROM part),
+u AS (SELECT origin, url, min((tier, ord)) AS m FROM t GROUP BY 1, 2), c AS (SELECT origin, url, CASE m[1] WHEN 0 THEN 'html' WHEN 1 THEN 'feed' ELSE 'sitemap' END AS source, row_number() OVER (PARTITION BY origin ORDER BY m, url) AS nth FROM u)"""
+register("candidate_union", ("feed_products", "part"), _CANDS, f"WITH {_CSQL} SELECT origin, url, source, CAST(nth AS INT) AS nth FROM c WHERE nth <= 2000")
+register("candidate_source_counts", ("feed_products", "part"), lambda f, s: D.candidate_source_counts(_CANDS(f, s)), f"WITH {_CSQL} SELECT origin, source, count(*) AS n FROM c WHERE nth <= 2000 GROUP BY origin, source")
 register("collection_rollup", ("fetch_log",), lambda f: D.collection_rollup(P.fetch_outcome(f).select("server", (_c("outcome") == "ok").alias("success")), "server"), f"SELECT server, count(*) AS discovered, count(*) FILTER (WHERE o = 'ok') AS succeeded, count(*) FILTER (WHERE o <> 'ok') AS failed FROM (SELECT server, {_OUT} AS o FROM fetch_log) GROUP BY server")
-register("crawl_frontier", ("part",), lambda p: D.crawl_frontier(p.select(_c("p_partkey").cast("string").alias("source"), (_c("p_partkey") * 2).cast("string").alias("target")).unionByName(p.select(_c("p_partkey").cast("string").alias("source"), (_c("p_partkey") * 3).cast("string").alias("target"))), p.where("p_partkey IN (1, 5, 7)").select(_c("p_partkey").cast("string").alias("url")), 4), """
-WITH RECURSIVE l AS (SELECT p_partkey AS s, p_partkey * 2 AS t FROM part UNION ALL SELECT p_partkey, p_partkey * 3 FROM part), r AS (SELECT p_partkey AS u, 0 AS n FROM part WHERE p_partkey IN (1, 5, 7) UNION SELECT l.t, r.n + 1 FROM r JOIN l ON r.u = l.s WHERE r.n < 4)
+# Each part links to the parts with twice and three times its key; the walk starts from all that no part links to.
+_LINKS = lambda p: p.select(_c("p_partkey").cast("string").alias("source"), F.explode(F.array((_c("p_partkey") * 2).cast("string"), (_c("p_partkey") * 3).cast("string"))).alias("target"))
+_SEEDS = lambda p: p.select(_c("p_partkey").cast("string").alias("url")).join(_LINKS(p).select(_c("target").alias("url")), "url", "left_anti")
+register("crawl_frontier", ("part",), lambda p: D.crawl_frontier(_LINKS(p), _SEEDS(p), 20), """
+WITH RECURSIVE l AS (SELECT p_partkey AS s, p_partkey * 2 AS t FROM part UNION ALL SELECT p_partkey, p_partkey * 3 FROM part),
+r AS (SELECT p_partkey AS u, 0 AS n FROM part WHERE p_partkey NOT IN (SELECT t FROM l) UNION SELECT l.t, r.n + 1 FROM r JOIN l ON r.u = l.s WHERE r.n < 20)
 SELECT CAST(u AS VARCHAR) AS url, CAST(min(n) AS INT) AS round FROM r GROUP BY u""")
-register("next_page_url", ("pages",), lambda p: D.next_page_url(html_elements(p.withColumn("html", F.concat(F.lit('<ul class="pagination"><li><a href="?page=1">1</a><li><a href="?page=2">2</a><li><a href="?page=3">3</a></ul>'), F.when(_c("page_id") % 2 == 0, F.lit('<link rel="next" href="?page=9">')).otherwise(""), "html")), ("a", "link"))),
-         f"""WITH u AS (SELECT page_id, url, coalesce(try_cast({_param('url', 'page')} AS INT), 1) AS now, {_resolve("'?page=9'", 'url')} AS far FROM pages), r AS (SELECT *, {_resolve("'?page=' || (now + 1)::VARCHAR", 'url')} AS next FROM u)
-SELECT page_id, CASE WHEN now + 1 <= 3 THEN next ELSE far END AS next_url FROM r WHERE now + 1 <= 3 OR (page_id % 2 = 0 AND regexp_replace(far, '#.*$', '') <> regexp_replace(url, '#.*$', ''))""")
+# Pagination by page id: a list by its class, or a nav by its label; every second page has a rel=next link besides.
+_PAGED = lambda p: p.withColumn("html", F.concat(F.when(_c("page_id") % 3 == 0, '<nav aria-label="Pagination">').otherwise('<ul class="pagination">'), F.lit('<li><a href="?page=1">1</a><li><a href="?page=2">2</a><li><a href="?page=3">3</a></ul></nav>'), F.when(_c("page_id") % 2 == 0, F.lit('<link rel="next" href="?page=9">')).otherwise(""), "html"))
+# The second pages of pages with a key divisible by 5 were visited before.
+_VISITED = lambda p: p.where("page_id % 5 = 0").select(U.url_resolve(F.lit("?page=2"), _c("url")).alias("url"))
+register("next_page_url", ("pages",), lambda p: D.next_page_url(html_elements(_PAGED(p), ("a", "link")), _VISITED(p)), f"""
+WITH u AS (SELECT page_id, url, coalesce(try_cast({_param('url', 'page')} AS INT), 1) AS now, {_resolve("'?page=9'", 'url')} AS far FROM pages), r AS (SELECT *, {_resolve("'?page=' || (now + 1)::VARCHAR", 'url')} AS next FROM u),
+v AS (SELECT {_resolve("'?page=2'", 'url')} AS seen FROM pages WHERE page_id % 5 = 0), k AS (SELECT *, now + 1 <= 3 AND next NOT IN (SELECT seen FROM v) AS free FROM r)
+SELECT page_id, CASE WHEN free THEN next ELSE far END AS next_url FROM k WHERE free OR (page_id % 2 = 0 AND regexp_replace(far, '#.*$', '') <> regexp_replace(url, '#.*$', ''))""")
 
 # Ranking.
-_GRID = lambda p: p.select(_c("p_partkey").cast("long").alias("page_id"), F.lit("https://shop.example.com/collections/all").alias("url"), F.concat(F.lit('<nav><a href="/products/menu">Menu</a></nav><div class="upsell"><a href="/products/up">Up</a></div><div id="product-grid"><ul><li><a href="/products/a-'), _c("p_partkey").cast("string"), F.lit('"><img src="/i.jpg" alt="Alt '), _c("p_name"), F.lit('"></a><li class="card"><h3>Head '), _c("p_name"), F.lit('</h3><img data-src="/card.png"><a href="/products/b"></a></ul></div><a href="/about">About</a>')).alias("html"))
-register("grid_anchor_select", ("part",), lambda p: R.grid_anchor_select(html_elements(_GRID(p), ("a",))).select("page_id", "href"), "SELECT p_partkey::BIGINT AS page_id, '/products/a-' || p_partkey::VARCHAR AS href FROM part UNION ALL SELECT p_partkey, '/products/b' FROM part")
-register("drop_chrome_links", ("pages",), lambda p: R.drop_chrome_links(html_elements(p.withColumn("html", F.concat(F.lit('<div class="collection--filters-drawer"><a href="/x">x</a></div><div class="Cart-Drawer"><a href="/y">y</a></div>'), "html")), ("a",))).select("page_id", F.element_at("attrs", "href").alias("href")), "SELECT page_id, '/x' AS href FROM pages")
-_CARDS = lambda p: R.card_fields(html_elements(_GRID(p), ("a", "img", "h3", "div", "li")))
-register("card_title", ("part",), lambda p: _CARDS(p).select("page_id", "title"), "SELECT p_partkey::BIGINT AS page_id, unnest(['Menu', 'Up', 'Alt ' || p_name, 'Head ' || p_name, 'About']) AS title FROM part")
-register("card_image", ("part",), lambda p: _CARDS(p).select("page_id", "image_url"), "SELECT p_partkey::BIGINT AS page_id, unnest([NULL, NULL, 'https://shop.example.com/i.jpg', 'https://shop.example.com/card.png', NULL]) AS image_url FROM part")
+# Seven shapes of listing pages, by part key; '#' stands for the key and '@' for the name.
+_SHAPES = [
+    # One grid, with furniture around it; a card in a list item without an end tag.
+    '<nav><a href="/products/menu">Menu</a></nav><div class="upsell"><a href="/products/up">Up</a></div><div id="product-grid"><ul><li><a href="/products/a-#"><img src="/i.jpg" alt="Alt @"></a>'
+    '<li class="card"><h3>Head @</h3><img data-src="/card.png"><a href="/products/b"></a></ul></div><a href="/about">About</a>',
+    # No grid: links outside furniture; a link that is furniture by its own class.
+    '<main><a class="site-nav__link" href="/products/nav-#">Nav</a><a href="/products/m-#" title="Own @">x</a><a href="/pages/faq">Faq</a></main><footer><a href="/products/foot">Foot</a></footer>',
+    # Two grids: the one with more products counts, repeats don't.
+    '<div class="products-grid"><a href="/products/s-1">S</a><a href="/products/s-1?v=2">S</a><a href="/products/s-2">S</a></div>'
+    '<section data-section-type="main-collection-x"><article class="x"><h2>Big @</h2><a href="/products/l-1"><img srcset="/l1.jpg 1x, /l2.jpg 2x"></a></article><a href="/products/l-2" aria-label="L2 @"></a><a href="/products/l-x#">L3</a></section>',
+    # Furniture only: all links stay.
+    '<header><a href="/products/h-#">Head</a></header><nav><a href="/products/n">Nav</a></nav>',
+    # Links that are their own cards.
+    '<div id="CollectionAjaxContent"><a class="product-card" href="/products/c-#"><h3>Card @</h3><img src="/c.jpg"></a><a class="card" data-product-title="Data @" href="/products/d-#"><img alt="Seen" src="/d.jpg"></a></div>',
+    # Drawers: one that filters stays, a cart's doesn't.
+    '<div class="collection--filters-drawer"><a href="/products/f-#">Filter</a></div><div class="Cart-Drawer"><a href="/products/cart">Cart</a></div><div data-product-id="7"><span class="item-title">Span @</span><a href="/products/g-#"></a></div>',
+    # A grid of one product is none.
+    '<div class="collection-grid"><a href="/products/o-#">One</a></div><div class="frequently-bought"><a href="/products/also">Also</a></div><p><a href="/products/p-#">P</a></p>',
+]
+#: What the shapes hold, in order: shape, link, title, image, whether it lies outside furniture, whether it is chosen.
+_LINKED = """(VALUES (0, '/products/menu', 'Menu', NULL, false, false), (0, '/products/up', 'Up', NULL, false, false), (0, '/products/a-#', 'Alt @', '/i.jpg', true, true), (0, '/products/b', 'Head @', '/card.png', true, true),
+  (0, '/about', 'About', NULL, true, false), (1, '/products/nav-#', 'Nav', NULL, false, false), (1, '/products/m-#', 'Own @', NULL, true, true), (1, '/pages/faq', 'Faq', NULL, true, true), (1, '/products/foot', 'Foot', NULL, false, false),
+  (2, '/products/s-1', 'S', NULL, true, false), (2, '/products/s-1?v=2', 'S', NULL, true, false), (2, '/products/s-2', 'S', NULL, true, false), (2, '/products/l-1', 'Big @', '/l1.jpg', true, true),
+  (2, '/products/l-2', 'L2 @', NULL, true, true), (2, '/products/l-x#', 'L3', NULL, true, true), (3, '/products/h-#', 'Head', NULL, false, true), (3, '/products/n', 'Nav', NULL, false, true),
+  (4, '/products/c-#', 'Card @', '/c.jpg', true, true), (4, '/products/d-#', 'Data @', '/d.jpg', true, true), (5, '/products/f-#', 'Filter', NULL, true, true), (5, '/products/cart', 'Cart', NULL, false, false),
+  (5, '/products/g-#', 'Span @', NULL, true, true), (6, '/products/o-#', 'One', NULL, true, true), (6, '/products/also', 'Also', NULL, false, false), (6, '/products/p-#', 'P', NULL, true, true)) AS v(shape, href, title, image, plain, chosen)"""
+_EXPECTED = f"SELECT p_partkey::BIGINT AS page_id, replace(replace({{}}, '#', p_partkey::VARCHAR), '@', p_name) AS {{}} FROM part JOIN {_LINKED} ON p_partkey % 7 = shape"
+_shaped = lambda: F.element_at(F.array(*map(F.lit, _SHAPES)), (_c("p_partkey") % 7 + 1).cast("int"))
+_GRID = lambda p: p.select(_c("p_partkey").cast("long").alias("page_id"), F.lit("https://shop.example.com/collections/all").alias("url"), F.replace(F.replace(_shaped(), F.lit("#"), _c("p_partkey").cast("string")), F.lit("@"), _c("p_name")).alias("html"))
+_href = lambda d: d.select("page_id", F.element_at("attrs", "href").alias("href"))
+register("grid_anchor_select", ("part",), lambda p: _href(R.grid_anchor_select(html_elements(_GRID(p), ("a",)))), _EXPECTED.format("href", "href") + " WHERE chosen")
+register("drop_chrome_links", ("part",), lambda p: _href(R.drop_chrome_links(html_elements(_GRID(p), ("a",)))), _EXPECTED.format("href", "href") + " WHERE plain")
+_CARDS = lambda p: R.card_fields(html_elements(_GRID(p), ("a", "img", "h2", "h3", "div", "span", "li", "article")))
+register("card_title", ("part",), lambda p: _CARDS(p).select("page_id", "title"), _EXPECTED.format("title", "title"))
+register("card_image", ("part",), lambda p: _CARDS(p).select("page_id", "image_url"), _EXPECTED.format("'https://shop.example.com' || image", "image_url"))
 _TITLES = lambda p: p.select("p_partkey", F.concat("p_name", F.when(_c("p_partkey") % 3 == 0, " - Handy Shop").when(_c("p_partkey") % 3 == 1, " | handy shop ").otherwise(" - Black")).alias("title"))
 _TSQL = "t AS (SELECT p_partkey, p_name, p_name || CASE p_partkey % 3 WHEN 0 THEN ' - Handy Shop' WHEN 1 THEN ' | handy shop ' ELSE ' - Black' END AS title FROM part)"
 register("site_name", ("part",), lambda p: _TITLES(p).select("p_partkey", R.site_name(F.when(_c("p_partkey") % 5 == 0, " Og  Name "), _c("title")).alias("site")), f"WITH {_TSQL} SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'Og Name' ELSE CASE p_partkey % 3 WHEN 0 THEN 'Handy Shop' WHEN 1 THEN 'handy shop' ELSE 'Black' END END AS site FROM t")
@@ -84,8 +127,13 @@ register("rank_assign", ("lineitem",), lambda l: R.rank_assign(_LINES(l), 12), f
 s AS (SELECT l.* FROM l LEFT JOIN e USING (listing_key) WHERE last IS NULL OR ord <= last)
 SELECT k.listing_key, k.product_key, CAST(k.rank AS INT) AS rank, arg_min(s.handle, s.ord) AS handle, arg_min(s.title, s.ord) FILTER (WHERE s.title IS NOT NULL) AS title, arg_min(s.image_url, s.ord) FILTER (WHERE s.image_url IS NOT NULL) AS image_url FROM k JOIN s ON k.listing_key = s.listing_key AND k.product_key = s.product_key GROUP BY k.listing_key, k.product_key, k.rank""")
 register("barren_page_stop", ("lineitem",), lambda l: R.barren_page_stop(_LINES(l)).select("listing_key", "page_no", "ord"), f"WITH {_LSQL}, f AS (SELECT listing_key, product_key, min(page_no) AS page_no FROM l GROUP BY 1, 2), b AS (SELECT listing_key, min(page_no) AS stop FROM (SELECT DISTINCT listing_key, page_no FROM l) WHERE (listing_key, page_no) NOT IN (SELECT (listing_key, page_no) FROM f) GROUP BY 1) SELECT l.listing_key, l.page_no, l.ord FROM l LEFT JOIN b USING (listing_key) WHERE stop IS NULL OR page_no <= stop")
-register("payload_rank_fallback", ("rank_items", "part"), lambda i, p: R.payload_rank_fallback(i.where("snapshot_id LIKE '%3:1997-03'").select("listing_key", "rank", "product_key"), _PAYLOAD(p).join(p.select(_c("p_partkey").cast("long").alias("page_id"), "p_brand"), "page_id").where("page_id <= 60").select(_c("p_brand").alias("listing_key"), (_c("pos") + 1).alias("rank"), F.concat(F.lit("v"), "product_id").alias("product_key"))),
-         "WITH i AS (SELECT listing_key, rank, product_key FROM rank_items WHERE snapshot_id LIKE '%3:1997-03') SELECT * FROM i UNION ALL SELECT p_brand, CAST(k + 1 AS INT), 'v' || p_partkey::VARCHAR FROM part CROSS JOIN (VALUES (0), (1), (2)) AS v(k) WHERE k <= p_partkey % 3 AND p_partkey <= 60 AND p_brand NOT IN (SELECT listing_key FROM i)")
+# Every second part's payload belongs to a listing that has no ranked items.
+_FROM_PAYLOAD = lambda p: _PAYLOAD(p).join(p.select(_c("p_partkey").cast("long").alias("page_id"), "p_brand"), "page_id").select(
+    F.when(_c("page_id") % 2 == 0, _c("p_brand")).otherwise(F.concat("p_brand", F.lit(" new"))).alias("listing_key"), (_c("pos") + 1).alias("rank"), F.concat(F.lit("v"), "product_id").alias("product_key"))
+register("payload_rank_fallback", ("rank_items", "part"), lambda i, p: R.payload_rank_fallback(i.select("listing_key", "rank", "product_key"), _FROM_PAYLOAD(p)), """
+WITH i AS (SELECT listing_key, rank, product_key FROM rank_items),
+p AS (SELECT p_brand || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE ' new' END AS listing_key, CAST(k + 1 AS INT) AS rank, 'v' || p_partkey::VARCHAR AS product_key FROM part CROSS JOIN (VALUES (0), (1), (2)) AS v(k) WHERE k <= p_partkey % 3)
+SELECT * FROM i UNION ALL SELECT * FROM p WHERE listing_key NOT IN (SELECT listing_key FROM i)""")
 register("feed_rank", ("feed_products",), lambda f: R.feed_rank(f, 30).select("listing_key", "handle", "rank", "title_seo"), "SELECT listing_key, handle, CAST(rank AS INT) AS rank, title AS title_seo FROM (SELECT *, row_number() OVER (PARTITION BY listing_key ORDER BY position) AS rank FROM feed_products) WHERE rank <= 30")
 _ITEMS = "SELECT snapshot_id, rank, product_key, handle, CASE WHEN rank % 2 = 0 THEN title END AS title, CASE WHEN rank % 4 = 0 THEN title_seo END AS title_seo, image_url, CASE WHEN rank % 3 = 0 THEN product_id END AS product_id, source, url FROM rank_items"
 _items = lambda i: i.select("snapshot_id", "rank", "product_key", "handle", F.when(_c("rank") % 2 == 0, _c("title")).alias("title"), F.when(_c("rank") % 4 == 0, _c("title_seo")).alias("title_seo"), "image_url", F.when(_c("rank") % 3 == 0, _c("product_id")).alias("product_id"), "source", "url")

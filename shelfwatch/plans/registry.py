@@ -20,6 +20,13 @@ def register(name: str, used: tuple[str, ...], make: Callable[..., DataFrame], s
         ORACLE_SQL[name] = with_views(sql, *used)
 
 
+def register_path(name: str, table: str, make: Callable[[SparkSession, str], DataFrame], sql: str) -> None:
+    """``make`` gets the session and the path of one of the driver's tables."""
+    assert name not in QUERIES, name
+    QUERIES[name] = lambda spark, sf_dir: make(spark, f"{sf_dir}/{table}.parquet")
+    ORACLE_SQL[name] = sql
+
+
 def columns(name: str, source: str, keys: tuple[str, ...], made: dict[str, tuple[Callable[[], Column], str]]) -> None:
     """A query that adds columns to the keys of a view; each comes with its SQL expression."""
     listed = ", ".join([*keys, *(f"{sql} AS {out}" for out, (_, sql) in made.items())])

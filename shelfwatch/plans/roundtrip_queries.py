@@ -7,18 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import urls as U
+from ..operators import extract as E
+from ..operators.snapshots import unique_items
 from ..session import shared_folder
 from ..sources import sinks
+from ..sources.tables import scan_image_files, scan_usage
 from ..streaming import streams
-from .extract_queries import FACTS, TITLE, fields
+from .extract_queries import DESCRIPTION, FACTS, PRODUCT_TITLE, TITLE, WARNED, elements, fields
 from .registry import ORACLE_SQL, register
 from .snapshot_queries import CHANGES
 from .stream_queries import PROGRESS, stamped
 from .url_text import _host
 
-_HEAD = "SELECT page_id, {} AS domain, CAST(length(html) AS INT) AS chars FROM pages".format(_host("url"))
-
-
 def seo_json(pages: DataFrame) -> DataFrame:
     folder = shared_folder(pages.sparkSession, "seo")
     sinks.write_seo_json(fields(pages).withColumn("domain", U.host(F.col("url"))), folder)
@@ -28,15 +28,47 @@ def seo_json(pages: DataFrame) -> DataFrame:
 
 def data_json(pages: DataFrame) -> DataFrame:
     folder = shared_folder(pages.sparkSession, "data")
-    sinks.write_data_json(pages.select("page_id", U.host(F.col("url")).alias("domain"), F.char_length("html").alias("chars")), folder)
-    return pages.sparkSession.read.schema("page_id long, domain string, chars int").json(folder)
+    whole = fields(pages).withColumn("domain", U.host(F.col("url")))
+    sinks.write_data_json(whole, folder)
+    back = pages.sparkSession.read.schema(whole.schema).json(folder)
+    return back.select("page_id", "domain", F.col("title.value").alias("title"), F.col("description.value").alias("description"), "product_title.source", "empty", F.size("warnings").alias("warned"))
 
 
 def raw(pages: DataFrame) -> DataFrame:
     folder, spark = shared_folder(pages.sparkSession, "raw"), pages.sparkSession
-    sinks.write_raw(pages.select("page_id", "html"), pages.select("page_id", U.host(F.col("url")).alias("domain")), folder)
+    found = elements(pages)
+    metas = E.meta_tags(found).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("ord", "name", "property", "content"))).alias("metas"))
+    nodes = E.jsonld_nodes(found).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", "node"))).alias("jsonld"))
+    metadata = pages.select("page_id", U.host(F.col("url")).alias("domain")).join(metas, "page_id", "left").join(nodes, "page_id", "left")
+    sinks.write_raw(pages.select("page_id", "html"), metadata, folder)
     both = spark.read.parquet(f"{folder}/html").join(spark.read.parquet(f"{folder}/metadata"), "page_id")
-    return both.select("page_id", "domain", F.char_length("html").alias("chars"))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    return both.select("page_id", "domain", F.char_length("html").alias("chars"), size("metas").alias("metas"), size("jsonld").alias("nodes"), F.concat_ws("|", F.transform("metas", lambda m: m["content"])).alias("contents"))
+
+
+def usage_files(usage: DataFrame) -> DataFrame:
+    folder = shared_folder(usage.sparkSession, "usage")
+    usage.write.parquet(folder)
+    return scan_usage(usage.sparkSession, folder).where("endpoint = 'view'").select("event_id", "user_id", "ts", "units", "billable")
+
+
+def image_files(documents: DataFrame) -> DataFrame:
+    """Documents as files by id modulo 40, found again as (file, bytes)."""
+    folder = shared_folder(documents.sparkSession, "images")
+    rows = documents.select((F.col("doc_id") % 40).alias("file"), "text")
+    rows.repartition("file").write.partitionBy("file").text(folder)
+    found = scan_image_files(documents.sparkSession, folder, 1 << 40)
+    return found.groupBy(F.regexp_extract("path", "file=([0-9]+)", 1).cast("long").alias("file")).agg(F.sum("bytes").alias("bytes"), F.sum(F.length("content")).alias("read"))
+
+
+def snapshots(headers: DataFrame, items: DataFrame) -> DataFrame:
+    """Two runs are appended: the items, and the same again further down, which ``unique_items`` leaves out."""
+    folder = shared_folder(items.sparkSession, "snapshots")
+    for part in (headers.where("checked_at < timestamp'1998-01-01'"), headers.where("checked_at >= timestamp'1998-01-01'")):
+        own = items.join(part.select("snapshot_id"), "snapshot_id", "left_semi")
+        sinks.append_snapshot(part, unique_items(own.unionByName(own.withColumn("rank", F.col("rank") + 100))), folder)
+    back = items.sparkSession.read.parquet(f"{folder}/items")
+    return back.join(items.sparkSession.read.parquet(f"{folder}/snapshots").select("snapshot_id", "item_count"), "snapshot_id").select("snapshot_id", "product_key", "rank", "item_count")
 
 
 def _as_stream(df: DataFrame, folder: str) -> DataFrame:
@@ -82,8 +114,14 @@ def page_stream(pages: DataFrame) -> DataFrame:
 
 
 register("write_seo_json", ("page_seo",), seo_json, f"WITH {FACTS} SELECT page_id, {_host('url')} AS domain, value, source FROM (SELECT page_id, url, {TITLE} FROM f)")
-register("write_data_json", ("pages",), data_json, _HEAD)
-register("write_raw", ("pages",), raw, _HEAD)
+_JOINED = " JOIN ".join(["(SELECT page_id, " + _host("url") + " AS domain, value AS title FROM (SELECT page_id, url, " + TITLE + " FROM f)) t", "(SELECT page_id, value AS description FROM (SELECT page_id, " + DESCRIPTION + " FROM f)) d USING (page_id)", "(SELECT page_id, source FROM (SELECT page_id, " + PRODUCT_TITLE + " FROM f)) p USING (page_id)", "(SELECT page_id, coalesce(ld_name, og_title, h1) IS NULL AND coalesce(ld_description, og_description, meta) IS NULL AND n_structured = 0 AS empty FROM f) e USING (page_id)", "(SELECT page_id, CAST(sum(warned) AS INT) AS warned FROM (" + WARNED + ") GROUP BY page_id) w USING (page_id)"])
+register("write_data_json", ("page_seo",), data_json, f"WITH {FACTS} SELECT page_id, domain, title, description, source, empty, warned FROM {_JOINED}")
+register("write_raw", ("page_seo",), raw, f"""
+WITH m AS (SELECT page_id, {_host("url")} AS domain, CAST(length(html) AS INT) AS chars, regexp_extract_all(html, '<meta [^>]*content="([^"]*)"[^>]*>', 1) AS found FROM page_seo)
+SELECT page_id, domain, chars, CAST(len(found) AS INT) AS metas, CASE page_id % 8 WHEN 5 THEN 1 WHEN 6 THEN 3 ELSE 0 END AS nodes, array_to_string(found, '|') AS contents FROM m""")
+register("scan_usage", ("usage_events",), usage_files, "SELECT event_id, user_id, ts, units, billable FROM usage_events WHERE endpoint = 'view'")
+register("scan_image_files", ("documents",), image_files, "SELECT doc_id % 40 AS file, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS read FROM documents GROUP BY 1")
+register("append_snapshot", ("rank_snapshots", "rank_items"), snapshots, "SELECT snapshot_id, product_key, min(rank) AS rank, max(item_count) AS item_count FROM rank_items JOIN rank_snapshots USING (snapshot_id) GROUP BY snapshot_id, product_key")
 register("rank_diff_stream", ("rank_items", "rank_snapshots"), lambda i, h: rank_changes_stream(i), f"WITH {CHANGES} SELECT pairs.listing_key, snapshot_id, product_key, CAST(previous_rank AS BIGINT) AS previous_rank, CAST(current_rank AS BIGINT) AS current_rank, direction FROM changes JOIN pairs USING (snapshot_id)")
 register("page_extract_stream", ("page_seo",), page_stream, f"WITH {FACTS} SELECT page_id, value, source FROM (SELECT page_id, {TITLE} FROM f)")
 

@@ -46,8 +46,6 @@ register("owner_scope", ("customer",), lambda c: N.owner_scope(c.withColumnRenam
          "SELECT c_custkey, c_nationkey AS owner FROM customer WHERE c_nationkey = 7 UNION ALL SELECT c_custkey, c_nationkey FROM customer")
 register("backfill_owner", ("customer", "accounts"), lambda c, u: N.backfill_owner(c.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey").cast("long")).alias("owner")), u),
          "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey::BIGINT ELSE (SELECT user_id FROM accounts WHERE role <> 'admin' ORDER BY created_at, user_id LIMIT 1) END AS owner FROM customer")
-register("append_snapshot", BOTH, lambda h, i: N.unique_items(i.unionByName(i.withColumn("rank", F.col("rank") + 100))).select("snapshot_id", "product_key", "rank"),
-         "SELECT snapshot_id, product_key, min(rank) AS rank FROM rank_items GROUP BY snapshot_id, product_key")
 register("upsert_latest", ("orders",), lambda o: N.upsert_latest(
     o.where("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("customer")).agg(F.min("o_orderkey").alias("version"), F.lit("old").alias("status"), F.min("o_orderpriority").alias("billing_id")),
     o.where("o_orderkey % 2 = 1").select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("version"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).alias("billing_id")),

@@ -10,7 +10,6 @@ from .views import AS_OF
 
 _T = f"TIMESTAMP '{AS_OF}'"
 _c = F.col
-register("scan_usage", ("usage_events",), lambda e: e.where("endpoint = 'view'").select("event_id", "user_id", "ts", "units", "billable"), "SELECT event_id, user_id, ts, units, billable FROM usage_events WHERE endpoint = 'view'")
 _DAILY = f"SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS total, count(*) FILTER (WHERE ok) AS ok, count(*) FILTER (WHERE NOT ok) AS failed FROM usage_events WHERE ts > {_T} - INTERVAL 30 DAY GROUP BY 1, 2"
 register("usage_daily", ("usage_events",), lambda e: A.usage_daily(e, AS_OF, 30), _DAILY)
 register("usage_recent", ("usage_events",), lambda e: A.usage_recent(e, AS_OF, 30, 5).select("user_id", "event_id", "nth"),

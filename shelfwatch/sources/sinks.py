@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+#: Folders that a table is dealt into by a hash of its key; a folder for each key would make millions of small files.
+BUCKETS = 64
+
+
+def _in_buckets(rows: DataFrame, key: str) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")).repartition("bucket", F.pmod(F.xxhash64(*rows.columns[:2]), F.lit(4)))
 
 
 def write_seo_json(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """One JSON object for each page, in folders by domain; missing values are left out."""
-    rows.write.mode(mode).partitionBy("domain").option("ignoreNullFields", "true").json(path)
+    """One JSON object for each page, in folders by a hash of the domain; missing values are left out."""
+    _in_buckets(rows, "domain").write.mode(mode).partitionBy("bucket").option("ignoreNullFields", "true").json(path)
 
 
 def write_data_json(rows: DataFrame, path: str, mode: str = "append") -> None:
@@ -21,6 +28,6 @@ def write_raw(pages: DataFrame, metadata: DataFrame, path: str, mode: str = "app
 
 
 def append_snapshot(header: DataFrame, items: DataFrame, path: str) -> None:
-    """Append headers and items; items lie in folders by listing."""
+    """Append headers and items; items lie in folders by a hash of the listing."""
     header.write.mode("append").parquet(f"{path}/snapshots")
-    items.write.mode("append").partitionBy("listing_key").parquet(f"{path}/items")
+    _in_buckets(items, "listing_key").write.mode("append").partitionBy("bucket").parquet(f"{path}/items")
