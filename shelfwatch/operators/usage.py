@@ -135,7 +135,7 @@ def subscription_state(webhooks: DataFrame, products: DataFrame) -> DataFrame:
     rows = webhooks.select(
         "id", get("$.type").alias("type"), F.lower(F.trim(F.coalesce(get("$.data.customer.email"), get("$.data.customer_email"), get("$.data.user.email"), get("$.data.email")))).alias("email"),
         F.coalesce(get("$.data.product_id"), get("$.data.product.id")).alias("product_id"), get("$.data.status").alias("status"), get("$.data.id").alias("provider_id"), F.to_timestamp(get("$.data.current_period_end")).alias("period_end"),
-    ).join(F.broadcast(products), "product_id", "left")
+    ).join(products, "product_id", "left")
     kind = F.when(F.col("type").startswith("subscription."), "subscription").when(F.col("type").startswith("order.") & F.col("units").isNotNull(), "order")
     return rows.withColumn("kind", kind).where("kind is not null")
 
@@ -165,9 +165,17 @@ def runs_expired(runs: DataFrame, as_of: str, days: int) -> DataFrame:
 
 
 def runs_over_cap(runs: DataFrame, n: int) -> DataFrame:
-    """All but each domain's newest ``n`` runs."""
+    """All but each domain's newest ``n`` runs.
+
+    Only the newest n of a domain are ranked (a limit that tasks apply before the shuffle); the last of them is the
+    border that the domain's other runs are held against, in as many tasks as they fill.
+    """
     order = Window.partitionBy("domain").orderBy(F.col("created_at").desc(), F.col("run_id").desc())
-    return runs.withColumn("nth", F.row_number().over(order)).where(F.col("nth") > n)
+    newest = runs.select("domain", "created_at", "run_id").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max(n, 1))
+    border = newest.where(F.col("nth") == max(n, 1)).select("domain", F.struct("created_at", "run_id").alias("border"))
+    rows = runs.join(border, "domain")
+    own = F.struct("created_at", "run_id")
+    return rows.where(own < F.col("border") if n > 0 else own <= F.col("border")).select(*runs.columns)
 
 
 def storage_stats(runs: DataFrame, capacity: int) -> DataFrame:

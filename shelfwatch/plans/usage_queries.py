@@ -53,5 +53,5 @@ register("api_key_report", ("tokens",), A.api_key_report, "SELECT user_id, token
 register("delivery_billing", ("fetch_log",), lambda f: A.delivery_billing(f).select("page_id", "attempt", "billable", "units"), "SELECT page_id, attempt, status BETWEEN 200 AND 299 AS billable, CASE WHEN status BETWEEN 200 AND 299 THEN 1 ELSE 0 END AS units FROM fetch_log")
 register("endpoint_usage_cube", ("usage_events",), A.endpoint_usage_cube, "SELECT coalesce(endpoint, '*') AS endpoint, coalesce(used_proxy, '*') AS used_proxy, count(*) AS calls, count(*) FILTER (WHERE ok) AS ok_calls, CAST(sum(units) AS BIGINT) AS units FROM (SELECT endpoint, coalesce(used_proxy, 'none') AS used_proxy, ok, units FROM usage_events) GROUP BY CUBE (endpoint, used_proxy)")
 register("runs_expired", ("runs",), lambda r: A.runs_expired(r, AS_OF, 14).select("run_id"), f"SELECT run_id FROM runs WHERE created_at < {_T} - INTERVAL 14 DAY")
-register("runs_over_cap", ("runs",), lambda r: A.runs_over_cap(r, 50).select("run_id", "domain", "nth"), "SELECT run_id, domain, CAST(nth AS INT) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY created_at DESC, run_id DESC) AS nth FROM runs) WHERE nth > 50")
+register("runs_over_cap", ("runs",), lambda r: A.runs_over_cap(r, 50).select("run_id", "domain"), "SELECT run_id, domain FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY created_at DESC, run_id DESC) AS nth FROM runs) WHERE nth > 50")
 register("storage_stats", ("runs",), lambda r: A.storage_stats(r, 10**11), "SELECT domain, count(*) AS runs, CAST(sum(bytes) AS BIGINT) AS bytes, least(100.0, round(sum(bytes) * 100.0 / 100000000000, 6)) AS percent FROM runs GROUP BY domain")

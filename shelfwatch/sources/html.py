@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import html
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,13 +50,13 @@ def _nodes(page: str) -> tuple[list[_Node], str]:
     """Elements in document order, with their places in the page's text; end tags may be missing."""
     nodes: list[_Node] = []
     stack: list[_Node] = []
-    deeper: Counter = Counter()  # open elements below DEPTH, which are on no stack
+    deeper: dict[str, list[_Node]] = defaultdict(list)  # open elements below DEPTH, which are on no stack
     said: list[str] = []
     size = 0
     root = _Node(-1, "", {}, None, 0)
 
     def close(to: int) -> None:
-        for node in stack[to:]:
+        for node in [*stack[to:], *(n for nodes in deeper.values() for n in nodes)]:
             node.stop = size
         del stack[to:]
         deeper.clear()
@@ -69,7 +69,7 @@ def _nodes(page: str) -> tuple[list[_Node], str]:
             continue
         if is_end:
             if deeper[tag]:
-                deeper[tag] -= 1
+                deeper[tag].pop().stop = size
                 continue
             at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), -1)
             if at >= 0:
@@ -98,7 +98,7 @@ def _nodes(page: str) -> tuple[list[_Node], str]:
             if len(stack) < DEPTH:
                 stack.append(node)
             else:
-                deeper[tag] += 1
+                deeper[tag].append(node)
     close(0)
     return nodes, "".join(said)
 

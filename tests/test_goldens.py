@@ -18,6 +18,23 @@ def test_private_hosts(spark):
     assert values(spark, urls.url_is_private_host(F.col("a")), *[(h,) for h in hosts]) == [True, True, True, False, True, False, True, True, True, True, False]
 
 
+def test_hosts_and_private_addresses(spark):
+    pages = ["https://[::1]/x", "http://[fd00::7]:81/", "https://u:p@10.example.com:8/x", "http://127.cdn.net/", "http://0.pool.ntp.org", "http://10.0.0.1/", "http://1.2.3.4"]
+    assert values(spark, urls.host(F.col("a")), *[(p,) for p in pages]) == ["[::1]", "[fd00::7]", "10.example.com", "127.cdn.net", "0.pool.ntp.org", "10.0.0.1", "1.2.3.4"]
+    assert values(spark, urls.url_is_private_host(urls.host(F.col("a"))), *[(p,) for p in pages]) == [True, True, False, False, False, True, False]
+
+
+def test_resolving_as_the_url_standard_does(spark):
+    base = "https://shop.example.com/a/b/page?x=1#y"
+    cases = {
+        "../products/a": "https://shop.example.com/a/products/a", "./b": "https://shop.example.com/a/b/b", "/a b.jpg": "https://shop.example.com/a%20b.jpg", "../../../../x": "https://shop.example.com/x",
+        "..": "https://shop.example.com/a/", ".": "https://shop.example.com/a/b/", "../..": "https://shop.example.com/", "c/./d/../e?q=/../z": "https://shop.example.com/a/b/c/e?q=/../z", "/x/%2e%2E/y": "https://shop.example.com/y",
+        " /trim\n": "https://shop.example.com/trim", "/ta\tb": "https://shop.example.com/tab", "//o.example.com/a/../b": "https://o.example.com/b", "https://o.example.com/a/..": "https://o.example.com/", "...": "https://shop.example.com/a/b/...",
+        "/.hid..den/x": "https://shop.example.com/.hid..den/x", "?q=2": "https://shop.example.com/a/b/page?q=2", "mailto:a@b": None, "#z": None, "": None,
+    }
+    assert values(spark, urls.url_resolve(F.col("a"), F.col("b")), *[(raw, base) for raw in cases]) == list(cases.values())
+
+
 def test_tracking_and_variant_parameters(spark):
     found = values(spark, urls.url_strip_tracking(F.col("a")), ("https://c.d/i.jpg?utm_source=x&w=2&ref=1&w=3#z",), ("https://c.d/i.jpg?fbclid=1",), ("nothing",))
     assert found == ["https://c.d/i.jpg?w=2&w=3", "https://c.d/i.jpg", None]
