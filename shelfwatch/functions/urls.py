@@ -30,9 +30,12 @@ def _or_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def _let(value: Column, use, *more: Column) -> Column:
+    """``use`` of values that are computed once each, however often ``use`` names them. It must name nothing else of a row."""
+    if not more:
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+    row = F.struct(*[v.alias(f"v{k}") for k, v in enumerate((value, *more))])
+    return F.get(F.transform(F.array(row), lambda s: use(*[s[f"v{k}"] for k in range(len(more) + 1)])), F.lit(0))
 
 
 def scheme(u: Column) -> Column:
@@ -107,7 +110,7 @@ def url_resolve(raw: Column, base: Column) -> Column:
     """
     value = F.regexp_replace(F.trim(raw), r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]", "")
 
-    def against(value: Column) -> Column:
+    def against(value: Column, base: Column) -> Column:
         start = origin(base)
         folder = F.regexp_replace(path(base), "[^/]*$", "")
         unusable = (value == "") | value.startswith("#") | (value.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") & ~value.rlike(r"(?i)^https?://"))
@@ -120,7 +123,7 @@ def url_resolve(raw: Column, base: Column) -> Column:
             .otherwise(F.concat(start, folder, value))
         )
 
-    return _tidy(_let(value, against))
+    return _tidy(_let(value, against, base))
 
 
 def _with_query(u: Column, params: Column) -> Column:
@@ -140,7 +143,7 @@ def url_strip_tracking(u: Column) -> Column:
         name = F.lower(F.split_part(p, F.lit("="), F.lit(1)))
         return name.isin(*VARIANT_PARAMS) | ~(name.isin(*TRACKING_PARAMS) | name.startswith("utm_"))
 
-    return F.when(u.rlike(URL), _with_query(u, F.filter(_params(u), stays)))
+    return _let(u, lambda u: F.when(u.rlike(URL), _with_query(u, F.filter(_params(u), stays))))
 
 
 def url_strip_locale(p: Column) -> Column:
@@ -166,32 +169,35 @@ def set_param(u: Column, name: str, value: Column) -> Column:
     is_it = lambda p: F.split_part(p, F.lit("="), F.lit(1)) == name
     pair = F.concat(F.lit(f"{name}="), value)
 
-    def changed(params: Column) -> Column:
+    def changed(params: Column, pair: Column, value: Column) -> Column:
         first = F.array_position(F.transform(params, is_it), True) - 1
         replaced = F.filter(F.transform(params, lambda p, i: F.when(i == first, pair).when(~is_it(p), p)), lambda p: p.isNotNull())
         dropped = F.filter(params, lambda p: ~is_it(p))
         return F.when(value.isNull(), dropped).when(F.exists(params, is_it), replaced).otherwise(F.array_append(params, pair))
 
-    return _let(_let(_params(u), changed), lambda params: _with_query(u, params))
+    def changed_url(params: Column, u: Column) -> Column:
+        return _with_query(u, params)
+
+    return _let(_let(_params(u), changed, pair, value), changed_url, u)
 
 
 def safe_redirect_target(requested: Column, location: Column) -> Column:
     """Where a redirect may lead: the same host and collection; lost sort_by and page are put back. Else null."""
-    sort, page = param(requested, "sort_by"), param(requested, "page")
 
-    def sorted_again(target: Column) -> Column:
+    def sorted_again(target: Column, sort: Column) -> Column:
         lost = (F.coalesce(sort, F.lit("")) != "") & ~param(target, "sort_by").eqNullSafe(sort)
         return F.when(lost, set_param(target, "sort_by", sort)).otherwise(target)
 
-    def paged_again(target: Column) -> Column:
+    def paged_again(target: Column, page: Column) -> Column:
         lost = (F.coalesce(page, F.lit("")) != "") & (F.coalesce(param(target, "page"), F.lit("")) == "")
         return F.when(lost, set_param(target, "page", page)).otherwise(target)
 
-    def followed(target: Column) -> Column:
+    def followed(target: Column, requested: Column) -> Column:
         same = host_same_ignoring_www(host(requested), host(target)) & (collection_handle(requested) == collection_handle(target))
-        return F.when(same, _let(_let(sorted_again(target), paged_again), lambda final: F.when(final != requested, final)))
+        final = _let(_let(target, sorted_again, param(requested, "sort_by")), paged_again, param(requested, "page"))
+        return F.when(same, _let(final, lambda final, requested: F.when(final != requested, final), requested))
 
-    return _let(url_resolve(location, requested), followed)
+    return _let(url_resolve(location, requested), followed, requested)
 
 
 def redirect_away(target: Column, landed: Column) -> Column:
@@ -203,16 +209,22 @@ def redirect_away(target: Column, landed: Column) -> Column:
 
 def product_url_normalize(href: Column, base: Column) -> Column:
     """``<locale>/products/<handle>`` on the page's own host, without query and fragment; null for other links."""
-    u = url_resolve(href, base)
-    handle = F.regexp_extract(path(u), PRODUCT, 1)
-    return F.when((host(u) == host(base)) & (handle != ""), F.concat(origin(u), url_locale_prefix(path(u)), F.lit("/products/"), handle))
+
+    def normal(u: Column, base: Column) -> Column:
+        handle = F.regexp_extract(path(u), PRODUCT, 1)
+        return F.when((host(u) == host(base)) & (handle != ""), F.concat(origin(u), url_locale_prefix(path(u)), F.lit("/products/"), handle))
+
+    return _let(url_resolve(href, base), normal, base)
 
 
 def product_url_normalize_keep_prefix(href: Column, base: Column) -> Column:
     """The path up to and with the handle, as linked."""
-    u = url_resolve(href, base)
-    kept = F.regexp_extract(path(u), r"(?i)^(.*?/products/[^/?#]+)", 1)
-    return F.when((host(u) == host(base)) & (kept != ""), F.concat(origin(u), kept))
+
+    def normal(u: Column, base: Column) -> Column:
+        kept = F.regexp_extract(path(u), r"(?i)^(.*?/products/[^/?#]+)", 1)
+        return F.when((host(u) == host(base)) & (kept != ""), F.concat(origin(u), kept))
+
+    return _let(url_resolve(href, base), normal, base)
 
 
 def product_identity(u: Column) -> Column:
