@@ -47,7 +47,11 @@ register("jsonld_images", ("page_seo",), lambda p: M.jsonld_images(E.jsonld_node
 columns("excluded_asset", "image_meta", ("image_id",), {"excluded": (lambda: M.excluded_asset(_c("url")), "regexp_matches(lower(url), '\\.svg($|\\?)|sprite|logo|\\bicon\\b|cart')")})
 columns("template_placeholder", "image_meta", ("image_id",), {"placeholder": (lambda: M.template_placeholder(F.when(_c("image_id") % 3 == 0, F.concat(F.lit("/{{ "), _c("alt"), F.lit(" }}"))).when(_c("image_id") % 3 == 1, F.concat("url", F.lit("%3Cx"))).otherwise(_c("url"))), "image_id % 3 <> 2")})
 register("fetch_first_images", ("page_seo",), lambda p: M.fetch_first_images(_gallery(p)),
-         f"SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS INT) AS nth, image FROM (SELECT page_id, {_ORIGIN} || '/img/' || page_id::VARCHAR || '.jpg' AS image, 0 AS o FROM page_seo WHERE page_id % 8 = 2 UNION ALL SELECT page_id, {_ORIGIN} || '/r.jpg', 0.5 FROM page_seo UNION ALL SELECT page_id, {_ORIGIN} || '/a-' || page_id::VARCHAR || '.jpg', 1 FROM page_seo UNION ALL SELECT page_id, {_ORIGIN} || '/b.jpg?utm_source=q&w=3', 2 FROM page_seo UNION ALL SELECT page_id, {_ORIGIN} || '/logo.png', 3 FROM page_seo UNION ALL SELECT page_id, {_ORIGIN} || '/elsewhere.jpg', 4 FROM page_seo WHERE page_id % 4 < 3)")
+         f"""
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS INT) AS nth, image FROM (
+  SELECT page_id, {_ORIGIN} || '/img/' || page_id::VARCHAR || '.jpg' AS image, 0 AS o FROM page_seo WHERE page_id % 8 = 2
+  UNION ALL SELECT page_id, {_ORIGIN} || replace(v.path, '#', page_id::VARCHAR), v.o FROM page_seo CROSS JOIN (VALUES ('/r.jpg', 1), ('/a-#.jpg', 2), ('/b.jpg?utm_source=q&w=3', 3), ('/logo.png', 4)) AS v(path, o)
+  UNION ALL SELECT page_id, {_ORIGIN} || '/elsewhere.jpg', 5 FROM page_seo WHERE page_id % 4 < 3)""")
 columns("content_sha256", "documents", ("doc_id",), {"sha": (lambda: H.content_sha256(_c("text").cast("binary")), "sha256(text)")})
 _AT = [r * 8 + k for r in range(8) for k in range(7)]
 _DHASH = "list_aggregate(list_transform([" + ", ".join(map(str, _AT)) + "], lambda i: CASE WHEN embedding[i + 1] < embedding[i + 2] THEN '1' ELSE '0' END), 'string_agg', '')"

@@ -121,12 +121,34 @@ register("strip_site_suffix", ("part",), lambda p: _TITLES(p).select("p_partkey"
 _HANDLES = lambda u: u.select("url_id", U.product_identity(U.product_url_normalize(_c("raw"), _c("base")))["handle"].alias("handle"))
 register("junk_product_filter", ("shop_urls",), lambda u: _HANDLES(u).select("url_id", R.junk_product_filter(_c("handle")).alias("junk")), "SELECT url_id, url_id < 1000000 AND url_id % 16 IN (8, 9) AS junk FROM shop_urls")
 # A listing is a supplier's month of line items; pages of ten; the same part may come again.
-_LINES = lambda l: l.select(F.concat(_c("l_suppkey").cast("string"), F.lit(":"), F.substring(_c("l_shipdate").cast("string"), 1, 4)).alias("listing_key"), (F.floor(_c("l_orderkey") / 200)).cast("int").alias("page_no"), (_c("l_orderkey") * 8 + _c("l_linenumber")).alias("ord"), F.concat(F.lit("handle:p-"), (_c("l_partkey") % 40).cast("string")).alias("product_key"), F.concat(F.when(_c("l_partkey") % 40 == 7, "order-insurance").otherwise("p-"), (_c("l_partkey") % 40).cast("string")).alias("handle"), F.when(_c("l_quantity") > 25, F.concat(F.lit("T"), _c("l_quantity").cast("int").cast("string"))).alias("title"), F.when(_c("l_linenumber") % 2 == 0, F.concat(F.lit("/i"), _c("l_linenumber").cast("string"))).alias("image_url"))
-_LSQL = "l AS (SELECT l_suppkey::VARCHAR || ':' || substr(l_shipdate::VARCHAR, 1, 4) AS listing_key, CAST(floor(l_orderkey / 200) AS INT) AS page_no, l_orderkey * 8 + l_linenumber AS ord, 'handle:p-' || (l_partkey % 40)::VARCHAR AS product_key, CASE WHEN l_partkey % 40 = 7 THEN 'order-insurance' ELSE 'p-' END || (l_partkey % 40)::VARCHAR AS handle, CASE WHEN l_quantity > 25 THEN 'T' || l_quantity::INT::VARCHAR END AS title, CASE WHEN l_linenumber % 2 = 0 THEN '/i' || l_linenumber::VARCHAR END AS image_url FROM lineitem)"
+
+
+def _LINES(lines):
+    text = lambda c: c.cast("string")
+    part = text(_c("l_partkey") % 40)
+    return lines.select(
+        F.concat(text(_c("l_suppkey")), F.lit(":"), F.substring(text(_c("l_shipdate")), 1, 4)).alias("listing_key"),
+        F.floor(_c("l_orderkey") / 200).cast("int").alias("page_no"),
+        (_c("l_orderkey") * 8 + _c("l_linenumber")).alias("ord"),
+        F.concat(F.lit("handle:p-"), part).alias("product_key"),
+        F.concat(F.when(_c("l_partkey") % 40 == 7, "order-insurance").otherwise("p-"), part).alias("handle"),
+        F.when(_c("l_quantity") > 25, F.concat(F.lit("T"), text(_c("l_quantity").cast("int")))).alias("title"),
+        F.when(_c("l_linenumber") % 2 == 0, F.concat(F.lit("/i"), text(_c("l_linenumber")))).alias("image_url"),
+    )
+
+
+_LSQL = """l AS (
+  SELECT l_suppkey::VARCHAR || ':' || substr(l_shipdate::VARCHAR, 1, 4) AS listing_key, CAST(floor(l_orderkey / 200) AS INT) AS page_no, l_orderkey * 8 + l_linenumber AS ord,
+         'handle:p-' || (l_partkey % 40)::VARCHAR AS product_key, CASE WHEN l_partkey % 40 = 7 THEN 'order-insurance' ELSE 'p-' END || (l_partkey % 40)::VARCHAR AS handle,
+         CASE WHEN l_quantity > 25 THEN 'T' || l_quantity::INT::VARCHAR END AS title, CASE WHEN l_linenumber % 2 = 0 THEN '/i' || l_linenumber::VARCHAR END AS image_url
+  FROM lineitem)"""
 register("rank_assign", ("lineitem",), lambda l: R.rank_assign(_LINES(l), 12), f"""WITH {_LSQL}, f AS (SELECT listing_key, product_key, min(ord) AS o FROM l GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY listing_key ORDER BY o, product_key) AS rank FROM f), k AS (SELECT * FROM r WHERE rank <= 12), e AS (SELECT listing_key, o AS last FROM k WHERE rank = 12),
 s AS (SELECT l.* FROM l LEFT JOIN e USING (listing_key) WHERE last IS NULL OR ord <= last)
 SELECT k.listing_key, k.product_key, CAST(k.rank AS INT) AS rank, arg_min(s.handle, s.ord) AS handle, arg_min(s.title, s.ord) FILTER (WHERE s.title IS NOT NULL) AS title, arg_min(s.image_url, s.ord) FILTER (WHERE s.image_url IS NOT NULL) AS image_url FROM k JOIN s ON k.listing_key = s.listing_key AND k.product_key = s.product_key GROUP BY k.listing_key, k.product_key, k.rank""")
-register("barren_page_stop", ("lineitem",), lambda l: R.barren_page_stop(_LINES(l)).select("listing_key", "page_no", "ord"), f"WITH {_LSQL}, f AS (SELECT listing_key, product_key, min(page_no) AS page_no FROM l GROUP BY 1, 2), b AS (SELECT listing_key, min(page_no) AS stop FROM (SELECT DISTINCT listing_key, page_no FROM l) WHERE (listing_key, page_no) NOT IN (SELECT (listing_key, page_no) FROM f) GROUP BY 1) SELECT l.listing_key, l.page_no, l.ord FROM l LEFT JOIN b USING (listing_key) WHERE stop IS NULL OR page_no <= stop")
+register("barren_page_stop", ("lineitem",), lambda l: R.barren_page_stop(_LINES(l)).select("listing_key", "page_no", "ord"), f"""
+WITH {_LSQL}, f AS (SELECT listing_key, product_key, min(page_no) AS page_no FROM l GROUP BY 1, 2),
+b AS (SELECT listing_key, min(page_no) AS stop FROM (SELECT DISTINCT listing_key, page_no FROM l) WHERE (listing_key, page_no) NOT IN (SELECT (listing_key, page_no) FROM f) GROUP BY 1)
+SELECT l.listing_key, l.page_no, l.ord FROM l LEFT JOIN b USING (listing_key) WHERE stop IS NULL OR page_no <= stop""")
 # Every second part's payload belongs to a listing that has no ranked items.
 _FROM_PAYLOAD = lambda p: _PAYLOAD(p).join(p.select(_c("p_partkey").cast("long").alias("page_id"), "p_brand"), "page_id").select(
     F.when(_c("page_id") % 2 == 0, _c("p_brand")).otherwise(F.concat("p_brand", F.lit(" new"))).alias("listing_key"), (_c("pos") + 1).alias("rank"), F.concat(F.lit("v"), "product_id").alias("product_key"))
@@ -137,6 +159,10 @@ SELECT * FROM i UNION ALL SELECT * FROM p WHERE listing_key NOT IN (SELECT listi
 register("feed_rank", ("feed_products",), lambda f: R.feed_rank(f, 30).select("listing_key", "handle", "rank", "title_seo"), "SELECT listing_key, handle, CAST(rank AS INT) AS rank, title AS title_seo FROM (SELECT *, row_number() OVER (PARTITION BY listing_key ORDER BY position) AS rank FROM feed_products) WHERE rank <= 30")
 _ITEMS = "SELECT snapshot_id, rank, product_key, handle, CASE WHEN rank % 2 = 0 THEN title END AS title, CASE WHEN rank % 4 = 0 THEN title_seo END AS title_seo, image_url, CASE WHEN rank % 3 = 0 THEN product_id END AS product_id, source, url FROM rank_items"
 _items = lambda i: i.select("snapshot_id", "rank", "product_key", "handle", F.when(_c("rank") % 2 == 0, _c("title")).alias("title"), F.when(_c("rank") % 4 == 0, _c("title_seo")).alias("title_seo"), "image_url", F.when(_c("rank") % 3 == 0, _c("product_id")).alias("product_id"), "source", "url")
-register("enrich_from_feed", ("rank_items", "feed_products"), lambda i, f: R.enrich_from_feed(_items(i), f).drop("url"), f"WITH i AS ({_ITEMS}) SELECT i.snapshot_id, i.rank, i.product_key, i.handle, coalesce(f.title, i.title) AS title, coalesce(i.title_seo, f.title, i.title) AS title_seo, coalesce(i.image_url, f.image_url) AS image_url, coalesce(f.product_id, i.product_id) AS product_id, CASE WHEN f.handle IS NOT NULL THEN 'both' ELSE i.source END AS source FROM i LEFT JOIN feed_products f ON lower(i.handle) = lower(f.handle)")
+register("enrich_from_feed", ("rank_items", "feed_products"), lambda i, f: R.enrich_from_feed(_items(i), f).drop("url"), f"""
+WITH i AS ({_ITEMS})
+SELECT i.snapshot_id, i.rank, i.product_key, i.handle, coalesce(f.title, i.title) AS title, coalesce(i.title_seo, f.title, i.title) AS title_seo,
+       coalesce(i.image_url, f.image_url) AS image_url, coalesce(f.product_id, i.product_id) AS product_id, CASE WHEN f.handle IS NOT NULL THEN 'both' ELSE i.source END AS source
+FROM i LEFT JOIN feed_products f ON lower(i.handle) = lower(f.handle)""")
 register("enrich_seo_title", ("rank_items",), lambda i: R.enrich_seo_title(_items(i), i.where("rank < 4").select("url", F.concat(F.lit("Page "), "title").alias("page_title"))).select("snapshot_id", "rank", "title_seo", "enriched"),
          f"WITH i AS ({_ITEMS}), t AS (SELECT url, max('Page ' || title) AS t FROM rank_items WHERE rank < 4 GROUP BY url) SELECT i.snapshot_id, i.rank, coalesce(t.t, i.title_seo) AS title_seo, t.t IS NOT NULL AS enriched FROM i LEFT JOIN t USING (url)")

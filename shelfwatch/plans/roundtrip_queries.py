@@ -114,7 +114,11 @@ def page_stream(pages: DataFrame) -> DataFrame:
 
 
 register("write_seo_json", ("page_seo",), seo_json, f"WITH {FACTS} SELECT page_id, {_host('url')} AS domain, value, source FROM (SELECT page_id, url, {TITLE} FROM f)")
-_JOINED = " JOIN ".join(["(SELECT page_id, " + _host("url") + " AS domain, value AS title FROM (SELECT page_id, url, " + TITLE + " FROM f)) t", "(SELECT page_id, value AS description FROM (SELECT page_id, " + DESCRIPTION + " FROM f)) d USING (page_id)", "(SELECT page_id, source FROM (SELECT page_id, " + PRODUCT_TITLE + " FROM f)) p USING (page_id)", "(SELECT page_id, coalesce(ld_name, og_title, h1) IS NULL AND coalesce(ld_description, og_description, meta) IS NULL AND n_structured = 0 AS empty FROM f) e USING (page_id)", "(SELECT page_id, CAST(sum(warned) AS INT) AS warned FROM (" + WARNED + ") GROUP BY page_id) w USING (page_id)"])
+_JOINED = f"""(SELECT page_id, {_host("url")} AS domain, value AS title FROM (SELECT page_id, url, {TITLE} FROM f)) t
+JOIN (SELECT page_id, value AS description FROM (SELECT page_id, {DESCRIPTION} FROM f)) d USING (page_id)
+JOIN (SELECT page_id, source FROM (SELECT page_id, {PRODUCT_TITLE} FROM f)) p USING (page_id)
+JOIN (SELECT page_id, coalesce(ld_name, og_title, h1) IS NULL AND coalesce(ld_description, og_description, meta) IS NULL AND n_structured = 0 AS empty FROM f) e USING (page_id)
+JOIN (SELECT page_id, CAST(sum(warned) AS INT) AS warned FROM ({WARNED}) GROUP BY page_id) w USING (page_id)"""
 register("write_data_json", ("page_seo",), data_json, f"WITH {FACTS} SELECT page_id, domain, title, description, source, empty, warned FROM {_JOINED}")
 register("write_raw", ("page_seo",), raw, f"""
 WITH m AS (SELECT page_id, {_host("url")} AS domain, CAST(length(html) AS INT) AS chars, regexp_extract_all(html, '<meta [^>]*content="([^"]*)"[^>]*>', 1) AS found FROM page_seo)
