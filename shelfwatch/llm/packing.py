@@ -15,6 +15,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import WordEncoder
@@ -24,17 +25,17 @@ CAPACITY = 2048
 #: Pieces of a shard on average, islands of a shard, rounds between migrations, population, generations a round.
 SHARD, ISLANDS, ROUNDS, POPULATION, GENERATIONS = 8192, 3, 3, 6, 10
 #: Characters of text that are tokenised at once.
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about SLICE characters, or one longer text."""
     at = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > SLICE:
+    for i, chars in enumerate(pc.utf8_length(texts).to_pylist()):
+        if size and size + chars > SLICE:
             yield at, i
             at, size = i, 0
-        size += len(text)
+        size += chars
     if len(texts) > at:
         yield at, len(texts)
 
@@ -49,10 +50,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
-            encoder = encoder or WordEncoder(tokenizer)
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist()
+            if encoder is None:
+                pa.default_memory_pool().release_unused()  # of what this worker did before
+                encoder = WordEncoder(tokenizer)
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("")
             for a, b in _slices(texts):
-                ids, ends = encoder.encode(texts[a:b], closing)
+                ids, ends = encoder.encode(texts.slice(a, b - a).to_pylist(), closing)
                 rows, begin = [], 0
                 for key, end in zip(keys[a:b], ends.tolist(), strict=True):
                     cut, piece = begin, 0
