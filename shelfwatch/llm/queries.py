@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import audio, chat, decontaminate, htmltext, license_texts, licenses, linededup, packing, quality, simhash, wordpiece
+from . import audio, chat, decontaminate, divergence, htmltext, license_texts, licenses, linededup, packing, quality, sentencepieces, simhash, wordpiece, wordruns
 from .common import read_table, tokenizer_path
 
 
@@ -193,6 +193,60 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_main(read_table(spark, sf_dir, "pages"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    read = sentencepieces.decode(sentencepieces.encode(read_table(spark, sf_dir, "documents"), model), model)
+    return read.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordruns.summary(wordruns.find_runs(wordruns.planted(read_table(spark, sf_dir, "documents"))))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), terms AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+  SELECT lang, term FROM terms GROUP BY lang, term HAVING count(DISTINCT id) >= 30
+), counts AS (
+  SELECT t.lang, t.source, t.term, count(*) AS n FROM terms t JOIN kept k ON t.lang = k.lang AND t.term = k.term GROUP BY t.lang, t.source, t.term
+), sizes AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), totals AS (
+  SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source
+), groups AS (
+  SELECT g.lang, g.source, coalesce(t.total, 0) AS total FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN totals t ON g.lang = t.lang AND g.source = t.source
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * z.v) AS p
+  FROM groups g JOIN kept k ON k.lang = g.lang JOIN sizes z ON z.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), whole AS (
+  SELECT s.lang, s.term, 1 + (1000000000::HUGEINT * (sum(s.n) + 5)) // (w.total + 5 * z.v) AS q
+  FROM shares s JOIN (SELECT lang, sum(total) AS total FROM groups GROUP BY lang) w ON w.lang = s.lang JOIN sizes z ON z.lang = s.lang GROUP BY s.lang, s.term, w.total, z.v
+), differ AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(d.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN differ d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+  UNION ALL
+  SELECT s.lang, s.source, 'term', s.term, s.p - w.q FROM shares s JOIN whole w ON w.lang = s.lang AND w.term = s.term WHERE s.n > 0 AND s.p > w.q
+), ranked AS (
+  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_mpeg_audio": op2_mpeg_audio,
@@ -204,6 +258,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_html_extraction": op10_html_extraction,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -211,4 +268,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_license_scan": _license_sql(),
     "op7_chat_formatting": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
