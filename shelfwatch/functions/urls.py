@@ -1,9 +1,15 @@
-"""URL functions. A URL that can't be read gives null, never an error."""
+"""URL functions. A URL that can't be read gives null, never an error.
+
+Functions of whole URLs read them as the URL standard does. Only ``scheme``, ``host``, ``path``, ``query``, ``origin`` and ``param``
+take URLs that are written in its form already, as ``url_standard``, ``url_resolve`` and the other functions give them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .urlstandard import host_standard, joined, let, url_standard
+
 # Query parameters that only track, and ones that name an image variant and stay.
 TRACKING_PARAMS = (
     "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "gclsrc", "dclid",
@@ -30,14 +36,6 @@ def _or_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def _let(value: Column, use, *more: Column) -> Column:
-    """``use`` of values that are computed once each, however often ``use`` names them. It must name nothing else of a row."""
-    if not more:
-        return F.get(F.transform(F.array(value), use), F.lit(0))
-    row = F.struct(*[v.alias(f"v{k}") for k, v in enumerate((value, *more))])
-    return F.get(F.transform(F.array(row), lambda s: use(*[s[f"v{k}"] for k in range(len(more) + 1)])), F.lit(0))
-
-
 def scheme(u: Column) -> Column:
     return _or_null(F.lower(F.regexp_extract(u, URL, 1)))
 
@@ -57,7 +55,9 @@ def query(u: Column) -> Column:
 
 
 def origin(u: Column) -> Column:
-    return F.when(u.rlike(URL), F.concat(F.lower(F.regexp_extract(u, URL, 1)), F.lit("://"), F.lower(F.regexp_extract(u, URL, 2))))
+    """Scheme, host and port, without credentials."""
+    bare = F.regexp_replace(F.regexp_extract(u, URL, 2), "^.*@", "")
+    return F.when(u.rlike(URL), F.concat(F.lower(F.regexp_extract(u, URL, 1)), F.lit("://"), F.lower(bare)))
 
 
 def param(u: Column, name: str) -> Column:
@@ -69,61 +69,20 @@ def param(u: Column, name: str) -> Column:
 
 def url_validate(u: Column) -> Column:
     """Struct (host, error): http and https only; error is INVALID_URL or null."""
-    trimmed = F.trim(u)
-    good = F.coalesce(scheme(trimmed).isin("http", "https") & host(trimmed).isNotNull(), F.lit(False))
-    return F.struct(F.when(good, host(trimmed)).alias("host"), F.when(~good, "INVALID_URL").alias("error"))
+    return let(url_standard(u), lambda v: F.struct(host(v).alias("host"), F.when(v.isNull(), "INVALID_URL").alias("error")))
 
 
 def url_is_private_host(h: Column) -> Column:
-    """Loopback, link-local and private networks, by name, four numbers or IPv6 address (in brackets or not).
+    """Loopback, link-local and private networks, by name, numbers in any form or IPv6 address (in brackets or not).
 
     Any name that starts with fc, fd or fe80 counts, too.
     """
-    return F.lower(h).rlike(PRIVATE_HOST)
-
-
-def _without_dots(path: Column) -> Column:
-    """A path whose dot segments are resolved; it ends with a slash where they stand last."""
-    dot, up = r"^(?:\.|%2[eE])$", r"^(?:\.|%2[eE]){2}$"
-    fold = lambda kept, s: F.when(s.rlike(up), F.slice(kept, F.lit(1), F.greatest(F.lit(1), F.size(kept) - 1))).when(s.rlike(dot), kept).otherwise(F.array_append(kept, s))
-    parts = F.split(path, "/")
-    closing = F.when(path.rlike(r"/(?:\.|%2[eE]){1,2}$"), "/").otherwise("")
-    joined = F.concat(F.lit("/"), F.array_join(F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit("")), fold), "/"), closing)
-    return F.regexp_replace(joined, "^//", "/")
-
-
-def _tidy(u: Column) -> Column:
-    """An absolute URL with dot segments resolved and spaces written as %20."""
-    spaced = F.when(u.contains(" "), F.replace(u, F.lit(" "), F.lit("%20"))).otherwise(u)
-
-    def resolved(v: Column) -> Column:
-        whole = F.concat(F.regexp_extract(v, URL, 1), F.lit("://"), F.regexp_extract(v, URL, 2), _without_dots(F.regexp_extract(v, URL, 3)), F.regexp_extract(v, URL, 4), F.regexp_extract(v, URL, 5))
-        return F.when(v.rlike(r"(?i)^[^?#]*/(?:\.|%2e){1,2}(?:[/?#]|$)"), whole).otherwise(v)
-
-    return _let(spaced, resolved)
+    return let(h, lambda h: F.lower(F.coalesce(host_standard(h), h)).rlike(PRIVATE_HOST))
 
 
 def url_resolve(raw: Column, base: Column) -> Column:
-    """``raw`` against the page's URL; null for fragments and other schemes.
-
-    Dot segments are resolved, spaces inside become %20, and tabs and line ends inside are left out.
-    """
-    value = F.regexp_replace(F.trim(raw), r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]", "")
-
-    def against(value: Column, base: Column) -> Column:
-        start = origin(base)
-        folder = F.regexp_replace(path(base), "[^/]*$", "")
-        unusable = (value == "") | value.startswith("#") | (value.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") & ~value.rlike(r"(?i)^https?://"))
-        return (
-            F.when(unusable | start.isNull(), F.lit(None))
-            .when(value.rlike(r"(?i)^https?://"), value)
-            .when(value.startswith("//"), F.concat(scheme(base), F.lit(":"), value))
-            .when(value.startswith("/"), F.concat(start, value))
-            .when(value.startswith("?"), F.concat(start, path(base), value))
-            .otherwise(F.concat(start, folder, value))
-        )
-
-    return _tidy(_let(value, against, base))
+    """``raw`` against the page's URL, in the standard's form; null for fragments, other schemes and what is no URL."""
+    return url_standard(joined(raw, url_standard(base)))
 
 
 def _with_query(u: Column, params: Column) -> Column:
@@ -143,7 +102,7 @@ def url_strip_tracking(u: Column) -> Column:
         name = F.lower(F.split_part(p, F.lit("="), F.lit(1)))
         return name.isin(*VARIANT_PARAMS) | ~(name.isin(*TRACKING_PARAMS) | name.startswith("utm_"))
 
-    return _let(u, lambda u: F.when(u.rlike(URL), _with_query(u, F.filter(_params(u), stays))))
+    return let(url_standard(u), lambda u: F.when(u.rlike(URL), _with_query(u, F.filter(_params(u), stays))))
 
 
 def url_strip_locale(p: Column) -> Column:
@@ -156,7 +115,7 @@ def url_locale_prefix(p: Column) -> Column:
 
 
 def collection_handle(u: Column) -> Column:
-    return _or_null(F.lower(F.regexp_extract(url_strip_locale(path(u)), COLLECTION, 1)))
+    return let(url_standard(u), lambda u: _or_null(F.lower(F.regexp_extract(url_strip_locale(path(u)), COLLECTION, 1))))
 
 
 def host_same_ignoring_www(a: Column, b: Column) -> Column:
@@ -178,7 +137,7 @@ def set_param(u: Column, name: str, value: Column) -> Column:
     def changed_url(params: Column, u: Column) -> Column:
         return _with_query(u, params)
 
-    return _let(_let(_params(u), changed, pair, value), changed_url, u)
+    return let(let(_params(u), changed, pair, value), changed_url, u)
 
 
 def safe_redirect_target(requested: Column, location: Column) -> Column:
@@ -193,18 +152,19 @@ def safe_redirect_target(requested: Column, location: Column) -> Column:
         return F.when(lost, set_param(target, "page", page)).otherwise(target)
 
     def followed(target: Column, requested: Column) -> Column:
-        same = host_same_ignoring_www(host(requested), host(target)) & (collection_handle(requested) == collection_handle(target))
-        final = _let(_let(target, sorted_again, param(requested, "sort_by")), paged_again, param(requested, "page"))
-        return F.when(same, _let(final, lambda final, requested: F.when(final != requested, final), requested))
+        handle = lambda u: F.lower(F.regexp_extract(url_strip_locale(path(u)), COLLECTION, 1))
+        same = host_same_ignoring_www(host(requested), host(target)) & (handle(requested) != "") & (handle(requested) == handle(target))
+        final = let(let(target, sorted_again, param(requested, "sort_by")), paged_again, param(requested, "page"))
+        return F.when(same, let(final, lambda final, requested: F.when(final != requested, final), requested))
 
-    return _let(url_resolve(location, requested), followed, requested)
+    return let(url_resolve(location, requested), followed, url_standard(requested))
 
 
 def redirect_away(target: Column, landed: Column) -> Column:
     """The path differs but for locale and a closing slash, or the requested sort order is lost."""
     plain = lambda u: F.regexp_replace(url_strip_locale(path(u)), "/+$", "")
-    lost = param(target, "sort_by").isNotNull() & ~param(landed, "sort_by").eqNullSafe(param(target, "sort_by"))
-    return (plain(target) != plain(landed)) | lost
+    lost = lambda target, landed: param(target, "sort_by").isNotNull() & ~param(landed, "sort_by").eqNullSafe(param(target, "sort_by"))
+    return let(url_standard(target), lambda target, landed: (plain(target) != plain(landed)) | lost(target, landed), url_standard(landed))
 
 
 def product_url_normalize(href: Column, base: Column) -> Column:
@@ -214,7 +174,7 @@ def product_url_normalize(href: Column, base: Column) -> Column:
         handle = F.regexp_extract(path(u), PRODUCT, 1)
         return F.when((host(u) == host(base)) & (handle != ""), F.concat(origin(u), url_locale_prefix(path(u)), F.lit("/products/"), handle))
 
-    return _let(url_resolve(href, base), normal, base)
+    return let(url_resolve(href, base), normal, url_standard(base))
 
 
 def product_url_normalize_keep_prefix(href: Column, base: Column) -> Column:
@@ -224,45 +184,61 @@ def product_url_normalize_keep_prefix(href: Column, base: Column) -> Column:
         kept = F.regexp_extract(path(u), r"(?i)^(.*?/products/[^/?#]+)", 1)
         return F.when((host(u) == host(base)) & (kept != ""), F.concat(origin(u), kept))
 
-    return _let(url_resolve(href, base), normal, base)
+    return let(url_resolve(href, base), normal, url_standard(base))
 
 
 def product_identity(u: Column) -> Column:
     """Struct (product_key, handle): the decoded, lower-cased handle is the identity; else the URL is."""
-    raw = F.regexp_extract(path(u), PRODUCT, 1)
-    plain = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
-    handle = _or_null(F.lower(plain))
-    return F.struct(F.coalesce(F.concat(F.lit("handle:"), handle), u).alias("product_key"), handle.alias("handle"))
+
+    def named(v: Column, u: Column) -> Column:
+        raw = F.regexp_extract(path(v), PRODUCT, 1)
+        plain = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
+        handle = _or_null(F.lower(plain))
+        return F.struct(F.coalesce(F.concat(F.lit("handle:"), handle), u).alias("product_key"), handle.alias("handle"))
+
+    return let(url_standard(u), named, u)
 
 
 def listing_key(u: Column) -> Column:
     """``host|path`` and the sort order if there is one."""
-    bare = F.regexp_replace(path(u), "/+$", "")
-    sort = _or_null(param(u, "sort_by"))
-    return F.concat_ws("|", host(u), F.when(bare == "", "/").otherwise(bare), F.concat(F.lit("sort_by="), sort))
+
+    def key(u: Column) -> Column:
+        bare = F.regexp_replace(path(u), "/+$", "")
+        sort = _or_null(param(u, "sort_by"))
+        return F.concat_ws("|", host(u), F.when(bare == "", "/").otherwise(bare), F.concat(F.lit("sort_by="), sort))
+
+    return let(url_standard(u), key)
 
 
 def paginated_url(u: Column, page: Column) -> Column:
     """The URL of a page of a listing; the first page has no page parameter."""
-    return F.when(u.rlike(URL), set_param(u, "page", F.when(page > 1, page.cast("string"))))
+    return let(url_standard(u), lambda u, page: F.when(u.rlike(URL), set_param(u, "page", F.when(page > 1, page.cast("string")))), page)
 
 
 def feed_url(u: Column) -> Column:
     """Struct (feed, root_ok): the collection's product feed, and whether the shop's own feed can stand in."""
-    collection = F.regexp_extract(path(u), r"(?i)^(.*?/collections/[^/?#]+)", 1)
-    feed = F.when(collection != "", F.concat(origin(u), collection, F.lit("/products.json")))
-    return F.struct(feed.alias("feed"), F.when(collection != "", collection.rlike(r"(?i)/collections/(?:all|vendors|types)$")).alias("root_ok"))
+
+    def feeds(u: Column) -> Column:
+        collection = F.regexp_extract(path(u), r"(?i)^(.*?/collections/[^/?#]+)", 1)
+        feed = F.when(collection != "", F.concat(origin(u), collection, F.lit("/products.json")))
+        return F.struct(feed.alias("feed"), F.when(collection != "", collection.rlike(r"(?i)/collections/(?:all|vendors|types)$")).alias("root_ok"))
+
+    return let(url_standard(u), feeds)
 
 
 def product_url_kind(u: Column) -> Column:
     """Struct (kind, reason): js, json or page for https product paths without port and credentials."""
-    authority = F.regexp_extract(u, URL, 2)
-    reason = (
-        F.when(~F.coalesce(u.rlike(URL), F.lit(False)), "not_a_url")
-        .when(scheme(u) != "https", "not_https")
-        .when(authority.contains("@"), "credentials")
-        .when(authority.contains(":"), "port")
-        .when(~path(u).rlike(r"(?i)^(?:/[a-z]{2}(?:-[a-z]{2})?)?/products/[^/]+/?$"), "not_a_product_path")
-    )
-    ending = F.when(path(u).rlike(r"(?i)\.js$"), "js").when(path(u).rlike(r"(?i)\.json$"), "json").otherwise("page")
-    return F.struct(F.when(reason.isNull(), ending).alias("kind"), reason.alias("reason"))
+
+    def told(u: Column) -> Column:
+        authority = F.regexp_extract(u, URL, 2)
+        reason = (
+            F.when(u.isNull(), "not_a_url")
+            .when(scheme(u) != "https", "not_https")
+            .when(authority.contains("@"), "credentials")
+            .when(authority.rlike(r":[0-9]+$"), "port")
+            .when(~path(u).rlike(r"(?i)^(?:/[a-z]{2}(?:-[a-z]{2})?)?/products/[^/]+/?$"), "not_a_product_path")
+        )
+        ending = F.when(path(u).rlike(r"(?i)\.js$"), "js").when(path(u).rlike(r"(?i)\.json$"), "json").otherwise("page")
+        return F.struct(F.when(reason.isNull(), ending).alias("kind"), reason.alias("reason"))
+
+    return let(url_standard(u), told)

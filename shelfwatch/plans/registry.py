@@ -27,7 +27,7 @@ def register_path(name: str, table: str, make: Callable[[SparkSession, str], Dat
     ORACLE_SQL[name] = sql
 
 
-def columns(name: str, source: str, keys: tuple[str, ...], made: dict[str, tuple[Callable[[], Column], str]]) -> None:
-    """A query that adds columns to the keys of a view; each comes with its SQL expression."""
+def columns(name: str, source: str, keys: tuple[str, ...], made: dict[str, tuple[Callable[[], Column], str]], rows: str | None = None) -> None:
+    """A query that adds columns to the keys of a view; each comes with its SQL expression over ``rows``, the view if there are no others."""
     listed = ", ".join([*keys, *(f"{sql} AS {out}" for out, (_, sql) in made.items())])
-    register(name, (source,), lambda df: df.select(*keys, *(c().alias(out) for out, (c, _) in made.items())), f"SELECT {listed} FROM {source}")
+    register(name, (source,), lambda df: df.select(*keys, *(c().alias(out) for out, (c, _) in made.items())), f"SELECT {listed} FROM {rows or source}")

@@ -66,11 +66,17 @@ def _undotted(p):
     return rf"regexp_replace({p}, '^(?:/\.\.)+(/|$)', '/')"
 
 
-def _resolve(raw, base):
-    v = f"replace({_joined(raw, base)}, ' ', '%20')"
+def _standard(u):
+    """An address as the URL standard writes it, as far as the given tables ask for it: dot segments, and characters beyond printable ASCII as octets."""
     dotted = _undotted(r"regexp_extract(v, '^[A-Za-z][^:/]*://[^/?#]+([^?#]*)', 1)")
     whole = rf"regexp_extract(v, '^[A-Za-z][^:/]*://[^/?#]+') || {dotted} || regexp_extract(v, '^[^?#]*(.*)$', 1)"
-    return rf"(list_transform([{v}], lambda v: CASE WHEN regexp_matches(v, '^[^?#]*/\.\.?([/?#]|$)') THEN {whole} ELSE v END)[1])"
+    octets = r"array_to_string(list_transform(string_split(v, ''), lambda c: CASE WHEN regexp_matches(c, '[^\x21-\x7e]') THEN url_encode(c) ELSE c END), '')"
+    plain = rf"(list_transform([{u}], lambda v: CASE WHEN regexp_matches(v, '^[^?#]*/\.\.?([/?#]|$)') THEN {whole} ELSE v END)[1])"
+    return rf"(list_transform([{plain}], lambda v: CASE WHEN regexp_matches(v, '[^\x21-\x7e]') THEN {octets} ELSE v END)[1])"
+
+
+def _resolve(raw, base):
+    return _standard(_joined(raw, base))
 
 
 def _joined(raw, base):
@@ -81,6 +87,7 @@ def _joined(raw, base):
 
 
 c = F.col
+_STANDARD = f"(SELECT * REPLACE ({_standard('url')} AS url) FROM full_urls)"
 _bare = r"regexp_replace(regexp_replace(url, '#.*$', ''), '\?.*$', '')"
 _private = r"""(h IN ('localhost', '::1', '[::1]') OR h LIKE '%.localhost' OR h LIKE '%.local' OR h LIKE '%.internal' OR h LIKE 'fc%' OR h LIKE 'fd%' OR h LIKE 'fe80%' OR h LIKE '[fc%' OR h LIKE '[fd%' OR h LIKE '[fe80%'
   OR (len(string_split(h, '.')) = 4 AND len(list_filter(string_split(h, '.'), lambda n: regexp_full_match(n, '[0-9]{1,3}'))) = 4
@@ -96,11 +103,11 @@ register("url_domain_allowed", ("full_urls", "part"),
          lambda d, p: discovery.url_domain_allowed(d, p.where("p_partkey <= 25").select(F.concat(F.lit("shop"), F.when(c("p_partkey") > 1, c("p_partkey").cast("string")).otherwise(""), F.lit(".example.com")).alias("domain")), U.host(c("url"))).select("url_id", "url"),
          f"SELECT url_id, url FROM (SELECT url_id, url, {_host('url')} AS h FROM full_urls) u WHERE NOT {_private} AND EXISTS (SELECT 1 FROM part WHERE p_partkey <= 25 AND (h = 'shop' || CASE WHEN p_partkey > 1 THEN p_partkey::VARCHAR ELSE '' END || '.example.com' OR h LIKE '%.shop' || CASE WHEN p_partkey > 1 THEN p_partkey::VARCHAR ELSE '' END || '.example.com'))")
 columns("url_resolve", "shop_urls", ("url_id",), {"resolved": (lambda: U.url_resolve(c("raw"), c("base")), _resolve("raw", "base"))})
-columns("url_strip_tracking", "full_urls", ("url_id",), {"stripped": (lambda: U.url_strip_tracking(c("url")), f"""CASE WHEN {_is('url')} THEN {_bare} || CASE WHEN len(list_filter(string_split({_query('url')}, '&'), lambda p: p <> '' AND NOT (lower(split_part(p, '=', 1)) IN ('fbclid','gclid','gclsrc','dclid','msclkid','mc_cid','mc_eid','_ga','_gl','yclid','igshid','ref','ref_src') OR lower(p) LIKE 'utm~_%' ESCAPE '~'))) > 0
+columns("url_strip_tracking", "full_urls", ("url_id",), rows=_STANDARD, made={"stripped": (lambda: U.url_strip_tracking(c("url")), f"""CASE WHEN {_is('url')} THEN {_bare} || CASE WHEN len(list_filter(string_split({_query('url')}, '&'), lambda p: p <> '' AND NOT (lower(split_part(p, '=', 1)) IN ('fbclid','gclid','gclsrc','dclid','msclkid','mc_cid','mc_eid','_ga','_gl','yclid','igshid','ref','ref_src') OR lower(p) LIKE 'utm~_%' ESCAPE '~'))) > 0
    THEN '?' || array_to_string(list_filter(string_split({_query('url')}, '&'), lambda p: p <> '' AND NOT (lower(split_part(p, '=', 1)) IN ('fbclid','gclid','gclsrc','dclid','msclkid','mc_cid','mc_eid','_ga','_gl','yclid','igshid','ref','ref_src') OR lower(p) LIKE 'utm~_%' ESCAPE '~')), '&') ELSE '' END END""")})
 columns("url_strip_locale", "full_urls", ("url_id",), {"path": (lambda: U.url_strip_locale(U.path(c("url"))), _no_locale("(" + _path("url") + ")"))})
 columns("url_locale_prefix", "full_urls", ("url_id",), {"locale": (lambda: U.url_locale_prefix(U.path(c("url"))), _locale("(" + _path("url") + ")"))})
-columns("collection_handle", "full_urls", ("url_id",), {"handle": (lambda: U.collection_handle(c("url")), _collection("url"))})
+columns("collection_handle", "full_urls", ("url_id",), rows=_STANDARD, made={"handle": (lambda: U.collection_handle(c("url")), _collection("url"))})
 columns("host_same_ignoring_www", "full_urls", ("url_id",), {"same": (lambda: U.host_same_ignoring_www(U.host(c("url")), F.lit("WWW.shop.example.com")), f"regexp_replace({_host('url')}, '^www\\.', '') = 'shop.example.com'")})
 columns("redirect_away", "redirects", ("redirect_id",), {"away": (lambda: U.redirect_away(c("requested"), U.url_resolve(c("location"), c("requested"))),
     f"""(regexp_replace({_no_locale('(' + _path('requested') + ')')}, '/+$', '') <> regexp_replace({_no_locale('(' + _path(_resolve('location', 'requested')) + ')')}, '/+$', '')) OR coalesce({_param(_resolve('location', 'requested'), 'sort_by')}, '') <> 'best-selling'""")})
@@ -115,21 +122,21 @@ register("product_url_normalize", ("shop_urls",), lambda d: d.select("url_id", U
 WITH r AS (SELECT url_id, base, {_u} AS u FROM shop_urls) SELECT url_id, CASE WHEN {_host('u')} = {_host('base')} AND regexp_extract(({_path('u')}), '(?i)/products/([^/?#]+)', 1) <> '' THEN ({_origin('u')}) || {_locale('(' + _path('u') + ')')} || '/products/' || regexp_extract(({_path('u')}), '(?i)/products/([^/?#]+)', 1) END AS product_url FROM r""")
 register("product_url_normalize_keep_prefix", ("shop_urls",), lambda d: d.select("url_id", U.product_url_normalize_keep_prefix(c("raw"), c("base")).alias("product_url")), f"""
 WITH r AS (SELECT url_id, base, {_u} AS u FROM shop_urls) SELECT url_id, CASE WHEN {_host('u')} = {_host('base')} AND regexp_extract(({_path('u')}), '(?i)/products/([^/?#]+)', 1) <> '' THEN ({_origin('u')}) || regexp_extract(({_path('u')}), '(?i)^(.*?/products/[^/?#]+)', 1) END AS product_url FROM r""")
-columns("product_identity", "full_urls", ("url_id",), {
+columns("product_identity", "full_urls", ("url_id",), rows=_STANDARD, made={
     "product_key": (lambda: U.product_identity(c("url"))["product_key"], f"coalesce('handle:' || nullif(lower(CASE WHEN regexp_extract(({_path('url')}), '(?i)/products/([^/?#]+)', 1) LIKE '%~%ZZ%' ESCAPE '~' THEN regexp_extract(({_path('url')}), '(?i)/products/([^/?#]+)', 1) ELSE url_decode(regexp_extract(({_path('url')}), '(?i)/products/([^/?#]+)', 1)) END), ''), url)"),
     "handle": (lambda: U.product_identity(c("url"))["handle"], f"nullif(lower(CASE WHEN regexp_extract(({_path('url')}), '(?i)/products/([^/?#]+)', 1) LIKE '%~%ZZ%' ESCAPE '~' THEN regexp_extract(({_path('url')}), '(?i)/products/([^/?#]+)', 1) ELSE url_decode(regexp_extract(({_path('url')}), '(?i)/products/([^/?#]+)', 1)) END), '')"),
 })
-columns("listing_key", "full_urls", ("url_id",), {"listing_key": (lambda: U.listing_key(c("url")), f"concat_ws('|', {_host('url')}, CASE WHEN regexp_replace(({_path('url')}), '/+$', '') = '' THEN '/' ELSE regexp_replace(({_path('url')}), '/+$', '') END, 'sort_by=' || nullif({_param('url', 'sort_by')}, ''))")})
-columns("paginated_url", "full_urls", ("url_id",), {"page_url": (lambda: U.paginated_url(c("url"), c("url_id") % 3 + 1), f"""CASE WHEN {_is('url')} THEN CASE
+columns("listing_key", "full_urls", ("url_id",), rows=_STANDARD, made={"listing_key": (lambda: U.listing_key(c("url")), f"concat_ws('|', {_host('url')}, CASE WHEN regexp_replace(({_path('url')}), '/+$', '') = '' THEN '/' ELSE regexp_replace(({_path('url')}), '/+$', '') END, 'sort_by=' || nullif({_param('url', 'sort_by')}, ''))")})
+columns("paginated_url", "full_urls", ("url_id",), rows=_STANDARD, made={"page_url": (lambda: U.paginated_url(c("url"), c("url_id") % 3 + 1), f"""CASE WHEN {_is('url')} THEN CASE
   WHEN url_id % 3 + 1 > 1 AND {_param('url', 'page')} IS NOT NULL THEN regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])page=[^&]*', '\\1page=' || (url_id % 3 + 1)::VARCHAR)
   WHEN url_id % 3 + 1 > 1 AND url LIKE '%?%' THEN regexp_replace(url, '#.*$', '') || '&page=' || (url_id % 3 + 1)::VARCHAR
   WHEN url_id % 3 + 1 > 1 THEN regexp_replace(url, '#.*$', '') || '?page=' || (url_id % 3 + 1)::VARCHAR
   ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])page=[^&]*', '\\1'), '[?&]+$', ''), '\\?&', '?') END END""")})
-columns("feed_url", "full_urls", ("url_id",), {
+columns("feed_url", "full_urls", ("url_id",), rows=_STANDARD, made={
     "feed": (lambda: U.feed_url(c("url"))["feed"], f"CASE WHEN regexp_extract(({_path('url')}), '(?i)^(.*?/collections/[^/?#]+)', 1) <> '' THEN ({_origin('url')}) || regexp_extract(({_path('url')}), '(?i)^(.*?/collections/[^/?#]+)', 1) || '/products.json' END"),
     "root_ok": (lambda: U.feed_url(c("url"))["root_ok"], f"CASE WHEN {_collection('url')} IS NOT NULL THEN {_collection('url')} IN ('all', 'vendors', 'types') END"),
 })
-columns("product_url_kind", "full_urls", ("url_id",), {
+columns("product_url_kind", "full_urls", ("url_id",), rows=_STANDARD, made={
     "kind": (lambda: U.product_url_kind(c("url"))["kind"], f"CASE WHEN {_scheme('url')} = 'https' AND NOT regexp_matches(regexp_extract(url, {_URL}, 2), '[@:]') AND regexp_matches(({_path('url')}), '(?i)^(?:/[a-z]{{2}}(?:-[a-z]{{2}})?)?/products/[^/]+/?$') THEN CASE WHEN lower(({_path('url')})) LIKE '%.js' THEN 'js' WHEN lower(({_path('url')})) LIKE '%.json' THEN 'json' ELSE 'page' END END"),
     "reason": (lambda: U.product_url_kind(c("url"))["reason"], f"CASE WHEN NOT {_is('url')} THEN 'not_a_url' WHEN {_scheme('url')} <> 'https' THEN 'not_https' WHEN regexp_extract(url, {_URL}, 2) LIKE '%@%' THEN 'credentials' WHEN regexp_extract(url, {_URL}, 2) LIKE '%:%' THEN 'port' WHEN NOT regexp_matches(({_path('url')}), '(?i)^(?:/[a-z]{{2}}(?:-[a-z]{{2}})?)?/products/[^/]+/?$') THEN 'not_a_product_path' END"),
 })
