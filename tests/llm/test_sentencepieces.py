@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -27,28 +28,37 @@ def odd_texts():
     return texts
 
 
+def ids_of(own, *texts):
+    flat, ends = own.encode(list(texts))
+    return [x.tolist() for x in np.split(flat, ends[:-1])]
+
+
 def test_encoder_equals_library(library):
     own = sentencepieces.encoder(MODEL)
-    for text in odd_texts():
-        assert list(own.encode(text)) == library.encode(text), text[:80]
+    texts = odd_texts()
+    assert ids_of(own, *texts) == library.encode(texts)
+    for text in texts[:40]:
+        assert ids_of(own, text) == [library.encode(text)], text[:80]
 
 
 def test_every_piece_beside_others_equals_library(library):
     own, rng = sentencepieces.encoder(MODEL), random.Random(3)
     pieces = sorted(own.ids)
-    for _ in range(6000):
-        text = "".join(rng.choices(pieces, k=rng.choice((1, 2, 3, 6)))).replace("▁", rng.choice(" ▁"))
-        assert list(own.encode(text)) == library.encode(text), text
+    texts = ["".join(rng.choices(pieces, k=rng.choice((1, 2, 3, 6)))).replace("▁", rng.choice(" ▁")) for _ in range(20_000)]
+    for text, ids in zip(texts, ids_of(own, *texts), strict=True):
+        assert ids == library.encode(text), text
     long = "".join(rng.choices([p for p in pieces if "▁" not in p], k=20_000))  # one chunk: the bitfield and going back
-    assert list(own.encode(long)) == library.encode(long)
+    assert ids_of(own, long, "x", long[:70]) == library.encode([long, "x", long[:70]])
 
 
 def test_memory_that_starts_anew_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(sentencepieces, "REMEMBERED", 3)
+    monkeypatch.setattr(sentencepieces, "PAIRS", 7)
+    monkeypatch.setattr(sentencepieces, "TOGETHER", 2)
     with open(MODEL, "rb") as file:
         own = sentencepieces.Encoder(file.read())
     for text in odd_texts()[-300:]:
-        assert list(own.encode(text)) == library.encode(text)
+        assert ids_of(own, text) == [library.encode(text)]
 
 
 def test_other_kinds_of_models_are_refused():
