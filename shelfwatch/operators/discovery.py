@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import urls as U
+from ..sources.selectors import PAGE
 from ..session import shared_folder, stored
 
 # Path patterns of collection pages.
@@ -82,7 +83,7 @@ def crawl_frontier(links: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame
 
 
 def next_page_url(elements: DataFrame, visited: DataFrame | None = None) -> DataFrame:
-    """(page_id, url, ord, tag, attrs, text, path) -> (page_id, next_url) of pages with a safe next page.
+    """Elements for ``a`` and ``link`` -> (page_id, next_url) of pages with a safe next page.
 
     Candidates are rel=next links, anchors called next and links of pagination lists. One to the page after
     this is best; else the first that isn't a plain pagination link and keeps the path. ``visited`` (url) names
@@ -92,7 +93,7 @@ def next_page_url(elements: DataFrame, visited: DataFrame | None = None) -> Data
     words = F.lower(F.concat_ws(" ", "text", attr("aria-label"), attr("rel"), attr("class")))
     control = words.rlike(r"\b(next|suivant|volgende|weiter|older|more)\b")
     named = (F.col("tag") == "a") & (attr("aria-label").rlike("(?i)next") | attr("class").rlike("(?i)next"))
-    listed = (F.col("tag") == "a") & F.exists("path", lambda p: p["cls"].rlike("(?i)pag") & p["tag"].isin("nav", "ul", "div") | (p["tag"] == "nav") & F.coalesce(F.element_at(p["attrs"], "aria-label"), F.lit("")).rlike("(?i)pag"))
+    listed = (F.col("tag") == "a") & PAGE.within("pages")
     tier = F.when((attr("rel") == "next") & (F.col("tag") == "link"), 0).when((attr("rel") == "next") & (F.col("tag") == "a"), 1).when(named, 2).when(listed & control, 3).when(listed, 4)
     rows = elements.where(F.col("tag").isin("a", "link")).withColumn("tier", tier).where("tier is not null").withColumn("to", U.url_resolve(attr("href"), F.col("url")))
     rows = rows.where(U.host(F.col("to")) == U.host(F.col("url")))

@@ -11,20 +11,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import urls as U
 from ..functions.hashing import edges_of, hamming, ssim_of
 from ..functions.text import srcset_urls
-from ..sources.html import ancestors
+from ..sources.selectors import PAGE, SCOPE_NAMES
 
-# Parts of URLs of assets that show no product; sections and containers of product pages.
+# Parts of URLs of assets that show no product.
 ASSET_PARTS = (
     r"\.svg(?:$|\?)", "sprite", "logo", r"\bicon\b", "favicon", "badge", r"\bflag\b", "payment", "pixel", "tracking", "placeholder", "spinner", "loader",
     "1x1", "avatar", "profile", "newsletter", "banner", "hero", "/brand/", "/brands/", "trust", "review-star", "star-rating", "social", "share", "cart",
     "/cms/", "arrow", "chevron", "checkmark", "check-mark",
 )
-OUT_TAGS = ("nav", "header", "footer", "aside")
-OUT_ROLES = ("navigation", "banner", "complementary", "contentinfo")
-OUT_CLASSES = ("related", "upsell", "cross-sell", "recommendations", "recently-viewed", "also-bought", "reviews", "testimonials")
-OUT_CLASS_PARTS, OUT_ID_PARTS = ("review", "cookie", "gdpr", "newsletter", "popup"), ("reviews", "cookie", "gdpr", "newsletter", "popup")
-SCOPE_CLASSES = ("product__media-gallery", "product-gallery", "product-images", "product-single", "product-detail", "product-page", "product--full")
-SCOPE_IDS = ("product-images", "product-media", "product-gallery")
 # Fixed value: what only stands in templates.
 PLACEHOLDER = r"(?i)[<>]|%3c|%3e|\{\{|\}\}|\$\{"
 TIERS = ("jsonld", "og", "img", "picture", "css", "preload")
@@ -42,57 +36,50 @@ def template_placeholder(raw: Column) -> Column:
     return F.coalesce(raw.rlike(PLACEHOLDER), F.lit(False))
 
 
-def _has_class(step: Column, names: tuple[str, ...]) -> Column:
-    return F.arrays_overlap(F.split(step["cls"], r"\s+"), F.array(*map(F.lit, names)))
-
-
-def excluded_section(path: Column) -> Column:
+def excluded_section() -> Column:
     """The element or some ancestor is a section whose images aren't the product's."""
-    return F.exists(path, lambda s: s["tag"].isin(*OUT_TAGS) | s["role"].isin(*OUT_ROLES) | _has_class(s, OUT_CLASSES) | s["cls"].rlike("|".join(OUT_CLASS_PARTS)) | s["id"].rlike("|".join(OUT_ID_PARTS)))
+    return PAGE.within("excluded")
 
 
-def _scope_rank(step: Column, above: Column) -> Column:
-    """The place of an element in the list of product containers, null if it is none; ``above`` are its ancestors.
+def product_scope(elements: DataFrame) -> DataFrame:
+    """(page_id, scope, scope_last): the place of each page's best product container, whether it holds images or not.
 
-    An article is one only inside the main element.
+    Elements are those of ``html_elements`` with the lists ``SCOPE_NAMES`` marked.
     """
-    kind = F.coalesce(F.element_at(step["attrs"], "itemtype"), F.lit(""))
-    rank = F.when(kind.rlike("(?i)schema.org/product"), 0)
-    for k, name in enumerate(SCOPE_CLASSES, 2):
-        rank = rank.when(_has_class(step, (name,)), k)
-    for k, name in enumerate(SCOPE_IDS, 9):
-        rank = rank.when(step["id"] == name, k)
-    in_main, in_role = F.exists(above, lambda s: s["tag"] == "main"), F.exists(above, lambda s: s["role"] == "main")
-    article = step["tag"] == "article"
-    return rank.when(article & in_main, 12).when(article & in_role, 13).when(step["tag"] == "main", 14).when(step["role"] == "main", 15)
+    rank = F.coalesce(*[F.when(PAGE.marked(name), k) for k, name in enumerate(SCOPE_NAMES)])
+    rows = elements.select("page_id", "ord", "last", rank.alias("r")).where("r is not null")
+    best = rows.groupBy("page_id").agg(F.min_by(F.struct("ord", "last"), F.struct("r", "ord")).alias("best"))
+    return best.select("page_id", F.col("best.ord").alias("scope"), F.col("best.last").alias("scope_last"))
 
 
-def product_scope(elements: DataFrame) -> DataFrame:
-    """(page_id, scope): the position of each page's best product container that holds an element."""
-    holders = elements.select("page_id", F.transform(ancestors(), lambda s, k: F.struct(s["ord"].alias("ord"), _scope_rank(s, F.slice("path", F.lit(1), k)).alias("r"))).alias("s"))
-    steps = holders.select("page_id", F.inline("s")).where("r is not null")
-    return steps.groupBy("page_id").agg(F.min_by("ord", F.struct("r", "ord")).alias("scope"))
+#: What ``dom_images`` and ``product_scope`` need of a page.
+IMAGE_TAGS, IMAGE_LISTS = ("img", "source", "link"), ("picture source", "background", *SCOPE_NAMES)
+# Fixed value: the first address of a background, up to the quote that opened it.
+BACKGROUND = r"""(?i)background(?:-image)?\s*:\s*[^;]*url\((['"]?)(.*?)\1\)"""
 
 
 def dom_images(elements: DataFrame) -> DataFrame:
-    """Images of a page's product scope, or of the page: (page_id, url, tier, ord, at, raw, source, alt)."""
+    """Images inside a page's product scope, or of the page if it has none: (page_id, url, tier, ord, at, raw, source, alt).
+
+    Elements are those of ``html_elements`` for ``IMAGE_TAGS``, with ``IMAGE_LISTS`` marked.
+    """
     attr = lambda n: F.element_at("attrs", n)
     scoped = elements.join(product_scope(elements), "page_id", "left")
-    inside = F.col("scope").isNull() | F.exists("path", lambda s: s["ord"] == F.col("scope"))
-    free = inside & ~excluded_section(F.col("path"))
-    one = lambda name, source: F.when(attr(name).isNotNull(), F.array(F.struct(attr(name).alias("raw"), F.lit(source).alias("source"))))
-    many = lambda value, source: F.transform(srcset_urls(value), lambda u: F.struct(u.alias("raw"), F.lit(source).alias("source")))
-    none = F.array().cast("array<struct<raw:string,source:string>>")
-    lazy = [F.coalesce(one(n, "img" if n == "src" else n), none) for n in ("src", "data-src", "data-original", "data-lazy", "data-zoom-image", "data-large")]
-    sets = [F.coalesce(many(attr(n), n), none) for n in ("srcset", "data-srcset")]
-    in_picture = F.exists("path", lambda s: s["tag"] == "picture")
-    css = F.regexp_extract(F.coalesce(attr("style"), F.lit("")), r"(?i)background(?:-image)?\s*:\s*[^;]*url\(['\"]?([^'\")]*)", 1)
+    inside = F.col("scope").isNull() | (F.col("ord") > F.col("scope")) & (F.col("ord") <= F.col("scope_last"))
+    free = inside & ~excluded_section()
+    none = F.array().cast("array<struct<tier:int,raw:string,source:string>>")
+    given = lambda tier, raw, source: F.struct(F.lit(tier).alias("tier"), raw.alias("raw"), F.lit(source).alias("source"))
+    one = lambda tier, name, source: F.coalesce(F.when(attr(name).isNotNull(), F.array(given(tier, attr(name), source))), none)
+    many = lambda tier, value, source: F.coalesce(F.transform(srcset_urls(value), lambda u: given(tier, u, source)), none)
+    lazy = [one(2, n, "img" if n == "src" else n) for n in ("src", "data-src", "data-original", "data-lazy", "data-zoom-image", "data-large")]
+    sets = [many(2, attr(n), n) for n in ("srcset", "data-srcset")]
+    css = F.regexp_extract(F.coalesce(attr("style"), F.lit("")), BACKGROUND, 2)
     preload = (F.col("tag") == "link") & (attr("rel") == "preload") & (attr("as") == "image")
     found = F.concat(
-        F.when(free & (F.col("tag") == "img"), F.transform(F.concat(*lazy, *sets), lambda x: F.struct(F.lit(2).alias("tier"), x["raw"].alias("raw"), x["source"].alias("source")))).otherwise(F.array().cast("array<struct<tier:int,raw:string,source:string>>")),
-        F.when(free & (F.col("tag") == "source") & in_picture, F.transform(F.coalesce(many(F.coalesce(attr("srcset"), attr("data-srcset")), "picture-source"), none), lambda x: F.struct(F.lit(3).alias("tier"), x["raw"].alias("raw"), x["source"].alias("source")))).otherwise(F.array().cast("array<struct<tier:int,raw:string,source:string>>")),
-        F.when(free & (css != ""), F.array(F.struct(F.lit(4).alias("tier"), css.alias("raw"), F.lit("css-bg").alias("source")))).otherwise(F.array().cast("array<struct<tier:int,raw:string,source:string>>")),
-        F.when(preload, F.transform(F.concat(F.coalesce(one("href", "preload"), none), F.coalesce(many(attr("imagesrcset"), "preload-srcset"), none)), lambda x: F.struct(F.lit(5).alias("tier"), x["raw"].alias("raw"), x["source"].alias("source")))).otherwise(F.array().cast("array<struct<tier:int,raw:string,source:string>>")),
+        F.when(free & (F.col("tag") == "img"), F.concat(*lazy, *sets)).otherwise(none),
+        F.when(free & PAGE.marked("picture source"), many(3, F.coalesce(attr("srcset"), attr("data-srcset")), "picture-source")).otherwise(none),
+        F.when(free & PAGE.marked("background") & (css != ""), F.array(given(4, css, "css-bg"))).otherwise(none),
+        F.when(preload, F.concat(one(5, "href", "preload"), many(5, attr("imagesrcset"), "preload-srcset"))).otherwise(none),
     )
     rows = scoped.select("page_id", "url", "ord", attr("alt").alias("alt"), F.posexplode(found).alias("at", "x"))
     return rows.select("page_id", "url", "x.tier", "ord", "at", "x.raw", "x.source", "alt")

@@ -6,18 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import urls as U
 from ..functions.text import clean_text, srcset_urls
-from ..sources.html import ancestors
-
-# Class names of blocks that aren't the grid, markers of grids, classes of product cards.
-CHROME_TAGS = ("header", "nav", "footer")
-CHROME_CLASSES = (
-    "mega-menu", "menu-drawer", "site-nav", "mini-cart", "cart-drawer", "add-on", "addon", "upsell", "cross-sell", "recommend",
-    "related-product", "also-like", "you-may", "frequently-bought", "predictive", "complementary",
-)
-GRID_SECTIONS = ("collection-grid", "collection-template", "main-collection")
-GRID_IDS = ("product-grid", "ProductGridContainer", "CollectionProductGrid", "CollectionAjaxContent")
-GRID_CLASSES = ("product-grid", "collection-grid", "products-grid", "collection-products")
-CARD_CLASSES = ("product-card", "product-item", "grid-item", "card-product", "card", "grid-product")
+from ..sources.selectors import PAGE
+
 # Handles of add-ons that are no products, and names that only look like them.
 JUNK = (
     r"(?:shipping|package|parcel|order|delivery)[-_]?(?:protection|insurance|guarantee|warranty)|insurance|warranty|route[-_]?(?:insurance|protection)"
@@ -32,63 +22,61 @@ def junk_product_filter(handle: Column) -> Column:
     return F.coalesce(h.rlike(rf"(?:^|[-_])(?:{JUNK})s?(?:[-_]|$)") & ~h.rlike(NOT_JUNK), F.lit(False))
 
 
-def _in_chrome(step: Column) -> Column:
-    cls = F.lower(step["cls"])
-    drawer = cls.contains("drawer") & ~cls.rlike("filter|collection|product")
-    return step["tag"].isin(*CHROME_TAGS) | cls.rlike("|".join(CHROME_CLASSES)) | drawer
-
-
-def _is_grid(step: Column) -> Column:
-    section = F.lower(F.coalesce(F.element_at(step["attrs"], "data-section-type"), F.lit("")))
-    return section.rlike("|".join(GRID_SECTIONS)) | step["id"].isin(*GRID_IDS) | F.lower(step["cls"]).rlike("|".join(GRID_CLASSES))
-
-
 def drop_chrome_links(anchors: DataFrame) -> DataFrame:
     """Anchors that neither lie in page furniture nor are furniture by their own class."""
-    return anchors.where(~F.exists("path", _in_chrome))
+    return anchors.where(~PAGE.within("chrome"))
 
 
-def grid_anchor_select(anchors: DataFrame) -> DataFrame:
-    """Anchors (page_id, ord, attrs, path) -> those of the grid with most products, else those outside chrome, else all."""
-    anchors = anchors.withColumn("href", F.element_at("attrs", "href")).where("href is not null")
+def grid_anchor_select(elements: DataFrame) -> DataFrame:
+    """Anchors and grids of pages -> the anchors of the grid with most products, else those outside chrome, else all.
+
+    Elements are those of ``html_elements`` for ``a``, with the list ``grid`` marked. A grid counts with two distinct products or more.
+    """
+    anchors = elements.where(F.col("tag") == "a").withColumn("href", F.element_at("attrs", "href")).where("href is not null")
     clean = drop_chrome_links(anchors)
     handle = F.lower(F.regexp_extract("href", U.PRODUCT, 1))
-    inside = clean.select("page_id", "ord", F.when(handle != "", handle).alias("h"), F.explode(F.transform(F.filter(ancestors(), _is_grid), lambda s: s["ord"])).alias("grid"))
-    sizes = inside.groupBy("page_id", "grid").agg(F.count_distinct("h").alias("n")).where("n >= 2")
-    best = sizes.groupBy("page_id").agg(F.min_by("grid", F.struct(-F.col("n"), F.col("grid"))).alias("grid"))
-    in_grid = clean.join(inside.join(best, ["page_id", "grid"], "left_semi").select("page_id", "ord").distinct(), ["page_id", "ord"], "left_semi")
-    outside = clean.join(best, "page_id", "left_anti")
+    grids = elements.where(PAGE.marked("grid")).select(F.col("page_id").alias("grid_page"), F.col("ord").alias("grid"), F.col("last").alias("grid_last"))
+    holds = (F.col("page_id") == F.col("grid_page")) & (F.col("ord") > F.col("grid")) & (F.col("ord") <= F.col("grid_last"))
+    linked = clean.select("page_id", "ord", handle.alias("h")).where("h <> ''")
+    sizes = linked.join(grids, holds).groupBy("page_id", "grid", "grid_last").agg(F.count_distinct("h").alias("n")).where("n >= 2")
+    best = sizes.groupBy("page_id").agg(F.min_by(F.struct("grid", "grid_last"), F.struct(-F.col("n"), F.col("grid"))).alias("best"))
+    placed = clean.join(best, "page_id", "left")
+    chosen = placed.where(F.col("best").isNull() | (F.col("ord") > F.col("best.grid")) & (F.col("ord") <= F.col("best.grid_last"))).drop("best")
     bare = anchors.join(clean.select("page_id").distinct(), "page_id", "left_anti")
-    return in_grid.unionByName(outside).unionByName(bare)
-
-
-def _card(path: Column) -> Column:
-    """The nearest product card, the element itself or an ancestor: its position in the page, null if there is none."""
-    is_card = lambda s: s["tag"].isin("li", "article") | F.lower(s["cls"]).rlike("|".join(CARD_CLASSES)) | F.map_contains_key(s["attrs"], "data-product-handle") | F.map_contains_key(s["attrs"], "data-product-id")
-    return F.try_element_at(F.transform(F.filter(path, is_card), lambda s: s["ord"]), F.lit(-1))
+    return chosen.unionByName(bare)
 
 
 def card_fields(elements: DataFrame) -> DataFrame:
     """Elements of pages -> for each anchor (page_id, ord) its card's title and image.
 
-    Titles: the link's own attributes, the alternative text of its image, data and heading of the card, the
-    link's text. Images: the link's first, else the card's.
+    Elements are those of ``html_elements`` for ``a`` and ``img``, with the lists ``card``, ``heading`` and ``product title`` marked. Titles: the
+    link's own attributes, the alternative text of its first image, the first data and heading of the card (of whatever
+    tag), the link's text. Images: the link's first, else the card's. What lies first inside an element is what follows it,
+    if its number isn't over the element's last: one pass over a page, from its end, finds all.
     """
     attr = lambda n: clean_text(F.element_at("attrs", n))
-    anchors = elements.where(F.col("tag") == "a").select("page_id", "url", "ord", "text", "attrs", F.coalesce(_card(F.col("path")), F.col("ord")).alias("card"))
     src = F.coalesce(attr("src"), attr("data-src"), attr("data-original"), F.get(srcset_urls(attr("srcset")), F.lit(0)), F.get(srcset_urls(attr("data-srcset")), F.lit(0)))
-    up = F.transform(ancestors(), lambda s: s["ord"])
-    inner = elements.where(F.col("tag") != "a").select("page_id", F.col("ord").alias("at"), "tag", clean_text(F.col("text")).alias("said"), attr("alt").alias("alt"), src.alias("src"), attr("data-product-title").alias("data"), F.lower(F.coalesce(F.element_at("attrs", "class"), F.lit(""))).alias("cls"), up.alias("up"))
-    own = inner.withColumn("holder", F.explode("up"))
-    of = lambda key: anchors.select("page_id", "ord", F.col(key).alias("holder")).join(own, ["page_id", "holder"])
-    heading = F.col("tag").isin("h2", "h3", "h4") | F.col("cls").rlike("title|name")
-    first = lambda col, cond: F.min_by(col, F.when(cond, F.col("at")))
-    image = F.col("tag") == "img"
-    in_link = of("ord").groupBy("page_id", "ord").agg(first("alt", image).alias("alt"), first("src", image).alias("link_src"))
-    in_card = of("card").groupBy("page_id", "ord").agg(first("data", F.col("data").isNotNull()).alias("data"), first("said", heading).alias("heading"), first("src", image).alias("card_src"))
-    rows = anchors.join(in_link, ["page_id", "ord"], "left").join(in_card, ["page_id", "ord"], "left")
-    title = F.coalesce(attr("data-product-title"), attr("aria-label"), attr("title"), "alt", "data", "heading", clean_text(F.col("text")))
-    return rows.select("page_id", "ord", title.alias("title"), F.coalesce(U.url_resolve(F.col("link_src"), F.col("url")), U.url_resolve(F.col("card_src"), F.col("url"))).alias("image_url"))
+    follows = Window.partitionBy("page_id").orderBy(F.col("ord").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    nearest = lambda found, *fields: F.last(F.when(found, F.struct(F.col("ord").alias("at"), *fields)), ignorenulls=True).over(follows)
+    rows = elements.select(
+        "page_id",
+        "url",
+        "ord",
+        "last",
+        "tag",
+        F.coalesce(PAGE.closest("card"), F.col("ord")).alias("card"),
+        F.coalesce(attr("data-product-title"), attr("aria-label"), attr("title")).alias("own"),
+        F.when(F.col("tag") == "a", clean_text(F.col("text"))).alias("said"),
+        nearest(F.col("tag") == "img", attr("alt").alias("alt"), src.alias("src")).alias("image"),
+        nearest(PAGE.marked("product title"), attr("data-product-title").alias("said")).alias("data"),
+        nearest(PAGE.marked("heading"), clean_text(F.col("text")).alias("said")).alias("heading"),
+    )
+    within = lambda found, field: F.when(F.col(f"{found}.at") <= F.col("last"), F.col(f"{found}.{field}"))
+    links = rows.where(F.col("tag") == "a").select("page_id", "url", "ord", "card", "own", "said", within("image", "alt").alias("alt"), within("image", "src").alias("link_src"))
+    cards = rows.select("page_id", F.col("ord").alias("card"), within("data", "said").alias("data"), within("heading", "said").alias("heading"), within("image", "src").alias("card_src"))
+    found = links.join(cards, ["page_id", "card"])
+    image = F.coalesce(U.url_resolve(F.col("link_src"), F.col("url")), U.url_resolve(F.col("card_src"), F.col("url")))
+    return found.select("page_id", "ord", F.coalesce("own", "alt", "data", "heading", "said").alias("title"), image.alias("image_url"))
 
 
 # Fixed value: what stands behind the last separator of a title.

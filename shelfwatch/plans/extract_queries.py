@@ -12,11 +12,11 @@ from .registry import register, register_path
 from .url_text import _host, _path
 
 TAGS = ("title", "meta", "link", "script", "h1", "h2", "h3", "h4", "dt", "summary", "strong", "b")
-NEAR = ("h2", "h3", "h4", "dt", "summary", "strong", "b")
+LABEL_TAGS = ("h2", "h3", "h4", "dt", "summary", "strong", "b")
 
 
 def elements(pages):
-    return html_elements(pages, TAGS, NEAR)
+    return html_elements(pages, TAGS)
 
 
 def facts(pages):
@@ -102,5 +102,5 @@ register("store_title_audit", ("page_seo",), lambda p: E.store_title_audit(facts
 register("field_coverage", ("page_seo",), lambda p: E.field_coverage(fields(p)),
          f"WITH {FACTS}, r AS (" + " UNION ALL ".join(f"SELECT {_host('url')} AS host, '{n}' AS field, source, confidence, value IS NULL AS missing FROM (SELECT url, {s} FROM f)" for n, s in FIVE.items())
          + ") SELECT coalesce(field, '*') AS field, coalesce(source, '*') AS source, coalesce(host, '*') AS host, count(*) AS pages, round(avg(confidence), 6) AS confidence, round(avg(CASE WHEN missing THEN 1.0 ELSE 0 END), 6) AS missing FROM r GROUP BY ROLLUP (field, source, host)")
-register("label_section_text", ("pages",), lambda p: E.label_section_text(html_elements(p.withColumn("html", F.concat(F.lit("<div><h3>Product Details "), F.col("page_id").cast("string"), F.lit("</h3><p>"), F.regexp_extract("html", "<p><b>([^<]*)", 1), F.lit("</p></div>"))), NEAR, NEAR)),
+register("label_section_text", ("pages",), lambda p: E.label_section_text(html_elements(p.withColumn("html", F.concat(F.lit("<div><h3>Product Details "), F.col("page_id").cast("string"), F.lit("</h3><p>"), F.regexp_extract("html", "<p><b>([^<]*)", 1), F.lit("</p></div>"))), LABEL_TAGS)),
          f"SELECT page_id, CASE WHEN length(t) >= 30 THEN t ELSE 'Product Details ' || page_id::VARCHAR || t END AS label_text FROM (SELECT page_id, {_text(_tag('<p><b>([^<]*)'))} AS t FROM pages) WHERE length('Product Details ' || page_id::VARCHAR || t) >= 30")

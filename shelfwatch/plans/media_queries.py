@@ -12,36 +12,42 @@ from ..sources.html import html_elements
 from .registry import columns, register
 
 _c = F.col
-IMAGE_TAGS = ("img", "source", "link", "meta", "script", "div")
+
+
+#: What stands around the gallery, by page_id modulo 7: containers of several ranks, none, an empty one, one around the main element, a section that is left out.
+_AROUND = (
+    ('<main><div class="x product-gallery">', "</div></main>"), ('<main><div itemtype="https://schema.org/Product">', "</div></main>"), ("<main><article>", "</article></main>"), ("<section><article>", "</article></section>"),
+    ('<main><div class="product-gallery"></div>', "</main>"), ('<div id="product-media"><main>', "</main></div>"), ('<main><div class="upsell">', "</div></main>"),
+)
 
 
 def _gallery(pages):
-    """Pages with a small gallery that is made from their own id, in four kinds of containers; every fourth page has none."""
-    kind = _c("page_id") % 4
-    opened = F.when(kind == 0, '<main><div class="x product-gallery">').when(kind == 1, '<main><div itemtype="https://schema.org/Product">').when(kind == 2, "<main><article>").otherwise("<section><article>")
-    closed = F.when(kind < 2, "</div></main>").when(kind == 2, "</article></main>").otherwise("</article></section>")
-    piece = F.concat(opened, F.lit('<img class="review-photo" src="/r.jpg"><img src="/a-'), _c("page_id").cast("string"), F.lit('.jpg" alt="x"><img data-src="/b.jpg?utm_source=q&w=3" srcset="/c.jpg 1x, /a-'), _c("page_id").cast("string"), F.lit('.jpg 2x"><picture><source srcset="/d.webp 1x"></picture><div style="background-image: url(\'/e.png\')"></div>'), closed, F.lit('<nav><img src="/logo.png"></nav>'), F.when(kind < 3, '<p><img src="/elsewhere.jpg"></p>').otherwise(""))
+    """Pages with a small gallery that is made from their own id, in seven kinds of surroundings."""
+    kind = (_c("page_id") % 7 + 1).cast("int")
+    opened, closed = (F.element_at(F.array(*[F.lit(around[k]) for around in _AROUND]), kind) for k in (0, 1))
+    piece = F.concat(opened, F.lit('<img class="review-photo" src="/r.jpg"><img src="/a-'), _c("page_id").cast("string"), F.lit('.jpg" alt="x"><img data-src="/b.jpg?utm_source=q&w=3" srcset="/c.jpg 1x, /a-'), _c("page_id").cast("string"), F.lit('.jpg 2x"><picture><source srcset="/d.webp 1x"></picture><div style="background-image: url(\'/e.png\')"></div>'), closed, F.lit('<nav><img src="/logo.png"></nav>'), F.when(kind != 4, '<p><img src="/elsewhere.jpg"></p>').otherwise(""))
     return pages.withColumn("html", F.concat(F.lit('<link rel="preload" as="image" href="/f.jpg">'), piece, "html"))
 
 
 def discovered(pages):
-    elements = html_elements(_gallery(pages), IMAGE_TAGS)
+    elements = html_elements(_gallery(pages), (*M.IMAGE_TAGS, "meta", "script"), M.IMAGE_LISTS)
     metas = E.og_twitter_maps(elements).where(F.col("key").isin("og:image", "twitter:image")).select("page_id", F.when(F.col("key") == "og:image", 0).otherwise(1).alias("ord"), F.col("content").alias("raw"), F.col("key").alias("source"))
     return M.discover_images(pages, M.jsonld_images(E.jsonld_nodes(elements)), metas, M.dom_images(elements))
 
 
 _DOM = "(VALUES ('img', 2, '/a-' , 'img'), ('img', 3, '/b.jpg?w=3', 'data-src'), ('img', 4, '/c.jpg', 'srcset'), ('picture', 5, '/d.webp', 'picture-source'), ('css', 6, '/e.png', 'css-bg'), ('preload', 7, '/f.jpg', 'preload'))"
+_SHOWN = "(d.tier = 'preload' OR page_id % 7 NOT IN (4, 6))"
 _ORIGIN = "lower(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1))"
 _FOUND = f"""found AS (SELECT * FROM (SELECT page_id, 'https://cdn.example.com/' || k::VARCHAR || '.jpg' AS image, 'jsonld' AS tier, k AS o FROM page_seo CROSS JOIN (VALUES (1), (2)) AS v(k) WHERE page_id % 8 = 5
   UNION ALL SELECT page_id, {_ORIGIN} || '/img/' || page_id::VARCHAR || '.jpg', 'og', 0 FROM page_seo WHERE page_id % 8 = 2
-  UNION ALL SELECT page_id, {_ORIGIN} || CASE WHEN d.raw = '/a-' THEN '/a-' || page_id::VARCHAR || '.jpg' ELSE d.raw END, d.tier, d.o FROM page_seo CROSS JOIN {_DOM} AS d(tier, o, raw, source)) WHERE NOT regexp_matches(lower(image), 'hero|logo|share|cart|trust|badge'))"""
+  UNION ALL SELECT page_id, {_ORIGIN} || CASE WHEN d.raw = '/a-' THEN '/a-' || page_id::VARCHAR || '.jpg' ELSE d.raw END, d.tier, d.o FROM page_seo JOIN {_DOM} AS d(tier, o, raw, source) ON {_SHOWN}) WHERE NOT regexp_matches(lower(image), 'hero|logo|share|cart|trust|badge'))"""
 register("discover_images", ("page_seo",), lambda p: discovered(p).select("page_id", "image", "tier", "nth"),
          f"WITH {_FOUND} SELECT page_id, image, tier, CAST(row_number() OVER (PARTITION BY page_id ORDER BY CASE tier WHEN 'jsonld' THEN 0 WHEN 'og' THEN 1 WHEN 'img' THEN 2 WHEN 'picture' THEN 3 WHEN 'css' THEN 4 ELSE 5 END, o) AS INT) AS nth FROM found")
 register("tier_counts", ("page_seo",), lambda p: M.tier_counts(discovered(p)), f"WITH {_FOUND} SELECT page_id, {', '.join(f'count(*) FILTER (WHERE tier = {chr(39)}{t}{chr(39)}) AS {t}' for t in M.TIERS)} FROM found GROUP BY page_id")
-register("dom_images", ("page_seo",), lambda p: M.dom_images(html_elements(_gallery(p), IMAGE_TAGS)).select("page_id", "raw", "source"),
-         f"SELECT page_id, CASE WHEN d.raw = '/a-' THEN '/a-' || page_id::VARCHAR || '.jpg' WHEN d.o = 3 THEN '/b.jpg?utm_source=q&w=3' ELSE d.raw END AS raw, d.source AS source FROM page_seo CROSS JOIN {_DOM} AS d(tier, o, raw, source) UNION ALL SELECT page_id, '/a-' || page_id::VARCHAR || '.jpg', 'srcset' FROM page_seo")
-register("product_scope", ("page_seo",), lambda p: M.product_scope(html_elements(_gallery(p), ("img", "source"))), "SELECT page_id, CAST(2 AS INT) AS scope FROM page_seo WHERE page_id % 4 < 3")
-register("excluded_section", ("page_seo",), lambda p: html_elements(_gallery(p), ("img",)).groupBy("page_id").agg(F.count_if(M.excluded_section(_c("path"))).alias("excluded"), F.count(F.lit(1)).alias("images")), "SELECT page_id, CAST(2 AS BIGINT) AS excluded, CAST(CASE WHEN page_id % 4 < 3 THEN 5 ELSE 4 END AS BIGINT) AS images FROM page_seo")
+register("dom_images", ("page_seo",), lambda p: M.dom_images(html_elements(_gallery(p), M.IMAGE_TAGS, M.IMAGE_LISTS)).select("page_id", "raw", "source"),
+         f"SELECT page_id, CASE WHEN d.raw = '/a-' THEN '/a-' || page_id::VARCHAR || '.jpg' WHEN d.o = 3 THEN '/b.jpg?utm_source=q&w=3' ELSE d.raw END AS raw, d.source AS source FROM page_seo JOIN {_DOM} AS d(tier, o, raw, source) ON {_SHOWN} UNION ALL SELECT page_id, '/a-' || page_id::VARCHAR || '.jpg', 'srcset' FROM page_seo WHERE page_id % 7 NOT IN (4, 6)")
+register("product_scope", ("page_seo",), lambda p: M.product_scope(html_elements(_gallery(p), (), M.SCOPE_NAMES)).select("page_id", "scope"), "SELECT page_id, CAST(CASE WHEN page_id % 7 IN (5, 6) THEN 1 ELSE 2 END AS INT) AS scope FROM page_seo WHERE page_id % 7 <> 3")
+register("excluded_section", ("page_seo",), lambda p: html_elements(_gallery(p), ("img",)).groupBy("page_id").agg(F.count_if(M.excluded_section()).alias("excluded"), F.count(F.lit(1)).alias("images")), "SELECT page_id, CAST(CASE WHEN page_id % 7 = 6 THEN 4 ELSE 2 END AS BIGINT) AS excluded, CAST(CASE WHEN page_id % 7 <> 3 THEN 5 ELSE 4 END AS BIGINT) AS images FROM page_seo")
 register("jsonld_images", ("page_seo",), lambda p: M.jsonld_images(E.jsonld_nodes(html_elements(p, ("script",)))).select("page_id", "at", "raw", "source"),
          "SELECT page_id, CAST(k - 1 AS INT) AS at, 'https://cdn.example.com/' || k::VARCHAR || '.jpg' AS raw, CASE k WHEN 1 THEN 'jsonld' ELSE 'jsonld:ImageObject' END AS source FROM page_seo CROSS JOIN (VALUES (1), (2)) AS v(k) WHERE page_id % 8 = 5".replace("AS at,", 'AS "at",'))
 columns("excluded_asset", "image_meta", ("image_id",), {"excluded": (lambda: M.excluded_asset(_c("url")), "regexp_matches(lower(url), '\\.svg($|\\?)|sprite|logo|\\bicon\\b|cart')")})
@@ -51,7 +57,7 @@ register("fetch_first_images", ("page_seo",), lambda p: M.fetch_first_images(_ga
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS INT) AS nth, image FROM (
   SELECT page_id, {_ORIGIN} || '/img/' || page_id::VARCHAR || '.jpg' AS image, 0 AS o FROM page_seo WHERE page_id % 8 = 2
   UNION ALL SELECT page_id, {_ORIGIN} || replace(v.path, '#', page_id::VARCHAR), v.o FROM page_seo CROSS JOIN (VALUES ('/r.jpg', 1), ('/a-#.jpg', 2), ('/b.jpg?utm_source=q&w=3', 3), ('/logo.png', 4)) AS v(path, o)
-  UNION ALL SELECT page_id, {_ORIGIN} || '/elsewhere.jpg', 5 FROM page_seo WHERE page_id % 4 < 3)""")
+  UNION ALL SELECT page_id, {_ORIGIN} || '/elsewhere.jpg', 5 FROM page_seo WHERE page_id % 7 <> 3)""")
 columns("content_sha256", "documents", ("doc_id",), {"sha": (lambda: H.content_sha256(_c("text").cast("binary")), "sha256(text)")})
 _AT = [r * 8 + k for r in range(8) for k in range(7)]
 _DHASH = "list_aggregate(list_transform([" + ", ".join(map(str, _AT)) + "], lambda i: CASE WHEN embedding[i + 1] < embedding[i + 2] THEN '1' ELSE '0' END), 'string_agg', '')"

@@ -109,9 +109,9 @@ _EXPECTED = f"SELECT p_partkey::BIGINT AS page_id, replace(replace({{}}, '#', p_
 _shaped = lambda: F.element_at(F.array(*map(F.lit, _SHAPES)), (_c("p_partkey") % 7 + 1).cast("int"))
 _GRID = lambda p: p.select(_c("p_partkey").cast("long").alias("page_id"), F.lit("https://shop.example.com/collections/all").alias("url"), F.replace(F.replace(_shaped(), F.lit("#"), _c("p_partkey").cast("string")), F.lit("@"), _c("p_name")).alias("html"))
 _href = lambda d: d.select("page_id", F.element_at("attrs", "href").alias("href"))
-register("grid_anchor_select", ("part",), lambda p: _href(R.grid_anchor_select(html_elements(_GRID(p), ("a",)))), _EXPECTED.format("href", "href") + " WHERE chosen")
+register("grid_anchor_select", ("part",), lambda p: _href(R.grid_anchor_select(html_elements(_GRID(p), ("a",), ("grid",)))), _EXPECTED.format("href", "href") + " WHERE chosen")
 register("drop_chrome_links", ("part",), lambda p: _href(R.drop_chrome_links(html_elements(_GRID(p), ("a",)))), _EXPECTED.format("href", "href") + " WHERE plain")
-_CARDS = lambda p: R.card_fields(html_elements(_GRID(p), ("a", "img", "h2", "h3", "div", "span", "li", "article")))
+_CARDS = lambda p: R.card_fields(html_elements(_GRID(p), ("a", "img"), ("card", "heading", "product title")))
 register("card_title", ("part",), lambda p: _CARDS(p).select("page_id", "title"), _EXPECTED.format("title", "title"))
 register("card_image", ("part",), lambda p: _CARDS(p).select("page_id", "image_url"), _EXPECTED.format("'https://shop.example.com' || image", "image_url"))
 _TITLES = lambda p: p.select("p_partkey", F.concat("p_name", F.when(_c("p_partkey") % 3 == 0, " - Handy Shop").when(_c("p_partkey") % 3 == 1, " | handy shop ").otherwise(" - Black")).alias("title"))

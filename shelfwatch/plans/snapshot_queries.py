@@ -25,10 +25,14 @@ register("snapshot_history", BOTH, lambda h, i: N.snapshot_history(h, 10).select
          "SELECT listing_key, snapshot_id, item_count, CAST(nth AS INT) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY listing_key ORDER BY checked_at DESC, snapshot_id DESC) AS nth FROM rank_snapshots) WHERE nth <= 10")
 register("snapshot_items", BOTH, lambda h, i: N.snapshot_items(i, "Brand#11:1997-03").select("rank", "product_key"),
          "SELECT rank, product_key FROM rank_items WHERE snapshot_id = 'Brand#11:1997-03'")
-register("rank_diff", BOTH, lambda h, i: N.rank_diff(i.where("snapshot_id LIKE '%:1997-03'"), i.where("snapshot_id LIKE '%:1997-04'"), on=("listing_key",)),
-         """SELECT coalesce(c.listing_key, p.listing_key) AS listing_key, coalesce(c.product_key, p.product_key) AS product_key, coalesce(c.url, p.url) AS url, coalesce(c.title, p.title) AS title, p.rank AS previous_rank, c.rank AS current_rank, p.rank - c.rank AS delta,
+_MONTH = lambda i: i.withColumn("month", F.right("snapshot_id", F.lit(7)))
+_BEFORE = lambda i: i.withColumn("month", F.date_format(F.add_months(F.to_date(F.concat(F.right("snapshot_id", F.lit(7)), F.lit("-01"))), 1), "yyyy-MM"))
+register("rank_diff", BOTH, lambda h, i: N.rank_diff(_BEFORE(i), _MONTH(i), on=("listing_key", "month")),
+         """SELECT coalesce(c.listing_key, p.listing_key) AS listing_key, coalesce(c.month, p.month) AS month, coalesce(c.product_key, p.product_key) AS product_key, coalesce(c.url, p.url) AS url, coalesce(c.title, p.title) AS title,
+  p.rank AS previous_rank, c.rank AS current_rank, p.rank - c.rank AS delta,
   CASE WHEN p.rank IS NULL THEN 'new' WHEN c.rank IS NULL THEN 'missing' WHEN p.rank > c.rank THEN 'up' WHEN p.rank < c.rank THEN 'down' ELSE 'same' END AS direction
-FROM (SELECT * FROM rank_items WHERE snapshot_id LIKE '%:1997-03') p FULL OUTER JOIN (SELECT * FROM rank_items WHERE snapshot_id LIKE '%:1997-04') c ON p.listing_key = c.listing_key AND p.product_key = c.product_key""")
+FROM (SELECT *, strftime((right(snapshot_id, 7) || '-01')::DATE + INTERVAL 1 MONTH, '%Y-%m') AS month FROM rank_items) p
+FULL OUTER JOIN (SELECT *, right(snapshot_id, 7) AS month FROM rank_items) c ON p.listing_key = c.listing_key AND p.month = c.month AND p.product_key = c.product_key""")
 register("rank_diff_all", BOTH, N.rank_diff_all, f"WITH {CHANGES} SELECT changes.*, pairs.listing_key, pairs.checked_at, pairs.previous_snapshot_id FROM changes JOIN pairs USING (snapshot_id)")
 register("direction", BOTH, lambda h, i: i.select("snapshot_id", "product_key", N.direction(F.col("rank") - 5).alias("direction")),
          "SELECT snapshot_id, product_key, CASE WHEN rank > 5 THEN 'up' WHEN rank < 5 THEN 'down' ELSE 'same' END AS direction FROM rank_items")

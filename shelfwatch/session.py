@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,14 +31,47 @@ def build(master: str = "local[*]", app: str = "shelfwatch", **extra: str) -> Sp
     return builder.getOrCreate()
 
 
+#: Folders that belong to the session, and those of each thread's open scratches.
+_OWNED: list[str] = []
+_OPEN = threading.local()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share; a temporary one only in a local session without it."""
+    """A new folder below ``spark.checkpoint.dir``, which all executors share; a temporary one only in a local session without it.
+
+    It belongs to the innermost ``scratch``, or to the session until ``close``.
+    """
     root, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
     if not root:
         if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    scratches = getattr(_OPEN, "scratches", None)
+    (scratches[-1] if scratches else _OWNED).append(folder)
+    return folder
+
+
+def _remove(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    folders.clear()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored inside the block are removed at its end; what was read from them must be written by then."""
+    _OPEN.scratches = [*getattr(_OPEN, "scratches", []), []]
+    try:
+        yield
+    finally:
+        _remove(spark, _OPEN.scratches.pop())
+
+
+def close(spark: SparkSession) -> None:
+    """Remove all tables that were stored for this session; frames that read them can't be used any more."""
+    _remove(spark, _OWNED)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -7,10 +7,11 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import stored
 from .markup import Scanner, attributes
+from .selectors import PAGE, Selectors
 
 # Elements without content, elements whose content is no markup, and elements whose start ends an open one of the same kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -18,53 +19,54 @@ RAW, DECODED = frozenset("script style title textarea".split()), ("title", "text
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 HOLDS = ("table", "ul", "ol", "div", "section", "article", "select")
-#: Attributes besides id, class and role that operators look for in ancestors.
-MARKS = ("itemtype", "data-section-type", "data-product-handle", "data-product-id", "aria-label")
 #: Elements that lie deeper count as children of the element at this depth, as in browsers.
 DEPTH = 512
 
-STEP = "struct<ord:int,tag:string,id:string,cls:string,role:string,attrs:map<string,string>>"
-SCHEMA = f"page_id bigint, url string, ord int, tag string, attrs map<string,string>, text string, next_text string, parent_text string, path array<{STEP}>"
+_ELEMENT = (
+    "ord int, last int, parent int, tag string, attrs map<string,string>, start int, length int, next_start int, next_length int, parent_start int, parent_length int,"
+    " marks bigint, inside bigint, near array<int>"
+)
+SCHEMA = f"page_id bigint, url string, said binary, elements array<struct<{', '.join(f.replace(' ', ': ', 1) for f in _ELEMENT.split(', '))}>>"
 
 
 class _Node:
-    __slots__ = ("ord", "tag", "attrs", "parent", "next", "last", "start", "stop", "path")
-
-    def __init__(self, order: int, tag: str, attrs: dict[str, str], parent: _Node | None, start: int):
-        self.ord, self.tag, self.attrs, self.parent, self.start, self.stop = order, tag, attrs, parent, start, start
-        self.next = self.last = self.path = None
-
-    def steps(self) -> list[dict]:
-        """The ancestors from the root and the element itself."""
-        chain, node = [], self
-        while node is not None:
-            if node.path is None:
-                a = node.attrs
-                node.path = {"ord": node.ord, "tag": node.tag, "id": a.get("id", ""), "cls": a.get("class", ""), "role": a.get("role", ""), "attrs": [(k, a[k]) for k in MARKS if k in a]}
-            chain.append(node.path)
-            node = node.parent
-        return chain[::-1]
-
-
-def _nodes(page: str) -> tuple[list[_Node], str]:
-    """Elements in document order, with their places in the page's text; end tags may be missing."""
+    __slots__ = ("ord", "tag", "attrs", "parent", "next", "child", "start", "stop", "last", "marks", "inside", "below", "near")
+
+    def __init__(self, order: int, tag: str, attrs: dict[str, str], parent: _Node | None, start: int, selectors: Selectors):
+        self.ord, self.tag, self.attrs, self.parent, self.start, self.stop, self.last = order, tag, attrs, parent, start, start, order
+        self.next = self.child = None
+        above = (parent.below, parent.inside, parent.near) if parent else (0, 0, [None] * len(selectors.closest_bits))
+        self.marks, self.below = selectors.step(tag, attrs, above[0])
+        self.inside, self.near = above[1] | self.marks, above[2]
+        if self.marks and any(self.marks & bit for bit in selectors.closest_bits):
+            self.near = [order if self.marks & bit else old for bit, old in zip(selectors.closest_bits, above[2], strict=True)]
+
+
+def _nodes(page: str, selectors: Selectors) -> tuple[list[_Node], bytes]:
+    """Elements in document order, with their places in the page's text (in octets); end tags may be missing."""
     nodes: list[_Node] = []
     stack: list[_Node] = []
     deeper: dict[str, list[_Node]] = defaultdict(list)  # open elements below DEPTH, which are on no stack
-    said: list[str] = []
+    said: list[bytes] = []
     size = 0
-    root = _Node(-1, "", {}, None, 0)
+    top = None  # the last element without a parent
+
+    def say(text: str) -> None:
+        nonlocal size
+        said.append(text.encode("utf-8", "replace"))
+        size += len(said[-1])
 
     def close(to: int) -> None:
-        for node in [*stack[to:], *(n for nodes in deeper.values() for n in nodes)]:
+        for node in stack[to:]:
+            node.stop, node.last = size, len(nodes) - 1
+        for node in (n for held in deeper.values() for n in held):
             node.stop = size
         del stack[to:]
         deeper.clear()
 
     for before, tag, is_end, rest, content in Scanner(page, RAW):
         if before:
-            said.append(text := html.unescape(before))
-            size += len(text)
+            say(html.unescape(before))
         if not tag:
             continue
         if is_end:
@@ -84,15 +86,17 @@ def _nodes(page: str) -> tuple[list[_Node], str]:
                 if stack[k].tag in HOLDS:
                     break
         parent = stack[-1] if stack else None
-        node = _Node(len(nodes), tag, attributes(rest), parent, size)
-        holder = parent or root
-        if holder.last is not None:
-            holder.last.next = node
-        holder.last = node
+        node = _Node(len(nodes), tag, attributes(rest), parent, size, selectors)
+        before_it = parent.child if parent else top
+        if before_it is not None:
+            before_it.next = node
+        if parent:
+            parent.child = node
+        else:
+            top = node
         nodes.append(node)
         if content is not None:
-            said.append(text := html.unescape(content) if tag in DECODED else content)
-            size += len(text)
+            say(html.unescape(content) if tag in DECODED else content)
             node.stop = size
         elif tag not in VOID and not rest.endswith("/"):
             if len(stack) < DEPTH:
@@ -100,52 +104,59 @@ def _nodes(page: str) -> tuple[list[_Node], str]:
             else:
                 deeper[tag].append(node)
     close(0)
-    return nodes, "".join(said)
+    return nodes, b"".join(said)
 
 
-def page_elements(page: str, tags: frozenset[str], with_neighbours: frozenset[str]) -> list[dict]:
-    """Rows for the wanted tags of one page."""
-    nodes, said = _nodes(page)
+def page_elements(page: str, tags: frozenset[str], marked: int = 0, selectors: Selectors = PAGE) -> tuple[list[dict], bytes]:
+    """Rows for the wanted tags and marks of one page, and the page's text."""
+    nodes, said = _nodes(page, selectors)
     rows = []
     for node in nodes:
-        if node.tag not in tags:
-            continue
-        near = node.tag in with_neighbours
-        rows.append({
-            "ord": node.ord, "tag": node.tag, "attrs": list(node.attrs.items()), "text": said[node.start : node.stop],
-            "next_text": said[node.next.start : node.next.stop] if near and node.next else None,
-            "parent_text": said[node.parent.start : node.parent.stop] if near and node.parent else None, "path": node.steps(),
-        })
-    return rows
-
-
-def ancestors(path: str | Column = "path") -> Column:
-    """A path without the element itself."""
-    path = F.col(path) if isinstance(path, str) else path
-    return F.slice(path, F.lit(1), F.size(path) - 1)
-
-
-def html_elements(pages: DataFrame, tags: tuple[str, ...], with_neighbours: tuple[str, ...] = ()) -> DataFrame:
-    """(page_id, url, html) -> a row for each element of the wanted tags, in document order.
-
-    ``path`` holds the ancestors from the root and the element itself, last; of their attributes only MARKS.
-    ``with_neighbours`` names tags for which the texts of the next sibling and of the parent are given. The table is
-    stored once, so that however many branches a plan has, a page is parsed once. Filter pages before it.
+        if node.tag in tags or node.marks & marked:
+            beside, above = node.next, node.parent
+            rows.append({
+                "ord": node.ord, "last": node.last, "parent": above.ord if above else None, "tag": node.tag, "attrs": list(node.attrs.items()), "start": node.start, "length": node.stop - node.start,
+                "next_start": beside.start if beside else None, "next_length": beside.stop - beside.start if beside else None,
+                "parent_start": above.start if above else None, "parent_length": above.stop - above.start if above else None,
+                "marks": node.marks, "inside": node.inside, "near": node.near,
+            })
+    return rows, said
+
+
+def html_elements(pages: DataFrame, tags: tuple[str, ...], marked: tuple[str, ...] = (), selectors: Selectors = PAGE) -> DataFrame:
+    """(page_id, url, html) -> a row for each element of the wanted tags or of the ``marked`` lists of ``selectors``, in document order.
+
+    ``ord`` numbers all elements of a page, ``last`` is the number of the last one inside: an element lies inside another if its
+    number is over the other's and up to its ``last``. ``marks`` and ``inside`` are bit masks of the lists that the element, or it
+    and what it lies in, are in; ``near`` tells the closest. ``text``, ``next_text`` and ``parent_text`` are the texts of the element, its next
+    sibling and its parent.
+
+    The table is stored once, a row for each page that holds the page's text a single time and its elements as places in
+    it: it grows with the page, however elements nest, and however many branches a plan has, a page is parsed once. Texts are
+    cut out where a plan asks for them. Filter pages before it. Null or empty pages have no elements.
     """
-    wanted, near = frozenset(tags), frozenset(with_neighbours)
-    text, attrs = pa.string(), pa.map_(pa.string(), pa.string())
-    step = pa.struct([("ord", pa.int32()), ("tag", text), ("id", text), ("cls", text), ("role", text), ("attrs", attrs)])
-    kind = pa.schema([("page_id", pa.int64()), ("url", text), ("ord", pa.int32()), ("tag", text), ("attrs", attrs), ("text", text), ("next_text", text), ("parent_text", text), ("path", pa.list_(step))])
+    wanted, bits = frozenset(tags), selectors.mask(*marked)
+    text, attrs, number = pa.string(), pa.map_(pa.string(), pa.string()), pa.int32()
+    kinds = {"tag": text, "attrs": attrs, "marks": pa.int64(), "inside": pa.int64(), "near": pa.list_(number)}
+    element = pa.struct([(f.split(" ")[0], kinds.get(f.split(" ")[0], number)) for f in _ELEMENT.split(", ")])
+    kind = pa.schema([("page_id", pa.int64()), ("url", text), ("said", pa.binary()), ("elements", pa.list_(element))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        size = 0
         for batch in batches:
-            rows: list[dict] = []
             for page_id, url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [{"page_id": page_id, "url": url} | r for r in page_elements(page or "", wanted, near)]
-                if len(rows) > 5000:
+                found, said = page_elements(page or "", wanted, bits, selectors)
+                rows.append({"page_id": page_id, "url": url, "said": said, "elements": found})
+                size += len(found)
+                if size > 5000:
                     yield pa.RecordBatch.from_pylist(rows, kind)
-                    rows = []
+                    rows, size = [], 0
+        if rows:
             yield pa.RecordBatch.from_pylist(rows, kind)
 
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return stored(source.mapInArrow(run, SCHEMA), "elements")
+    rows = stored(source.mapInArrow(run, SCHEMA), "elements").select("page_id", "url", "said", F.explode("elements").alias("e"))
+    cut = lambda at: F.substr("said", F.col(f"e.{at}start") + 1, F.col(f"e.{at}length")).cast("string")
+    places = [F.col(f"e.{c}").alias(c) for c in ("ord", "last", "parent", "tag", "attrs", "marks", "inside", "near")]
+    return rows.select("page_id", "url", *places, cut("").alias("text"), cut("next_").alias("next_text"), cut("parent_").alias("parent_text"))

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import scratch
+
 #: Events of a run that are remembered.
 TAIL = 25
 
@@ -139,10 +141,12 @@ def latest(updates: DataFrame, *keys: str) -> DataFrame:
 def page_extract_stream(pages: DataFrame, extract: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> StreamingQuery:
     """Apply a batch operator to each arrival of pages and append the rows to a Parquet sink, then stop.
 
-    Each batch writes to a folder of its own number, so a repeated batch replaces itself.
+    Each batch writes to a folder of its own number, so a repeated batch replaces itself. What a batch stores on its way
+    is removed with it.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        extract(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        with scratch(batch.sparkSession):
+            extract(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -120,7 +120,7 @@ def test_units(spark):
 )
 def test_title_chain(spark, page, title, source):
     pages = spark.createDataFrame([(1, "https://s.com/p", page)], "page_id long, url string, html string")
-    els = html_elements(pages, ("title", "meta", "link", "script", "h1", "h2", "h3", "b"), ("h3", "b"))
+    els = html_elements(pages, ("title", "meta", "link", "script", "h1", "h2", "h3", "b"))
     row = extract.seo_fields(extract.page_facts(pages, els)).first()
     assert (row.title.value, row.title.source) == (title, source)
 
@@ -128,7 +128,7 @@ def test_title_chain(spark, page, title, source):
 def test_label_heuristic_and_graph_order(spark):
     page = '<h3>Product details</h3><p>A long enough text about the material of it.</p><script type="application/ld+json">{"@graph":[{"@type":"A"},{"@type":"B"}],"@type":"W"}</script><script type="application/ld+json">{oops</script>'
     pages = spark.createDataFrame([(1, "https://s.com/p", page)], "page_id long, url string, html string")
-    els = html_elements(pages, ("h3", "script"), ("h3",))
+    els = html_elements(pages, ("h3", "script"))
     assert extract.label_section_text(els).first().label_text == "A long enough text about the material of it."
     assert [r.t for r in extract.jsonld_nodes(els).orderBy("pos").select(F.get_json_object("node", "$.@type").alias("t")).collect()] == ["A", "B", "W"]
 
@@ -136,7 +136,7 @@ def test_label_heuristic_and_graph_order(spark):
 def test_grid_beats_chrome(spark):
     page = '<div class="upsell"><a href="/products/u1">x</a><a href="/products/u2">x</a><a href="/products/u3">x</a></div><div class="collection--filters-drawer" id="product-grid"><a href="/products/a"></a><a href="/products/b"></a></div>'
     pages = spark.createDataFrame([(1, "https://s.com/c", page), (2, "https://s.com/c", '<nav><a href="/x">x</a></nav>')], "page_id long, url string, html string")
-    got = sorted((r.page_id, r.href) for r in ranking.grid_anchor_select(html_elements(pages, ("a",))).collect())
+    got = sorted((r.page_id, r.href) for r in ranking.grid_anchor_select(html_elements(pages, ("a",), ("grid",))).collect())
     assert got == [(1, "/products/a"), (1, "/products/b"), (2, "/x")]
 
 

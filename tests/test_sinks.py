@@ -1,7 +1,9 @@
 import glob
 import json
+import os
 import tempfile
 
+from shelfwatch import session
 from shelfwatch.sources import sinks, tables
 
 
@@ -20,3 +22,17 @@ def test_sinks_and_image_files(spark):
     header = spark.createDataFrame([("s", "l")], "snapshot_id string, listing_key string")
     sinks.append_snapshot(header, header, f"{folder}/snap")
     assert spark.read.parquet(f"{folder}/snap/items").count() == 1
+
+
+def test_stored_tables_have_an_owner(spark):
+    df = spark.range(5).toDF("k")
+    with session.scratch(spark):
+        inner = session.stored(df, "inner")
+        assert inner.count() == 5
+        place = inner.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert os.path.isdir(place)
+    assert not os.path.exists(place)
+    kept = session.stored(df, "kept")
+    assert kept.count() == 5
+    session.close(spark)
+    assert not os.path.exists(kept.inputFiles()[0].removeprefix("file://"))
