@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 #: White space with the no-break space and the byte order mark.
@@ -24,11 +27,31 @@ def decode_entities(s: Column, ampersand_first: bool = False) -> Column:
     return s
 
 
+def _decomposed() -> tuple[str, str]:
+    """Characters whose full canonical decomposition is a letter or digit of ASCII with marks, what they become, and the marks, which go."""
+    letters = {}
+    for point in range(0x80, 0x3000):
+        bare = re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", chr(point))).lower()
+        if len(bare) == 1 and bare.isascii() and bare.isalnum():
+            letters[chr(point)] = bare
+    return "".join(letters) + "".join(map(chr, range(0x300, 0x370))), "".join(letters.values())
+
+
+#: Worked out from the Unicode tables once: marks, written alone, have nothing that they become and are left out.
+DECOMPOSED = _decomposed()
+
+
 def normalize_for_compare(s: Column) -> Column:
-    """Lower-cased, without the accents of Latin letters, runs of anything but a-z and 0-9 as one space."""
-    with_accents = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīłńňőřśšťūůűźżž"
-    without = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegilnnorsstuuuzzz"
-    return F.trim(F.regexp_replace(F.translate(F.lower(s), with_accents, without), "[^a-z0-9]+", " "))
+    """Lower-cased, without the marks that letters decompose into, runs of anything but a-z and 0-9 as one space.
+
+    A letter that doesn't decompose (as the Polish l with a stroke) is none of a-z.
+    """
+    return F.trim(F.regexp_replace(F.translate(F.lower(s), *DECOMPOSED), "[^a-z0-9]+", " "))
+
+
+def same_name(a: Column, b: Column) -> Column:
+    """Whether two names are equal but for case and accents, in whatever script, by Unicode's collation."""
+    return F.collate(F.trim(a), "UNICODE_CI_AI") == F.collate(F.trim(b), "UNICODE_CI_AI")
 
 
 def srcset_urls(s: Column) -> Column:

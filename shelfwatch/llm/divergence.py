@@ -1,18 +1,21 @@
 """How far the sources of a language differ in their words, in exact whole numbers.
 
-A CountVectorizer for each language, with a least number of documents and no bound on the vocabulary, gives exact sparse
-vectors of documents. They are stored, and sums by group and term are taken from the stored indices and values. A pair
-of groups is evaluated on the terms that one of them has: what both lack is one difference times a number of terms, what
-one lacks needs only how often each value occurs in the other, and what both have is joined by term.
+Terms are cut once and stored by language. A CountVectorizer for each language, with a least number of documents and no
+bound on the vocabulary, finds the terms; put in byte order they give exact sparse vectors of documents. These are stored
+too, and sums by group and term are taken from the stored indices and values. Terms are numbers until the end. A pair of
+groups is evaluated on the terms that one of them has: what both lack is one difference times a number of terms, what one
+lacks needs only how often each value occurs in the other, and what both have is joined by term.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.errors import IllegalArgumentException
-from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import shared_folder
 from .common import ascii_lower, cut_lineage
@@ -23,64 +26,107 @@ ANY_SIZE = 2**31 - 1
 #: Parts per whole of a share, and what is added to each count.
 WHOLE, ADDED = 1_000_000_000, 5
 TOP = 50
+#: Sums that a task holds before it sends them.
+MOST = 4_000_000
 _BREAK = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _VECTORS = "lang string, source string, vector struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
 
 
-def termed(docs: DataFrame) -> DataFrame:
-    """(lang, source, terms): nulls are '', terms are runs of ASCII letters and other characters beyond ASCII, A-Z lower-cased."""
-    terms = F.array_remove(F.split(ascii_lower(F.coalesce("text", F.lit(""))), _BREAK), "")
-    return docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), terms.alias("terms"))
+def _lowered(text: Column) -> Column:
+    """A-Z lower-cased; the quicker function where it does the same, because no other letter has a lower case."""
+    same = (F.octet_length(text) == F.char_length(text)) | ~text.rlike(r"[\x{80}-\x{10ffff}&&[\p{IsUppercase}\p{Lt}\p{Cn}]]")
+    return F.when(same, F.lower(text)).otherwise(ascii_lower(text))
 
 
-def _fitted(rows: DataFrame, min_docs: int):
-    """The language's model; None where no term is in enough documents."""
-    try:
-        return CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=ANY_SIZE).fit(rows)
-    except IllegalArgumentException as error:
-        if "vocabulary size should be > 0" in str(error):
-            return None
-        raise
+def termed(docs: DataFrame, langs: list[str]) -> DataFrame:
+    """(lang, source, text, ...) -> (source, said, part): terms joined by spaces, of documents of ``langs`` that have some, stored by language.
+
+    Terms are runs of ASCII letters and characters beyond ASCII, A-Z lower-cased; ``part`` is the place in ``langs``, from 1.
+    """
+    rows = _read(docs).withColumn("part", F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int")).where("part > 0")
+    said = F.trim(F.regexp_replace(_lowered(F.coalesce("text", F.lit(""))), _BREAK, " "))
+    folder = shared_folder(docs.sparkSession, "terms")
+    rows.select("source", said.alias("said"), "part").write.partitionBy("part").option("compression", "zstd").parquet(folder)
+    return docs.sparkSession.read.schema("source string, said string, part int").parquet(folder).where("said <> ''")
+
+
+def _read(docs: DataFrame) -> DataFrame:
+    """(lang, source, text), null languages and sources as ''."""
+    return docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "text")
+
+
+def _fitted(rows: DataFrame, min_docs: int) -> CountVectorizerModel | None:
+    """The language's model, its terms in byte order; None where no term is in enough documents."""
+    found = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=ANY_SIZE).fit(rows).vocabulary
+    return CountVectorizerModel.from_vocabulary(sorted(found, key=str.encode), "terms", "vector") if found else None
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, indices, values) -> (lang, source, at, n), summed up within the task until there are MOST sums."""
+    groups: dict[tuple[str, str], int] = {}
+    keys, sums = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def rows() -> pa.RecordBatch:
+        names, which = list(groups), pa.array(keys >> 32)
+        columns = [pa.array([n[k] for n in names], pa.string()).take(which) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(sums)], ["lang", "source", "at", "n"])
+
+    for batch in batches:
+        own = [groups.setdefault(g, len(groups)) for g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        which = np.repeat(np.array(own, np.int64), batch.column(2).value_lengths().to_numpy())
+        new = which << 32 | batch.column(2).flatten().to_numpy()
+        keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
+        sums = np.bincount(at, weights=np.concatenate([sums, batch.column(3).flatten().to_numpy()]), minlength=len(keys)).astype(np.int64)
+        if len(keys) > MOST:
+            yield rows()
+            groups, keys, sums = {}, keys[:0], sums[:0]
+    if len(keys):
+        yield rows()
 
 
-def group_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, text, ...) -> (lang, source, term, n) with n > 0, and (lang, v): the kept terms of each language that has some.
+def group_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lang, source, text, ...) -> (lang, source, at, n) with n > 0, the terms (lang, at, term) and (lang, v), how many a language has.
 
     Languages are taken one by one: a table has few of them. The vocabulary passes the driver, as a CountVectorizer's
     does: terms of ``min_docs`` documents at least.
     """
-    spark, rows = docs.sparkSession, termed(docs)
-    langs = [r.lang for r in rows.groupBy("lang").count().where(F.col("count") >= min_docs).orderBy("lang").collect()]
-    models = {lang: _fitted(rows.where(F.col("lang") == lang), min_docs) for lang in langs}
-    models = {lang: model for lang, model in models.items() if model is not None}
-    sizes = spark.createDataFrame([(lang, len(m.vocabulary)) for lang, m in models.items()], "lang string, v long")
+    spark = docs.sparkSession
+    langs = [r.lang for r in _read(docs).groupBy("lang").count().where(F.col("count") >= min_docs).orderBy("lang").collect()]
+    rows = termed(docs, langs).withColumn("terms", F.split("said", " ")) if langs else None
+    found = [(lang, k, _fitted(rows.where(F.col("part") == k), min_docs)) for k, lang in enumerate(langs, 1)]
+    models = {lang: (k, model) for lang, k, model in found if model is not None}
+    sizes = spark.createDataFrame([(lang, len(m.vocabulary)) for lang, (_, m) in models.items()], "lang string, v long")
     if not models:
-        return spark.createDataFrame([], "lang string, source string, term string, n long"), sizes
+        return spark.createDataFrame([], "lang string, source string, at int, n long"), spark.createDataFrame([], "lang string, at int, term string"), sizes
     folder = shared_folder(spark, "vectors")
-    vectors = [m.transform(rows.where(F.col("lang") == lang)).select("lang", "source", "vector") for lang, m in models.items()]
-    reduce(DataFrame.unionByName, vectors).write.parquet(folder)
+    vectors = [m.transform(rows.where(F.col("part") == k)).select(F.lit(lang).alias("lang"), "source", "vector") for lang, (k, m) in models.items()]
+    reduce(DataFrame.unionByName, vectors).write.option("compression", "zstd").parquet(folder)
     stored = spark.read.schema(_VECTORS).parquet(folder)
-    pairs = stored.select("lang", "source", F.explode(F.arrays_zip("vector.indices", "vector.values")).alias("e"))
-    sums = pairs.groupBy("lang", "source", F.col("e.indices").alias("at")).agg(F.sum(F.col("e.values").cast("long")).alias("n"))
-    terms = spark.createDataFrame([(lang, k, t) for lang, m in models.items() for k, t in enumerate(m.vocabulary)], "lang string, at int, term string")
-    return cut_lineage(sums.join(terms, ["lang", "at"]).select("lang", "source", "term", "n")), sizes
+    parts = stored.select("lang", "source", "vector.indices", "vector.values").mapInArrow(_summed, "lang string, source string, at int, n long")
+    sums = parts.groupBy("lang", "source", "at").agg(F.sum("n").alias("n"))
+    listed = [(lang, m.vocabulary) for lang, (_, m) in models.items()]
+    columns = {"lang": pa.array([lang for lang, words in listed for _ in words]), "at": pa.array(np.concatenate([np.arange(len(w)) for _, w in listed]), pa.int32()), "term": pa.array([t for _, words in listed for t in words])}
+    terms = spark.createDataFrame(pa.table(columns))
+    return cut_lineage(sums), terms, sizes
 
 
-def _share(n: str, of: str, v: str) -> F.Column:
+def _share(n: str, of: str, v: str) -> Column:
     """1 + floor(WHOLE * (n + ADDED) / (of + ADDED * v)), in integers of any size."""
     wide = "cast({} as decimal(30, 0))"
-    return F.expr(f"1 + ({wide.format(WHOLE)} * {wide.format(f'{n} + {ADDED}')}) div {wide.format(f'{of} + {ADDED} * {v}')}")
+    large = f"({wide.format(WHOLE)} * {wide.format(f'{n} + {ADDED}')}) div {wide.format(f'{of} + {ADDED} * {v}')}"
+    small = f"({WHOLE}L * ({n} + {ADDED})) div ({of} + {ADDED} * {v})"  # as long as the product fits
+    return F.expr(f"1 + CASE WHEN {n} < {2**62 // WHOLE} THEN {small} ELSE {large} END")
 
 
-def _shares(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, total, v, none) of all groups, and (lang, source, term, n, p) of the terms that a group has; both stored."""
-    counts, sizes = group_counts(docs, min_docs)
-    groups = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct()
+def _shares(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lang, source, total, v, none) of all groups, (lang, source, at, n, p) of the terms that a group has, both stored, and the terms."""
+    counts, terms, sizes = group_counts(docs, min_docs)
+    groups = _read(docs).select("lang", "source").distinct()
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("has"))
     groups = groups.join(sizes, "lang", "left").join(totals, ["lang", "source"], "left").na.fill(0, ["v", "total", "has"])
     groups = cut_lineage(groups.withColumn("none", F.when(F.col("v") > 0, _share("0", "total", "v")).otherwise(F.lit(0).cast("long"))))
     shares = counts.join(groups.select("lang", "source", "total", "v"), ["lang", "source"])
-    return groups, cut_lineage(shares.select("lang", "source", "term", "n", _share("n", "total", "v").alias("p")))
+    return groups, cut_lineage(shares.select("lang", "source", "at", "n", _share("n", "total", "v").alias("p"))), terms
 
 
 def _pairs(groups: DataFrame, shares: DataFrame) -> DataFrame:
@@ -93,9 +139,9 @@ def _pairs(groups: DataFrame, shares: DataFrame) -> DataFrame:
     alone = often.join(two.select("lang", "item", "none2"), "lang").where("source <> item")
     alone = alone.groupBy("lang", "source", "item").agg(F.sum(F.col("k") * F.abs(F.col("p") - F.col("none2"))).alias("alone"))
     # What changes where both have a term.
-    left = shares.join(one.select("lang", "source", "none"), ["lang", "source"]).select("lang", "term", "source", "p", "none")
-    right = left.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("p2"), F.col("none").alias("none2"))
-    both = left.join(right, ["lang", "term"]).where("source < item")
+    left = shares.join(one.select("lang", "source", "none"), ["lang", "source"]).select("lang", "at", "source", "p", "none")
+    right = left.select("lang", "at", F.col("source").alias("item"), F.col("p").alias("p2"), F.col("none").alias("none2"))
+    both = left.join(right, ["lang", "at"]).where("source < item")
     changed = F.abs(F.col("p") - F.col("p2")) - F.abs(F.col("p") - F.col("none2")) - F.abs(F.col("none") - F.col("p2"))
     both = both.groupBy("lang", "source", "item").agg(F.sum(changed).alias("changed"), F.count(F.lit(1)).alias("common"))
     both = cut_lineage(both)
@@ -108,11 +154,11 @@ def _pairs(groups: DataFrame, shares: DataFrame) -> DataFrame:
 
 
 def _terms(groups: DataFrame, shares: DataFrame) -> DataFrame:
-    """(lang, source, item, value): the terms that a group has a larger share of than its language."""
-    whole = shares.groupBy("lang", "term").agg(F.sum("n").alias("n_all"))
+    """(lang, source, at, value): the terms that a group has a larger share of than its language."""
+    whole = shares.groupBy("lang", "at").agg(F.sum("n").alias("n_all"))
     of = groups.groupBy("lang").agg(F.sum("total").alias("total_all"), F.max("v").alias("v"))
-    common = whole.join(F.broadcast(of), "lang").select("lang", "term", _share("n_all", "total_all", "v").alias("q"))
-    return shares.join(common, ["lang", "term"]).where("p > q").select("lang", "source", F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
+    common = whole.join(F.broadcast(of), "lang").select("lang", "at", _share("n_all", "total_all", "v").alias("q"))
+    return shares.join(common, ["lang", "at"]).where("p > q").select("lang", "source", "at", (F.col("p") - F.col("q")).alias("value"))
 
 
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
@@ -125,9 +171,10 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> Dat
     kept term have pairs of value 0; a lone source has no pairs. Repeated rows count each. Other columns are ignored; an empty
     table gives an empty table. Only the vocabulary and the list of languages pass the driver.
     """
-    groups, shares = _shares(docs, min_docs)
-    order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
-    pairs = _pairs(groups, shares).withColumn("rank", F.row_number().over(order))
-    terms = _terms(groups, shares).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    groups, shares, names = _shares(docs, min_docs)
+    order = lambda item: Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), item)
+    pairs = _pairs(groups, shares).withColumn("rank", F.row_number().over(order("item")))
+    terms = _terms(groups, shares).withColumn("rank", F.row_number().over(order("at"))).where(F.col("rank") <= top)  # numbers are in byte order
+    terms = terms.join(names.withColumnRenamed("term", "item"), ["lang", "at"])
     named = [d.select("lang", "source", F.lit(part).alias("part"), "item", F.col("value").cast("long").alias("value"), F.col("rank").cast("int").alias("rank")) for part, d in (("pair", pairs), ("term", terms))]
     return named[0].unionByName(named[1])

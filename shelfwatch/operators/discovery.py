@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import urls as U
 from ..sources.selectors import PAGE
-from ..session import shared_folder, stored
+from ..session import bucketed, stored
 
 # Path patterns of collection pages.
 COLLECTION_PATHS = r"(?i)/(?:collections|category|categories|shop)(?:/|$)"
@@ -63,23 +63,24 @@ def collection_rollup(results: DataFrame, by: str) -> DataFrame:
 def crawl_frontier(links: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
     """(source, target) links and (url) seeds -> (url, round) reached within the rounds, each once.
 
-    A round joins the last frontier with the links and takes away what was visited (an anti-join). Every round is
-    stored in the shared folder and read from there, so a round's plan has one join and one anti-join whatever its
-    number; the walk ends where a frontier is empty. Null ends are ignored; an empty table gives an empty table.
+    A round joins the last frontier with the links and takes away what was visited (an anti-join). Links and visited URLs are
+    stored in buckets by URL, to which each round adds its own rows: so a round shuffles its frontier and what that links to,
+    whatever was visited before. The walk ends where a frontier is empty. Null ends are ignored; an empty table gives an
+    empty table.
     """
-    spark, folder = links.sparkSession, shared_folder(links.sparkSession, "frontier")
-    edges = stored(links.select(F.col("source").alias("url"), "target").where("url is not null and target is not null"), "links")
-    kind = f"url {seeds.schema['url'].dataType.simpleString()}, round int"
-    seeds.select("url").where("url is not null").distinct().withColumn("round", F.lit(0)).write.parquet(f"{folder}/0")
-    done = [f"{folder}/0"]
+    spark = links.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = spark.table(bucketed(links.select(F.col("source").alias("url"), "target").where("url is not null and target is not null"), "links", "url", buckets))
+    start = stored(seeds.select("url").where("url is not null").distinct().withColumn("round", F.lit(0)), "frontier")
+    visited, frontier = bucketed(start, "visited", "url", buckets), start
     for k in range(1, rounds + 1):
-        visited, frontier = (spark.read.schema(kind).parquet(*paths) for paths in (done, done[-1:]))
-        step = frontier.select("url").join(edges, "url").select(F.col("target").alias("url")).distinct()
-        step.join(visited, "url", "left_anti").withColumn("round", F.lit(k)).write.parquet(f"{folder}/{k}")
-        if spark.read.schema(kind).parquet(f"{folder}/{k}").isEmpty():
+        step = frontier.select("url").join(edges, "url").select(F.col("target").alias("url")).repartition(buckets, "url").distinct()
+        frontier = stored(step.join(spark.table(visited), "url", "left_anti").withColumn("round", F.lit(k)), "frontier")
+        if frontier.isEmpty():
             break
-        done.append(f"{folder}/{k}")
-    return spark.read.schema(kind).parquet(*done)
+        frontier.repartition(buckets, "url").write.mode("append").insertInto(visited)
+        spark.catalog.refreshTable(visited)
+    return spark.table(visited)
 
 
 def next_page_url(elements: DataFrame, visited: DataFrame | None = None) -> DataFrame:

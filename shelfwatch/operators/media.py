@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import urls as U
 from ..functions.hashing import edges_of, hamming, ssim_of
 from ..functions.text import srcset_urls
+from ..session import stored
 from ..sources.selectors import PAGE, SCOPE_NAMES
 
 # Parts of URLs of assets that show no product.
@@ -24,6 +26,8 @@ PLACEHOLDER = r"(?i)[<>]|%3c|%3e|\{\{|\}\}|\$\{"
 TIERS = ("jsonld", "og", "img", "picture", "css", "preload")
 #: The largest distance and the least similarities of one group; images kept of a page; the least size and the largest ratio.
 DOUBT = 0.08
+#: How many other hashes one may meet by chance before longer keys are taken.
+CANDIDATES = 16
 DISTANCE, SSIM, EDGES, MOST_IMAGES, LEAST_SIDE, MOST_RATIO = 6, 0.88, 0.9, 30, 300, 3.0
 
 
@@ -196,24 +200,44 @@ def selection_report(groups: DataFrame, modes: DataFrame) -> DataFrame:
     return rows.select("product_id", "ord", kept.alias("kept"), F.when(~kept, F.col("leader")).alias("similar_to"))
 
 
+def agreeing_bands(n: int, max_dist: int = DISTANCE, candidates: int = CANDIDATES) -> int:
+    """How many bands have to agree, so that one of ``n`` random hashes meets few others: more bands make more and longer keys."""
+    for k in range(2, 6):
+        bands = max_dist + k
+        if comb(bands, k) * n / 2 ** (64 * k / bands) <= candidates:
+            return k
+    return 5
+
+
+def hash_candidates(one: DataFrame, agree: int, max_dist: int = DISTANCE) -> DataFrame:
+    """Distinct (id, hash) -> (a, b, x, y): pairs of hashes x < y that agree on ``agree`` of max_dist + agree bands, each pair once."""
+    count = max_dist + agree
+    edges = [round(64 * k / count) for k in range(count + 1)]
+    masks = [((1 << edges[k + 1]) - (1 << edges[k])) for k in range(count)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    chosen = [(sum(1 << k for k in some), signed(sum(masks[k] for k in some))) for some in combinations(range(count), agree)]
+    keys = F.expr("array(" + ", ".join(f"named_struct('bands', {bands}, 'bits', {bits}L)" for bands, bits in chosen) + ")")
+    rows = one.select("id", "hash", F.inline(F.transform(keys, lambda k: F.struct(k["bands"].alias("bands"), F.col("hash").bitwiseAND(k["bits"]).alias("bits")))))
+    other = rows.select(F.col("id").alias("b"), F.col("hash").alias("y"), "bands", "bits")
+    met = rows.select(F.col("id").alias("a"), F.col("hash").alias("x"), "bands", "bits").join(other, ["bands", "bits"]).where("x < y")
+    same = " + ".join(f"CASE WHEN ((x ^ y) & {signed(m)}L) = 0 THEN {1 << k} ELSE 0 END" for k, m in enumerate(masks))
+    met = met.withColumn("rest", F.expr(same))
+    first = F.lit(0)
+    for _ in range(agree):  # a pair counts where it first agrees
+        first = first.bitwiseOR(F.col("rest").bitwiseAND(-F.col("rest")))
+        met = met.withColumn("first", first).withColumn("rest", F.col("rest").bitwiseAND(F.col("rest") - 1))
+        first = F.col("first")
+    return met.where("first = bands").select("a", "b", "x", "y")
+
+
 def near_dup_pairs(hashes: DataFrame, max_dist: int = DISTANCE) -> DataFrame:
     """(id, hash) -> (a, b, distance) of all pairs of distinct hashes within ``max_dist`` bits, with a < b as hashes.
 
-    The hash is cut into max_dist + 2 bands; two hashes in reach agree on two of them, so an equi-join on pairs of
-    bands finds every pair without a cross join. A pair counts where it first agrees, so none is met twice. Images
-    that share a hash are one entry, named by the least id: copies make no pairs.
+    The hash is cut into max_dist + k bands; two hashes in reach agree on k of them, so an equi-join on sets of k bands
+    finds every pair without a cross join. k follows the number of hashes, so that what a random hash meets doesn't grow
+    with the table. Images that share a hash are one entry, named by the least id: copies make no pairs. Null hashes are
+    in no pair; an empty table gives none.
     """
-    one = hashes.groupBy("hash").agg(F.min("id").alias("id"))
-    count = max_dist + 2
-    edges = [round(64 * k / count) for k in range(count + 1)]
-    masks = [((1 << edges[k + 1]) - (1 << edges[k])) for k in range(count)]
-    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = [F.col("hash").bitwiseAND(F.lit(masks[x] | masks[y])) for x, y in combinations(range(count), 2)]
-    rows = one.select("id", "hash", F.posexplode(F.array(*keys)).alias("bands", "bits"))
-    other = rows.select(F.col("id").alias("b"), F.col("hash").alias("_hash"), "bands", "bits")
-    differ = F.col("hash").bitwiseXOR(F.col("_hash"))
-    agreed = F.filter(F.array(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(k)) for k, m in enumerate(masks)]), lambda k: k.isNotNull())
-    first = F.create_map(*[F.lit(v) for n, (x, y) in enumerate(combinations(range(count), 2)) for v in (x * count + y, n)])
-    here = F.element_at(first, F.get(agreed, F.lit(0)) * count + F.get(agreed, F.lit(1))) == F.col("bands")
-    pairs = rows.join(other, ["bands", "bits"]).where(F.col("hash") < F.col("_hash")).withColumn("distance", hamming(F.col("hash"), F.col("_hash")))
-    return pairs.where((F.col("distance") <= max_dist) & here).select(F.col("id").alias("a"), "b", "distance")
+    one = stored(hashes.where("hash is not null").groupBy("hash").agg(F.min("id").alias("id")), "hashes")
+    pairs = hash_candidates(one, agreeing_bands(one.count(), max_dist), max_dist)
+    return pairs.select("a", "b", hamming(F.col("x"), F.col("y")).alias("distance")).where(F.col("distance") <= max_dist)

@@ -96,6 +96,47 @@ def rank_history(headers: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def history_state(rows: DataFrame) -> DataFrame:
+    """Ranks (listing_key, product_key, checked_at, snapshot_id, rank) -> what has to be known of each product to go on.
+
+    First rank, best, worst, sum and number of ranks, and the last two with their time: all of it can be merged.
+    """
+    at = F.struct("checked_at", "snapshot_id", "rank")
+    line = Window.partitionBy("listing_key", "product_key").orderBy("checked_at", "snapshot_id")
+    made = rows.select("listing_key", "product_key", "rank", at.alias("at"), F.lag(at).over(line).alias("before")).groupBy("listing_key", "product_key").agg(
+        F.min("at").alias("first"), F.max(F.struct("at", "before")).alias("last"), F.min("rank").alias("best"), F.max("rank").alias("worst"), F.sum("rank").alias("ranks"), F.count(F.lit(1)).alias("runs")
+    )
+    return made.withColumn("recent", F.filter(F.array("last.at", "last.before"), lambda r: r.isNotNull())).drop("last")
+
+
+def advance_history(state: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A state and the ranks of later snapshots -> (the state with them, their rows of ``rank_history`` but for best, worst and runs).
+
+    Ranks that were there before are not read again: a product's last two stand for them. The new snapshots of a listing must
+    lie behind those of the state; they may be several.
+    """
+    new = rows.select("listing_key", "product_key", "checked_at", "snapshot_id", "rank", F.lit(True).alias("_new"))
+    old = state.select("listing_key", "product_key", F.explode("recent").alias("r")).select("listing_key", "product_key", "r.checked_at", "r.snapshot_id", "r.rank", F.lit(False).alias("_new"))
+    known = state.select("listing_key", "product_key", F.col("first.rank").alias("_first"))
+    line = Window.partitionBy("listing_key", "product_key").orderBy("checked_at", "snapshot_id")
+    seen = old.unionByName(new).select(
+        "listing_key", "product_key", "snapshot_id", "checked_at", "rank", "_new", (F.lag("rank").over(line) - F.col("rank")).alias("delta"), F.first("rank").over(line).alias("_begun"),
+        F.round(F.avg("rank").over(line.rowsBetween(-2, 0)), 6).alias("moving_mean"),
+    ).where("_new")
+    seen = seen.join(known, ["listing_key", "product_key"], "left").withColumn("since_first", F.coalesce("_first", "_begun") - F.col("rank"))
+    added = history_state(rows)
+    both = state.unionByName(added).groupBy("listing_key", "product_key").agg(
+        F.min("first").alias("first"), F.min("best").alias("best"), F.max("worst").alias("worst"), F.sum("ranks").alias("ranks"), F.sum("runs").alias("runs"), F.flatten(F.collect_list("recent")).alias("recent")
+    )
+    last = F.slice(F.reverse(F.array_sort("recent")), 1, 2)
+    return both.withColumn("recent", last), seen.select("listing_key", "product_key", "snapshot_id", "checked_at", "rank", "delta", "since_first", "moving_mean")
+
+
+def with_history(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows of ``advance_history`` with the best and worst rank and the runs of the state: those of ``rank_history``."""
+    return rows.join(state.select("listing_key", "product_key", "best", "worst", "runs"), ["listing_key", "product_key"])
+
+
 def biggest_movers(changes: DataFrame, k: int = 5, by: str = "snapshot_id") -> DataFrame:
     """The ``k`` products that moved most in each run; ties by product_key."""
     order = Window.partitionBy(by).orderBy(F.abs("delta").desc(), "product_key")

@@ -49,11 +49,30 @@ def billable_units_window(events: DataFrame, as_of: str) -> DataFrame:
     return recent.groupBy("user_id").agg(units(5).alias("units_5h"), units(168).alias("units_7d"))
 
 
+#: Microseconds of the buckets that a user's events are dealt into, and of an hour.
+BUCKET, HOUR = 300_000_000, 3_600_000_000
+
+
 def units_before_event(events: DataFrame, hours: int = 5) -> DataFrame:
-    """At each event, its user's billable units in the hours up to it."""
-    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
-    window = Window.partitionBy("user_id").orderBy(seconds).rangeBetween(-hours * 3_600_000_000 + 1, 0)
-    return events.withColumn("units_so_far", F.coalesce(F.sum(F.when(F.col("billable"), F.col("units"))).over(window), F.lit(0)))
+    """At each event, its user's billable units in the hours up to it; further columns stay.
+
+    Whole buckets of five minutes are summed first. What a window holds of its first and last bucket comes from one running
+    sum within the bucket: an event counts from its time on, and is taken off again as many hours later. So one user's events
+    spread over tasks by bucket, and no task holds more of them than two buckets have.
+    """
+    span = hours * HOUR // BUCKET
+    ts = F.unix_micros(F.col("ts").cast("timestamp"))
+    units = F.coalesce(F.when(F.col("billable"), F.col("units")), F.lit(0)).cast("long")
+    rows = events.select("user_id", ts.alias("_at"), units.alias("_units"), F.struct(*events.columns).alias("_row"))
+    rows = rows.withColumn("_bucket", F.floor(F.col("_at") / BUCKET))
+    ended = rows.where("_units <> 0").select("user_id", (F.col("_at") + hours * HOUR).alias("_at"), (-F.col("_units")).alias("_units"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), (F.col("_bucket") + span).alias("_bucket"))
+    inside = Window.partitionBy("user_id", "_bucket").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    running = rows.unionByName(ended).withColumn("_here", F.sum("_units").over(inside)).where("_row is not null")
+    sums = rows.groupBy("user_id", "_bucket").agg(F.sum("_units").alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy("user_id").orderBy("_bucket").rangeBetween(-span, -1))
+    sums = sums.select(F.col("user_id").alias("_user"), F.col("_bucket").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))
+    found = running.join(sums, F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("_bucket") == F.col("_of")))
+    return found.select("_row.*", (F.col("_here") + F.col("_before")).alias("units_so_far"))
 
 
 def topup_balance(ledger: DataFrame, users: DataFrame) -> DataFrame:

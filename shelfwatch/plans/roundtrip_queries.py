@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import urls as U
 from ..operators import extract as E
 from ..operators.snapshots import unique_items
-from ..session import shared_folder
+from ..session import shared_folder, stored
 from ..sources import sinks
 from ..sources.tables import scan_image_files, scan_usage
 from ..streaming import streams
@@ -67,8 +67,8 @@ def snapshots(headers: DataFrame, items: DataFrame) -> DataFrame:
     for part in (headers.where("checked_at < timestamp'1998-01-01'"), headers.where("checked_at >= timestamp'1998-01-01'")):
         own = items.join(part.select("snapshot_id"), "snapshot_id", "left_semi")
         sinks.append_snapshot(part, unique_items(own.unionByName(own.withColumn("rank", F.col("rank") + 100))), folder)
-    back = items.sparkSession.read.parquet(f"{folder}/items")
-    return back.join(items.sparkSession.read.parquet(f"{folder}/snapshots").select("snapshot_id", "item_count"), "snapshot_id").select("snapshot_id", "product_key", "rank", "item_count")
+    headers, back = sinks.read_snapshots(items.sparkSession, folder)
+    return back.join(headers.select("snapshot_id", "item_count"), "snapshot_id").select("snapshot_id", "product_key", "rank", "item_count")
 
 
 def _as_stream(df: DataFrame, folder: str) -> DataFrame:
@@ -84,10 +84,15 @@ def updated(df: DataFrame, name: str, make: Callable[[DataFrame], DataFrame], *k
 
 
 def rank_changes_stream(items: DataFrame) -> DataFrame:
+    """The history comes year by year, each year in any order."""
     source = items.select("listing_key", "snapshot_id", F.col("checked_at").cast("timestamp").alias("checked_at"), "rank", "product_key")
-    # The whole history comes unordered here, so all of it has to be remembered.
-    made = updated(source, "ranks", lambda d: streams.rank_diff_stream(d, 1000), "listing_key", "snapshot_id", "product_key")
-    return made.where("direction is not null")
+    folder, spark = shared_folder(items.sparkSession, "ranks"), items.sparkSession
+    source = stored(source, "ranks")
+    for year in [r.y for r in source.select(F.year("checked_at").alias("y")).distinct().orderBy("y").collect()]:
+        source.where(F.year("checked_at") == year).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    streams.write_updates(streams.rank_diff_stream(stream), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return streams.latest(spark.read.parquet(f"{folder}/out"), "listing_key", "snapshot_id", "product_key").where("direction is not null")
 
 
 def tails_stream(events: DataFrame) -> DataFrame:

@@ -54,6 +54,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def _remove(spark: SparkSession, folders: list[str]) -> None:
     for folder in folders:
+        if folder.startswith("table "):
+            spark.sql(f"DROP TABLE IF EXISTS {folder[6:]}")
+            continue
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     folders.clear()
@@ -79,3 +82,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     folder = shared_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> str:
+    """The rows of ``df`` as a table that is dealt into buckets by ``key``: joins on it need not shuffle it. Gives its name."""
+    folder = shared_folder(df.sparkSession, name)
+    table = f"{name}_{uuid.uuid4().hex}"
+    scratches = getattr(_OPEN, "scratches", None)
+    (scratches[-1] if scratches else _OWNED).append(f"table {table}")
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", folder).saveAsTable(table)
+    return table

@@ -32,7 +32,7 @@ def plain_divergence(rows, least, top):
 
 
 def test_equals_counting_by_hand(spark):
-    rng, words = random.Random(2), ["Abe", "abe", "can", "don", "éß", "ÉSS", "漢字", "漢", "zz-top", "o'er", "a1b", "x_y", "\U0001f600", "é"]
+    rng, words = random.Random(2), ["Abe", "abe", "can", "don", "éß", "ÉSS", "漢字", "漢", "zz-top", "o'er", "a1b", "x_y", "\U0001f600", "é", "ÀB", "ⅣX", "ΑΣ", "ǅ", "\U00010570A", "İI"]
     rows = [(rng.choice(["en", "en", "fr", None]), rng.choice(["s1", "s1", "s2", "S2", "é", None]), " ".join(rng.choices(words, k=rng.randrange(0, 12)))) for _ in range(400)]
     rows += [("xx", "s1", "rare words"), ("xx", "s2", None), ("yy", "s1", ""), ("", "s9", "  \x00 12 [] "), *[("hot", "one", "same text " * 50)] * 40, ("hot", "two", "other"), ("hot", "none", "")]
     docs = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "lang string, source string, text string, rank int, term string, value int")

@@ -165,3 +165,20 @@ def test_near_pairs_equal_brute_force(spark, sf_dir):
     got = {(min(r.a, r.b), max(r.a, r.b)) for r in media.near_dup_pairs(spark.createDataFrame(rows, "id long, hash long")).collect()}
     wanted = {(min(a, b), max(a, b)) for a, x in rows for b, y in rows if x < y and bin((x ^ y) & (2**64 - 1)).count("1") <= 6}
     assert got == wanted and wanted
+
+
+def test_random_hashes_meet_few_others(spark):
+    """What a hash meets by chance stays within bounds from a thousand to a million hashes, and all k find the same pairs."""
+    assert [media.agreeing_bands(n) for n in (1_000, 10**4, 10**5, 10**6, 10**7, 10**8)] == [2, 2, 3, 4, 5, 5]
+    hashes = lambda n: spark.range(n).select("id", F.xxhash64("id").alias("hash"))
+    for n in (2_000, 100_000):
+        met = media.hash_candidates(hashes(n), media.agreeing_bands(n)).count()
+        assert met / n <= media.CANDIDATES / 2 * 1.2
+    near = hashes(300).unionByName(hashes(300).select(F.col("id") + 1000, F.col("hash").bitwiseXOR(F.lit((0b1011001 * 9) << 20))))
+    wanted = None
+    for k in (2, 3, 4, 5):
+        rows = media.hash_candidates(near, k).where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 6).select("a", "b").collect()
+        found = {tuple(sorted(r)) for r in rows}
+        assert len(rows) == len(found) and (wanted is None or found == wanted)
+        wanted = found
+    assert len(wanted) >= 300

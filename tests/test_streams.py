@@ -43,8 +43,28 @@ def test_progress_tail(spark):
     batch = {}
     for r in streams.progress_tail(df, 5).collect():
         batch.setdefault(r.run_id, set()).add(r.seq)
-    got = {r.run_id: {e[0] for e in json.loads(r.tail)} for r in collected(spark, streams.progress_tail_stream(streamed(spark, df), 5), "update", "tails").collect()}
-    assert got == batch
+    assert tails(spark, [rows]) == batch
+    assert tails(spark, [rows[30:], rows[:30]]) == batch  # what comes after a later complete event stays out
+    assert tails(spark, [rows[k::9] for k in range(9)]) == batch
+
+
+def tails(spark, parts, late=None):
+    """The tails after the last trigger; each part is one, and the query is stopped and started anew between two of them."""
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    kind = "run_id string, seq long, phase string, message string" + (", ts timestamp" if late else "")
+    for half in (parts[: len(parts) // 2], parts[len(parts) // 2 :]):
+        for part in half:
+            spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        if half:
+            stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+            streams.write_updates(streams.progress_tail_stream(stream, 5, late), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return {r.run_id: {e[0] for e in json.loads(r.tail)} for r in streams.latest(spark.read.parquet(f"{folder}/out"), "run_id").collect()}
+
+
+def test_silent_runs_are_forgotten(spark):
+    at = lambda day: datetime.datetime(2024, 1, day)
+    parts = [[("a", 1, "x", "m", at(1)), ("a", 2, "complete", "m", at(1)), ("b", 1, "x", "m", at(1))], [("b", 2, "x", "m", at(20))], [("b", 3, "x", "m", at(21))], [("a", 1, "x", "late", at(2)), ("b", 4, "x", "m", at(21))], [("a", 1, "x", "new", at(22))]]
+    assert tails(spark, parts, "2 days") == {"a": {1}, "b": {1, 2, 3, 4}}  # the run is anew, its old number of complete is gone; the late event is dropped
 
 
 @pytest.mark.parametrize("order", ["whole", "parts", "backwards"])
@@ -59,10 +79,12 @@ def test_rank_diff_stream(spark, order):
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     kind = "listing_key string, snapshot_id string, checked_at timestamp, rank int, product_key string"
     parts = [rows] if order == "whole" else [rows[k::7] for k in range(7)] if order == "parts" else [rows[k : k + 8] for k in range(0, len(rows), 8)]
-    for k, part in enumerate(parts):
-        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    streams.write_updates(streams.rank_diff_stream(stream, 10), f"{folder}/out", f"{folder}/state").awaitTermination()
+    for half in (parts[: len(parts) // 2], parts[len(parts) // 2 :]):  # stopped and started anew between them
+        for part in half:
+            spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        if half:
+            stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+            streams.write_updates(streams.rank_diff_stream(stream), f"{folder}/out", f"{folder}/state").awaitTermination()
     found = streams.latest(spark.read.parquet(f"{folder}/out"), "listing_key", "snapshot_id", "product_key").where("direction is not null").collect()
     wanted = set()
     for listing in ("l1", "l2"):
@@ -75,6 +97,19 @@ def test_rank_diff_stream(spark, order):
     assert {tuple(r) for r in found} == wanted
 
 
+def test_snapshots_behind_the_watermark(spark):
+    at = lambda day: datetime.datetime(2024, 1, day)
+    kind = "listing_key string, snapshot_id string, checked_at timestamp, rank int, product_key string"
+    days = [[1], [2], [10], [11], [3, 12], [9, 13]]  # the third comes too late, the ninth doesn't: at that time the watermark is at 7
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for part in days:
+        spark.createDataFrame([("l", f"s{d:02}", at(d), 1 + d % 2, "p") for d in part], kind).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    streams.write_updates(streams.rank_diff_stream(stream, "4 days"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    found = {r.snapshot_id: (r.previous_rank, r.current_rank) for r in streams.latest(spark.read.parquet(f"{folder}/out"), "listing_key", "snapshot_id", "product_key").collect()}
+    assert found == {"s01": (None, 2), "s02": (2, 1), "s09": (1, 2), "s10": (2, 1), "s11": (1, 2), "s12": (2, 1), "s13": (1, 2)}
+
+
 def test_repeats_and_page_stream(spark, sf_dir):
     ledger = view(spark, sf_dir, "credit_ledger").withColumn("ts", F.col("created_at").cast("timestamp"))
     got = collected(spark, streams.idempotent_events(streamed(spark, ledger), "provider_order_id", "400 days"), "append", "once")
