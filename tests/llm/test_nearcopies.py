@@ -48,3 +48,27 @@ def test_large_group_of_near_copies_becomes_one(spark):
     rows = [(k, " ".join(edited(rng, words, 2))) for k in range(300)]  # two of them differ in up to 20 shingles each
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r.doc_id for r in nearcopies.near_dedup(docs).collect()] == [0]
+
+
+def test_recall_in_large_buckets(spark):
+    """Texts that are alike below the threshold share buckets by the hundred; of the planted pairs above it nine in ten at least are linked."""
+    rng = random.Random(8)
+    frame = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(700):
+        words = list(frame)
+        for at in rng.sample(range(15), 3):  # three stretches of their own: about 0.7 alike
+            words[at * 10] = f"own{k}x{at}"
+        rows.append(" ".join(words))
+        rows.append(" ".join([*words[:140], f"end{k}"]))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    root = {r.doc_id: r.component_id for r in nearcopies.near_copy_components(docs).collect()}
+    sets = [plain_shingles(t) for t in rows]
+    alike = [(2 * k, 2 * k + 1) for k in range(700) if 5 * len(sets[2 * k] & sets[2 * k + 1]) >= 4 * len(sets[2 * k] | sets[2 * k + 1])]
+    found = sum(root[a] == root[b] for a, b in alike)
+    assert len(alike) > 600 and found >= 0.9 * len(alike)
+
+
+def test_head_of_many(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "GROUP", 7)
+    test_large_group_of_near_copies_becomes_one(spark)
