@@ -18,7 +18,7 @@ from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import shared_folder
-from .common import ascii_lower, cut_lineage
+from .common import ascii_lower, cut_lineage, sized
 
 MIN_DOCS = 30
 #: The vocabulary's largest possible size: no term is left out.
@@ -29,7 +29,7 @@ TOP = 50
 #: Sums that a task holds before it sends them.
 MOST = 4_000_000
 _BREAK = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_VECTORS = "lang string, source string, vector struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
+_VECTORS = "part int, source string, vector struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
 
 
 def _lowered(text: Column) -> Column:
@@ -62,14 +62,14 @@ def _fitted(rows: DataFrame, min_docs: int) -> CountVectorizerModel | None:
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, indices, values) -> (lang, source, at, n), summed up within the task until there are MOST sums."""
-    groups: dict[tuple[str, str], int] = {}
+    """(part, source, indices, values) -> (part, source, at, n), summed up within the task until there are MOST sums."""
+    groups: dict[tuple[int, str], int] = {}
     keys, sums = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def rows() -> pa.RecordBatch:
         names, which = list(groups), pa.array(keys >> 32)
-        columns = [pa.array([n[k] for n in names], pa.string()).take(which) for k in (0, 1)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(sums)], ["lang", "source", "at", "n"])
+        columns = [pa.array([n[k] for n in names], kind).take(which) for k, kind in enumerate((pa.int32(), pa.string()))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(sums)], ["part", "source", "at", "n"])
 
     for batch in batches:
         own = [groups.setdefault(g, len(groups)) for g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
@@ -85,29 +85,28 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def group_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lang, source, text, ...) -> (lang, source, at, n) with n > 0, the terms (lang, at, term) and (lang, v), how many a language has.
+    """(lang, source, text, ...) -> (part, source, at, n) with n > 0, the terms (part, at, term), and (lang, part, v) with how many a language has.
 
-    Languages are taken one by one: a table has few of them. The vocabulary passes the driver, as a CountVectorizer's
-    does: terms of ``min_docs`` documents at least.
+    Languages are numbered and taken one by one: a table has few of them. The vocabulary passes the driver, as a
+    CountVectorizer's does: terms of ``min_docs`` documents at least.
     """
     spark = docs.sparkSession
     langs = [r.lang for r in _read(docs).groupBy("lang").count().where(F.col("count") >= min_docs).orderBy("lang").collect()]
     rows = termed(docs, langs).withColumn("terms", F.split("said", " ")) if langs else None
     found = [(lang, k, _fitted(rows.where(F.col("part") == k), min_docs)) for k, lang in enumerate(langs, 1)]
-    models = {lang: (k, model) for lang, k, model in found if model is not None}
-    sizes = spark.createDataFrame([(lang, len(m.vocabulary)) for lang, (_, m) in models.items()], "lang string, v long")
+    models = {k: model for _, k, model in found if model is not None}
+    sizes = spark.createDataFrame([(lang, k, len(m.vocabulary)) for lang, k, m in found if m is not None], "lang string, part int, v long")
     if not models:
-        return spark.createDataFrame([], "lang string, source string, at int, n long"), spark.createDataFrame([], "lang string, at int, term string"), sizes
+        return spark.createDataFrame([], "part int, source string, at int, n long"), spark.createDataFrame([], "part int, at int, term string"), sizes
     folder = shared_folder(spark, "vectors")
-    vectors = [m.transform(rows.where(F.col("part") == k)).select(F.lit(lang).alias("lang"), "source", "vector") for lang, (k, m) in models.items()]
+    vectors = [m.transform(rows.where(F.col("part") == k)).select("part", "source", "vector") for k, m in models.items()]
     reduce(DataFrame.unionByName, vectors).write.option("compression", "zstd").parquet(folder)
     stored = spark.read.schema(_VECTORS).parquet(folder)
-    parts = stored.select("lang", "source", "vector.indices", "vector.values").mapInArrow(_summed, "lang string, source string, at int, n long")
-    sums = parts.groupBy("lang", "source", "at").agg(F.sum("n").alias("n"))
-    listed = [(lang, m.vocabulary) for lang, (_, m) in models.items()]
-    columns = {"lang": pa.array([lang for lang, words in listed for _ in words]), "at": pa.array(np.concatenate([np.arange(len(w)) for _, w in listed]), pa.int32()), "term": pa.array([t for _, words in listed for t in words])}
-    terms = spark.createDataFrame(pa.table(columns))
-    return cut_lineage(sums), terms, sizes
+    sums = stored.select("part", "source", "vector.indices", "vector.values").mapInArrow(_summed, "part int, source string, at int, n long")
+    sums = sums.groupBy("part", "source", "at").agg(F.sum("n").alias("n"))
+    listed = [(k, m.vocabulary) for k, m in models.items()]
+    columns = {"part": pa.array(np.concatenate([np.full(len(w), k) for k, w in listed]), pa.int32()), "at": pa.array(np.concatenate([np.arange(len(w)) for _, w in listed]), pa.int32()), "term": pa.array([t for _, words in listed for t in words])}
+    return cut_lineage(sums), spark.createDataFrame(pa.table(columns)), sizes
 
 
 def _share(n: str, of: str, v: str) -> Column:
@@ -119,46 +118,47 @@ def _share(n: str, of: str, v: str) -> Column:
 
 
 def _shares(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lang, source, total, v, none) of all groups, (lang, source, at, n, p) of the terms that a group has, both stored, and the terms."""
+    """The groups (gid, lang, source, part, total, v, has, none), the terms that each has (gid, part, at, n, p, none), both stored, and the terms' names.
+
+    ``none`` is the share of a term that the group lacks.
+    """
     counts, terms, sizes = group_counts(docs, min_docs)
     groups = _read(docs).select("lang", "source").distinct()
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("has"))
-    groups = groups.join(sizes, "lang", "left").join(totals, ["lang", "source"], "left").na.fill(0, ["v", "total", "has"])
-    groups = cut_lineage(groups.withColumn("none", F.when(F.col("v") > 0, _share("0", "total", "v")).otherwise(F.lit(0).cast("long"))))
-    shares = counts.join(groups.select("lang", "source", "total", "v"), ["lang", "source"])
-    return groups, cut_lineage(shares.select("lang", "source", "at", "n", _share("n", "total", "v").alias("p"))), terms
+    totals = counts.groupBy("part", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("has"))
+    groups = groups.join(sizes, "lang", "left").join(totals, ["part", "source"], "left").na.fill(0, ["v", "total", "has"])
+    none = F.when(F.col("v") > 0, _share("0", "total", "v")).otherwise(F.lit(0).cast("long"))
+    groups = cut_lineage(groups.withColumn("none", none).withColumn("gid", F.monotonically_increasing_id()))  # numbers last, as they are stored
+    known = sized(groups.select("gid", "part", "source", "total", "v", "none"))
+    shares = counts.join(known, ["part", "source"]).select("gid", "part", "at", "n", _share("n", "total", "v").alias("p"), "none")
+    return groups, cut_lineage(shares), terms
 
 
 def _pairs(groups: DataFrame, shares: DataFrame) -> DataFrame:
-    """(lang, source, item, value): the sum over the language's terms of the differences of shares, for each two sources."""
-    one = groups.select("lang", "source", "v", "has", "none")
-    two = groups.select("lang", F.col("source").alias("item"), F.col("has").alias("has2"), F.col("none").alias("none2"))
-    pairs = one.join(two, "lang").where("source <> item")
+    """(gid, gid2, value): the sum over the language's terms of the differences of shares, for each two groups of it."""
+    two = groups.select("lang", "part", F.col("gid").alias("gid2"), F.col("has").alias("has2"), F.col("none").alias("none2"))
+    pairs = groups.join(two.drop("part"), "lang").where("gid <> gid2")
     # What a group's terms differ by from a group that has none of them, from how often each share occurs.
-    often = shares.groupBy("lang", "source", "p").agg(F.count(F.lit(1)).alias("k"))
-    alone = often.join(two.select("lang", "item", "none2"), "lang").where("source <> item")
-    alone = alone.groupBy("lang", "source", "item").agg(F.sum(F.col("k") * F.abs(F.col("p") - F.col("none2"))).alias("alone"))
+    often = shares.groupBy("gid", "part", "p").agg(F.count(F.lit(1)).alias("k"))
+    alone = often.join(two.select("part", "gid2", "none2"), "part").where("gid <> gid2")
+    alone = cut_lineage(alone.groupBy("gid", "gid2").agg(F.sum(F.col("k") * F.abs(F.col("p") - F.col("none2"))).alias("alone")))
     # What changes where both have a term.
-    left = shares.join(one.select("lang", "source", "none"), ["lang", "source"]).select("lang", "at", "source", "p", "none")
-    right = left.select("lang", "at", F.col("source").alias("item"), F.col("p").alias("p2"), F.col("none").alias("none2"))
-    both = left.join(right, ["lang", "at"]).where("source < item")
+    left = shares.select("part", "at", "gid", "p", "none")
+    both = left.join(left.toDF("part", "at", "gid2", "p2", "none2"), ["part", "at"]).where("gid < gid2")
     changed = F.abs(F.col("p") - F.col("p2")) - F.abs(F.col("p") - F.col("none2")) - F.abs(F.col("none") - F.col("p2"))
-    both = both.groupBy("lang", "source", "item").agg(F.sum(changed).alias("changed"), F.count(F.lit(1)).alias("common"))
-    both = cut_lineage(both)
-    both = both.unionByName(both.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "changed", "common"))
-    found = pairs.join(alone, ["lang", "source", "item"], "left")
-    found = found.join(alone.toDF("lang", "item", "source", "alone2"), ["lang", "source", "item"], "left").join(both, ["lang", "source", "item"], "left")
+    both = cut_lineage(both.groupBy("gid", "gid2").agg(F.sum(changed).alias("changed"), F.count(F.lit(1)).alias("common")))
+    both = both.unionByName(both.toDF("gid2", "gid", "changed", "common"))
+    found = pairs.join(alone, ["gid", "gid2"], "left").join(alone.toDF("gid2", "gid", "alone2"), ["gid", "gid2"], "left").join(both, ["gid", "gid2"], "left")
     found = found.na.fill(0, ["alone", "alone2", "changed", "common"])
     lacking = (F.col("v") - F.col("has") - F.col("has2") + F.col("common")) * F.abs(F.col("none") - F.col("none2"))
-    return found.select("lang", "source", "item", (F.col("alone") + F.col("alone2") + F.col("changed") + lacking).alias("value"))
+    return found.select("gid", "gid2", (F.col("alone") + F.col("alone2") + F.col("changed") + lacking).alias("value"))
 
 
 def _terms(groups: DataFrame, shares: DataFrame) -> DataFrame:
-    """(lang, source, at, value): the terms that a group has a larger share of than its language."""
-    whole = shares.groupBy("lang", "at").agg(F.sum("n").alias("n_all"))
-    of = groups.groupBy("lang").agg(F.sum("total").alias("total_all"), F.max("v").alias("v"))
-    common = whole.join(F.broadcast(of), "lang").select("lang", "at", _share("n_all", "total_all", "v").alias("q"))
-    return shares.join(common, ["lang", "at"]).where("p > q").select("lang", "source", "at", (F.col("p") - F.col("q")).alias("value"))
+    """(gid, part, at, value): the terms that a group has a larger share of than its language."""
+    whole = shares.groupBy("part", "at").agg(F.sum("n").alias("n_all"))
+    of = groups.groupBy("part").agg(F.sum("total").alias("total_all"), F.max("v").alias("v"))
+    common = whole.join(F.broadcast(of), "part").select("part", "at", _share("n_all", "total_all", "v").alias("q"))
+    return shares.join(common, ["part", "at"]).where("p > q").select("gid", "part", "at", (F.col("p") - F.col("q")).alias("value"))
 
 
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
@@ -172,9 +172,10 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> Dat
     table gives an empty table. Only the vocabulary and the list of languages pass the driver.
     """
     groups, shares, names = _shares(docs, min_docs)
-    order = lambda item: Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), item)
-    pairs = _pairs(groups, shares).withColumn("rank", F.row_number().over(order("item")))
-    terms = _terms(groups, shares).withColumn("rank", F.row_number().over(order("at"))).where(F.col("rank") <= top)  # numbers are in byte order
-    terms = terms.join(names.withColumnRenamed("term", "item"), ["lang", "at"])
-    named = [d.select("lang", "source", F.lit(part).alias("part"), "item", F.col("value").cast("long").alias("value"), F.col("rank").cast("int").alias("rank")) for part, d in (("pair", pairs), ("term", terms))]
-    return named[0].unionByName(named[1])
+    named = groups.select("gid", "lang", "source")
+    ranked = lambda rows, item: rows.withColumn("rank", F.row_number().over(Window.partitionBy("gid").orderBy(F.col("value").desc(), item)))
+    pairs = ranked(_pairs(groups, shares).join(named.select(F.col("gid").alias("gid2"), F.col("source").alias("item")), "gid2"), "item")
+    terms = ranked(_terms(groups, shares), "at").where(F.col("rank") <= top)  # numbers are in byte order
+    terms = terms.join(names.withColumnRenamed("term", "item"), ["part", "at"])
+    columns = lambda rows, part: rows.join(named, "gid").select("lang", "source", F.lit(part).alias("part"), "item", F.col("value").cast("long").alias("value"), F.col("rank").cast("int").alias("rank"))
+    return columns(pairs, "pair").unionByName(columns(terms, "term"))
