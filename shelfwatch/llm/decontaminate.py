@@ -3,8 +3,9 @@
 An item with n distinct shingles of which at least a share t must lie in a document may miss n - ceil(t n) of
 them. So of its n - ceil(t n) + 1 least shingle hashes (a bottom-k MinHash whose k follows the item's size) at
 least one lies in every document that contains it: the search loses nothing, however long the document is.
-Items are partitioned by size and a document is held only against items that its own size can contain. Then
-the shingles themselves are compared. Everything is DataFrame functions.
+Each item is in a size class, the power of two below its size, and a hit counts only in a document that is large enough
+for the class: a filter on hits by size; the tables themselves are not dealt by it. Then the shingles themselves are
+compared. Everything is DataFrame functions.
 """
 
 from __future__ import annotations
