@@ -174,7 +174,7 @@ def test_random_hashes_meet_few_others(spark):
     for n in (2_000, 100_000):
         met = media.hash_candidates(hashes(n), media.agreeing_bands(n)).count()
         assert met / n <= media.CANDIDATES / 2 * 1.2
-    near = hashes(300).unionByName(hashes(300).select(F.col("id") + 1000, F.col("hash").bitwiseXOR(F.lit((0b1011001 * 9) << 20))))
+    near = hashes(300).unionByName(hashes(300).select((F.col("id") + 1000).alias("id"), F.col("hash").bitwiseXOR(F.lit((0b1011001 * 9) << 20)).alias("hash")))
     wanted = None
     for k in (2, 3, 4, 5):
         rows = media.hash_candidates(near, k).where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 6).select("a", "b").collect()
