@@ -1,10 +1,10 @@
 """How far the sources of a language differ in their words, in exact whole numbers.
 
 Terms are cut once and stored by language. A CountVectorizer for each language, with a least number of documents and no
-bound on the vocabulary, finds the terms; put in byte order they give exact sparse vectors of documents. These are stored
-too, and sums by group and term are taken from the stored indices and values. Terms are numbers until the end. A pair of
-groups is evaluated on the terms that one of them has: what both lack is one difference times a number of terms, what one
-lacks needs only how often each value occurs in the other, and what both have is joined by term.
+bound on the vocabulary, finds the terms; put in byte order they give exact sparse vectors of documents, whose indices and
+values are summed by group, within a task first. The sums are stored. Terms are numbers until the end. A pair of groups is
+evaluated on the terms that one of them has: what both lack is one difference times a number of terms, what one lacks
+needs only how often each value occurs in the other, and what both have is joined by term.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ TOP = 50
 #: Sums that a task holds before it sends them.
 MOST = 4_000_000
 _BREAK = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_VECTORS = "part int, source string, vector struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
 
 
 def _lowered(text: Column) -> Column:
@@ -98,11 +97,9 @@ def group_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame,
     sizes = spark.createDataFrame([(lang, k, len(m.vocabulary)) for lang, k, m in found if m is not None], "lang string, part int, v long")
     if not models:
         return spark.createDataFrame([], "part int, source string, at int, n long"), spark.createDataFrame([], "part int, at int, term string"), sizes
-    folder = shared_folder(spark, "vectors")
-    vectors = [m.transform(rows.where(F.col("part") == k)).select("part", "source", "vector") for k, m in models.items()]
-    reduce(DataFrame.unionByName, vectors).write.option("compression", "zstd").parquet(folder)
-    stored = spark.read.schema(_VECTORS).parquet(folder)
-    sums = stored.select("part", "source", "vector.indices", "vector.values").mapInArrow(_summed, "part int, source string, at int, n long")
+    vectors = [m.transform(rows.where(F.col("part") == k)).select("part", "source", F.unwrap_udt("vector").alias("vector")) for k, m in models.items()]
+    sparse = reduce(DataFrame.unionByName, vectors).select("part", "source", "vector.indices", "vector.values")
+    sums = sparse.mapInArrow(_summed, "part int, source string, at int, n long")
     sums = sums.groupBy("part", "source", "at").agg(F.sum("n").alias("n"))
     listed = [(k, m.vocabulary) for k, m in models.items()]
     columns = {"part": pa.array(np.concatenate([np.full(len(w), k) for k, w in listed]), pa.int32()), "at": pa.array(np.concatenate([np.arange(len(w)) for _, w in listed]), pa.int32()), "term": pa.array([t for _, words in listed for t in words])}
