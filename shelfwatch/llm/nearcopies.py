@@ -1,13 +1,13 @@
 """Near copies by wording: what SimHash links, and texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-MinHash bands find candidates and the exact similarity of the texts confirms them, so no pair is linked wrongly: members go
-to the text that they are compared to, which is sent once for each GROUP of them. A pair
+MinHash bands find candidates and the exact similarity of the texts confirms them, so no pair is linked wrongly. A pair
 at the threshold shares no band with a probability of 3 in a million, a closer one still more rarely. Buckets of one
-member are left out; the others are stored. A member is compared to the head that it shares most buckets with first, which
-is the same document for most of a group, then to the other heads of its buckets; then each is compared to those of the NEAR members before it that are in another
-class still. Buckets up to NEAR + 1 members so have all their pairs compared. In larger ones the order is another in
-each band, so a member meets up to BANDS times as many; not every pair of theirs is compared. Pairs within a class are
-never made, so a large group of copies makes one pair for each member and head.
+member are left out; the others are stored. A member is first compared to the head that it shares most buckets with, which
+is the same document for most of a group: members go to the text that they are compared to, which is sent once for each
+GROUP of them. Buckets that hold several classes even then are compared whole, whatever their size: members meet in
+blocks, one for each pair of chunks, and prefix filtering finds in a block each pair at the threshold without
+trying all. So every two texts that share a bucket are in one class or have been compared. Pairs within a class are never
+made, so a large group of copies makes one pair for each member.
 """
 
 from __future__ import annotations
@@ -17,17 +17,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import cut_lineage, sized
 from .components import connected_components
 from .simhash import drop_copies, simhash_components
 
 SHINGLE_WORDS = 5
-#: MinHash bands and values in each; neighbours that a member of a large bucket is compared to.
-BANDS, ROWS, NEAR = 32, 5, 8
-#: Texts that are compared to one other in a task.
-GROUP = 512
+#: MinHash bands and values in each.
+BANDS, ROWS = 32, 5
+#: Texts that are compared to one other in a task, and the shingles of a block.
+GROUP, BLOCK = 512, 1 << 19
 _RNG = np.random.default_rng(42)
 FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -77,18 +77,6 @@ def buckets(sketched: DataFrame) -> DataFrame:
     return cut_lineage(shared.select("key", "doc_id", "size"))
 
 
-def _pairs(members: DataFrame, classes: DataFrame, order: Column, met) -> DataFrame:
-    """Distinct pairs (a, b, u, v) of members of a bucket that ``met`` brings together, of different classes u and v and fit sizes."""
-    own = F.struct("doc_id", "size", "root")
-    rows = members.join(classes, "doc_id")
-    other = F.array(*met(own, Window.partitionBy("key").orderBy(order, "doc_id")))
-    fit = lambda m: (m["root"] != F.col("root")) & (5 * F.least(m["size"], F.col("size")) >= 4 * F.greatest(m["size"], F.col("size")))
-    rows = rows.withColumn("met", other).select("doc_id", "root", F.explode(F.filter("met", fit)).alias("m"))
-    ordered = F.col("doc_id") < F.col("m.doc_id")
-    ends = [F.when(ordered, x).otherwise(y) for x, y in ((F.col("doc_id"), F.col("m.doc_id")), (F.col("m.doc_id"), F.col("doc_id")), (F.col("root"), F.col("m.root")), (F.col("m.root"), F.col("root")))]
-    return rows.select(*[e.alias(n) for e, n in zip(ends, ("a", "b", "u", "v"), strict=True)]).distinct()
-
-
 def lead_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Each member with the one head that it shares most buckets with: in a large group of copies that settles nearly all."""
     own = F.struct("doc_id", "size", "root")
@@ -99,19 +87,6 @@ def lead_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
     return best.select("best.a", "b", "best.u", "v")
 
 
-def star_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members with the heads of their buckets; heads are chosen alike in all buckets. The head is ``a``."""
-    found = _pairs(members, classes, F.xxhash64("doc_id"), lambda own, w: [F.first(own).over(w)])
-    first = F.struct(F.xxhash64("a"), "a") <= F.struct(F.xxhash64("b"), "b")
-    ends = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    return found.select(ends("a", "b").alias("a"), ends("b", "a").alias("b"), "u", "v")
-
-
-def near_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members with the NEAR ones before them, in an order of each bucket's own."""
-    return _pairs(members, classes, F.xxhash64("key", "doc_id"), lambda own, w: [F.lag(own, k).over(w) for k in range(1, NEAR + 1)])
-
-
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, chunk, part, text, u, v) by the first three: links (u, v) of members (part 1) that are like the text before them (part 0)."""
     at, heads = None, []
@@ -146,6 +121,92 @@ def _confirmed(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return texts.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "part").mapInArrow(_alike, "u long, v long")
 
 
+def block_links(sets: list[np.ndarray], roots: np.ndarray, sides: np.ndarray) -> list[tuple[int, int]]:
+    """Links (root, root) that join the classes of all sets with a similarity of 0.8 or more; of sets on two sides, only those across.
+
+    Sets at the threshold share one of their rarest shingles, as many as each may lack and one more. The largest class asks
+    nothing: others ask for its members.
+    """
+    sizes = np.array([len(s) for s in sets])
+    starts = np.r_[0, np.cumsum(sizes)]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    kinds, ids, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((ids, often[ids], owner))  # each set's shingles, the rarest first
+    prefix = order[(np.arange(len(order)) - starts[owner] < (sizes - -(-4 * sizes // 5) + 1)[owner]) & (often[ids[order]] > 1)]
+    prefix = prefix[np.argsort(ids[prefix], kind="stable")]
+    bearers, first = owner[prefix], np.searchsorted(ids[prefix], np.arange(len(kinds) + 1))
+    asked = prefix[np.argsort(owner[prefix], kind="stable")]
+    mine = np.searchsorted(owner[asked], np.arange(len(sets) + 1))
+    names, root = np.unique(roots, return_inverse=True)
+    largest = int(np.bincount(root).argmax())
+    across, class_of, links = len(np.unique(sides)) > 1, root.copy(), []
+    has, marked = np.zeros(len(kinds), bool), np.zeros(len(sets), bool)
+    for x in np.nonzero(root != largest)[0].tolist():
+        for k in ids[asked[mine[x] : mine[x + 1]]].tolist():
+            marked[bearers[first[k] : first[k + 1]]] = True
+        met = np.nonzero(marked)[0]
+        marked[met] = False
+        fit = (class_of[met] != class_of[x]) & ((met < x) | (root[met] == largest)) & (5 * np.minimum(sizes[met], sizes[x]) >= 4 * np.maximum(sizes[met], sizes[x]))
+        met = met[fit & (sides[met] != sides[x])] if across else met[fit]
+        if not len(met):
+            continue
+        own = ids[starts[x] : starts[x + 1]]
+        has[own] = True
+        common = np.add.reduceat(has[np.concatenate([ids[starts[y] : starts[y + 1]] for y in met.tolist()])].astype(np.int64), np.r_[0, np.cumsum(sizes[met])[:-1]])
+        has[own] = False
+        for y in met[5 * common >= 4 * (sizes[met] + sizes[x] - common)].tolist():
+            if class_of[y] != class_of[x]:
+                links.append((int(names[root[x]]), int(names[root[y]])))
+                class_of[class_of == class_of[y]] = class_of[x]
+    return links
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (head, lo, hi, side, root, text) by the first three -> links (u, v) of the classes of each block."""
+
+    def links(held: list) -> pa.RecordBatch:
+        sets, roots, sides = zip(*held, strict=True)
+        found = block_links(list(sets), np.array(roots, np.int64), np.array(sides, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array([link[k] for link in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    at, held = None, []
+    for part in (batch.slice(k, 64) for batch in batches for k in range(0, batch.num_rows, 64)):
+        for head, lo, hi, side, root, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            if (head, lo, hi) != at:
+                if len(held) > 1:
+                    yield links(held)
+                at, held = (head, lo, hi), []
+            found = shingles(text)
+            if len(found):
+                held.append((found, root, side))
+    if len(held) > 1:
+        yield links(held)
+
+
+def unsettled(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(head, lo, hi, side, doc_id, root): the members of buckets that hold several classes, dealt into blocks.
+
+    Buckets with the same head make one group, so that a text travels once for each of them. A group over BLOCK shingles
+    is dealt into chunks, and each pair of chunks is a block.
+    """
+    rows = members.join(classes, "doc_id")
+    head = F.min_by("doc_id", F.struct(F.xxhash64("doc_id"), "doc_id")).alias("head")  # chosen alike in all buckets
+    several = rows.groupBy("key").agg(head, F.min("root").alias("u"), F.max("root").alias("v")).where("u <> v").select("key", "head")
+    met = cut_lineage(rows.join(sized(cut_lineage(several)), "key").select("head", "doc_id", "size", "root").distinct())
+    large = met.groupBy("head").agg(F.sum("size").alias("total")).where(F.col("total") > BLOCK)
+    large = cut_lineage(large.select("head", F.ceil(2 * F.col("total") / BLOCK).cast("long").alias("chunks")))
+    dealt = met.join(sized(large), "head", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    return dealt.select("head", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "doc_id", "root")
+
+
+def _block_links(dealt: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of ``unsettled`` -> (u, v) of the classes that are alike; known has (doc_id, text)."""
+    texts = known.join(sized(cut_lineage(dealt)), "doc_id").select("head", "lo", "hi", "side", "root", "text")
+    return texts.repartition("head", "lo", "hi").sortWithinPartitions("head", "lo", "hi").mapInArrow(_in_blocks, "u long, v long")
+
+
 def near_copy_components(docs: DataFrame) -> DataFrame:
     """(doc_id, text, ...) -> distinct (doc_id, component_id); rows without a doc_id are left out.
 
@@ -169,8 +230,8 @@ def near_copy_components(docs: DataFrame) -> DataFrame:
     same = same.join(classes, "doc_id").join(classes.toDF("first", "other"), "first").where("root <> other")
     classes = merged(same.select(F.col("root").alias("u"), F.col("other").alias("v")).distinct())
     members = buckets(sketched)
-    for made in (lead_pairs, star_pairs, near_pairs):
-        classes = merged(_confirmed(cut_lineage(made(members, classes)), known))
+    classes = merged(_confirmed(cut_lineage(lead_pairs(members, classes)), known))
+    classes = merged(_block_links(unsettled(members, classes), known))
     return classes.select("doc_id", F.col("root").alias("component_id"))
 
 

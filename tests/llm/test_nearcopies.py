@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
 from shelfwatch.llm import nearcopies, simhash
 
@@ -72,3 +75,42 @@ def test_recall_in_large_buckets(spark):
 def test_head_of_many(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "GROUP", 7)
     test_large_group_of_near_copies_becomes_one(spark)
+
+
+def joined(root, links):
+    for u, v in links:
+        new, old = sorted((root[u], root[v]))
+        root = {d: new if r == old else r for d, r in root.items()}
+    return root
+
+
+def scattered(rng, n):
+    """Texts that differ from one frame in two words: most pairs are about 0.65 alike, few are at 0.8, and all share large buckets."""
+    frame = [f"w{k}" for k in range(100)]
+    return [" ".join(edited(rng, frame, 2)) for _ in range(n)]
+
+
+def alike(sets):
+    return [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+
+
+@pytest.mark.parametrize("block", [1 << 19, 6000])
+def test_large_buckets_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
+    rows = list(enumerate(scattered(random.Random(11), 500)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    least = {r.doc_id: r.component_id for r in simhash.simhash_components(docs).collect()}
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copy_components(docs).collect()}
+    assert got == joined(least, alike([plain_shingles(t) for _, t in rows]))
+
+
+def test_block_links_equal_brute_force():
+    rng = random.Random(12)
+    texts = scattered(rng, 200) + ["one two", "three"]
+    sets, found = [plain_shingles(t) for t in texts], [nearcopies.shingles(t) for t in texts]
+    roots = [1000 + 7 * (k if k % 3 else 0) for k in range(len(texts))]  # a class of many members, the others alone
+    for sides in ([0] * len(texts), [rng.randrange(2) for _ in texts]):
+        pairs = [(roots[a], roots[b]) for a, b in alike(sets) if sides[a] != sides[b] or not any(sides)]
+        links = nearcopies.block_links(found, np.array(roots), np.array(sides))
+        start = {r: r for r in roots}
+        assert joined(start, links) == joined(start, pairs) and len(links) == len(start) - len(set(joined(start, pairs).values()))
