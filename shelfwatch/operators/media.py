@@ -28,6 +28,8 @@ TIERS = ("jsonld", "og", "img", "picture", "css", "preload")
 DOUBT = 0.08
 #: How many other hashes one may meet by chance before longer keys are taken.
 CANDIDATES = 16
+#: The same where a meeting is only a comparison, and a key a shuffled row.
+MEETINGS = 4096
 DISTANCE, SSIM, EDGES, MOST_IMAGES, LEAST_SIDE, MOST_RATIO = 6, 0.88, 0.9, 30, 300, 3.0
 
 
@@ -200,44 +202,64 @@ def selection_report(groups: DataFrame, modes: DataFrame) -> DataFrame:
     return rows.select("product_id", "ord", kept.alias("kept"), F.when(~kept, F.col("leader")).alias("similar_to"))
 
 
-def agreeing_bands(n: int, max_dist: int = DISTANCE, candidates: int = CANDIDATES) -> int:
+def agreeing_bands(n: int, max_dist: int = DISTANCE, candidates: int = CANDIDATES, bits: int = 64) -> int:
     """How many bands have to agree, so that one of ``n`` random hashes meets few others: more bands make more and longer keys."""
     for k in range(2, 6):
         bands = max_dist + k
-        if comb(bands, k) * n / 2 ** (64 * k / bands) <= candidates:
+        if comb(bands, k) * n / 2 ** (bits * k / bands) <= candidates:
             return k
     return 5
 
 
-def hash_candidates(one: DataFrame, agree: int, max_dist: int = DISTANCE) -> DataFrame:
-    """Distinct (id, hash) -> (a, b, x, y): pairs of hashes x < y that agree on ``agree`` of max_dist + agree bands, each pair once."""
-    count = max_dist + agree
-    edges = [round(64 * k / count) for k in range(count + 1)]
-    masks = [((1 << edges[k + 1]) - (1 << edges[k])) for k in range(count)]
+def _masks(count: int, varying: int) -> list[int]:
+    """The bits that vary, in ``count`` bands of about the same width."""
+    places = [b for b in range(64) if varying >> b & 1]
+    edges = [round(len(places) * k / count) for k in range(count + 1)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    chosen = [(sum(1 << k for k in some), signed(sum(masks[k] for k in some))) for some in combinations(range(count), agree)]
+    return [signed(sum(1 << b for b in places[edges[k] : edges[k + 1]])) for k in range(count)]
+
+
+def _meetings(one: DataFrame, masks: list[int], agree: int) -> DataFrame:
+    """Distinct (id, hash) -> (a, b, x, y, bands): pairs of hashes x < y for every set of ``agree`` bands that they agree on.
+
+    Never a broadcast: Spark takes the size of the rows for that of the hashes that they are made from, and a hash makes dozens
+    of them. Both sides are one shuffle.
+    """
+    chosen = [(sum(1 << k for k in some), sum(masks[k] for k in some)) for some in combinations(range(len(masks)), agree)]
     keys = F.expr("array(" + ", ".join(f"named_struct('bands', {bands}, 'bits', {bits}L)" for bands, bits in chosen) + ")")
     rows = one.select("id", "hash", F.inline(F.transform(keys, lambda k: F.struct(k["bands"].alias("bands"), F.col("hash").bitwiseAND(k["bits"]).alias("bits")))))
     other = rows.select(F.col("id").alias("b"), F.col("hash").alias("y"), "bands", "bits")
-    met = rows.select(F.col("id").alias("a"), F.col("hash").alias("x"), "bands", "bits").join(other, ["bands", "bits"]).where("x < y")
-    same = " + ".join(f"CASE WHEN ((x ^ y) & {signed(m)}L) = 0 THEN {1 << k} ELSE 0 END" for k, m in enumerate(masks))
-    met = met.withColumn("rest", F.expr(same))
-    first = F.lit(0)
-    for _ in range(agree):  # a pair counts where it first agrees
-        first = first.bitwiseOR(F.col("rest").bitwiseAND(-F.col("rest")))
-        met = met.withColumn("first", first).withColumn("rest", F.col("rest").bitwiseAND(F.col("rest") - 1))
-        first = F.col("first")
-    return met.where("first = bands").select("a", "b", "x", "y")
+    met = rows.select(F.col("id").alias("a"), F.col("hash").alias("x"), "bands", "bits").hint("merge").join(other.hint("merge"), ["bands", "bits"])
+    return met.where("x < y")
+
+
+def _counts(masks: list[int]) -> Column:
+    """A pair counts where it first agrees: on the bands of this set, and up to the last of them on no others."""
+    same = " + ".join(f"CASE WHEN ((x ^ y) & {m}L) = 0 THEN {1 << k} ELSE 0 END" for k, m in enumerate(masks))
+    reach = F.col("bands")
+    for step in (1, 2, 4, 8):
+        reach = reach.bitwiseOR(F.shiftright(reach, step))
+    return F.expr(same).bitwiseAND(reach) == F.col("bands")
+
+
+def hash_candidates(one: DataFrame, agree: int, max_dist: int = DISTANCE, varying: int = (1 << 64) - 1) -> DataFrame:
+    """Distinct (id, hash) -> (a, b, x, y): pairs of hashes x < y that agree on ``agree`` of max_dist + agree bands, each pair once."""
+    masks = _masks(max_dist + agree, varying)
+    return _meetings(one, masks, agree).where(_counts(masks)).select("a", "b", "x", "y")
 
 
 def near_dup_pairs(hashes: DataFrame, max_dist: int = DISTANCE) -> DataFrame:
     """(id, hash) -> (a, b, distance) of all pairs of distinct hashes within ``max_dist`` bits, with a < b as hashes.
 
     The hash is cut into max_dist + k bands; two hashes in reach agree on k of them, so an equi-join on sets of k bands
-    finds every pair without a cross join. k follows the number of hashes, so that what a random hash meets doesn't grow
-    with the table. Images that share a hash are one entry, named by the least id: copies make no pairs. Null hashes are
-    in no pair; an empty table gives none.
+    finds every pair without a cross join. Bits that are the same in all hashes are in no band. k follows the number of hashes, so
+    that what a random hash meets stays within MEETINGS: to compare two costs far less than to shuffle one. Images that share a hash
+    are one entry, named by the least id: copies make no pairs. Null hashes are in no pair; an empty table gives none.
     """
     one = stored(hashes.where("hash is not null").groupBy("hash").agg(F.min("id").alias("id")), "hashes")
-    pairs = hash_candidates(one, agreeing_bands(one.count(), max_dist), max_dist)
-    return pairs.select("a", "b", hamming(F.col("x"), F.col("y")).alias("distance")).where(F.col("distance") <= max_dist)
+    seen = one.agg(F.count(F.lit(1)).alias("n"), F.bit_or("hash").alias("some"), F.bit_and("hash").alias("all")).first()
+    varying = ((seen.some or 0) ^ (seen.all or 0)) & ((1 << 64) - 1)
+    agree = agreeing_bands(seen.n, max_dist, MEETINGS, varying.bit_count())
+    masks = _masks(max_dist + agree, varying)
+    distance = hamming(F.col("x"), F.col("y"))
+    return _meetings(one, masks, agree).where(distance <= max_dist).where(_counts(masks)).select("a", "b", distance.alias("distance"))
