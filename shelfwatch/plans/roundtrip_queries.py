@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import urls as U
 from ..operators import extract as E
 from ..operators.snapshots import unique_items
-from ..session import shared_folder, stored
+from ..session import scratch, shared_folder, stored
 from ..sources import sinks
 from ..sources.tables import scan_image_files, scan_usage
 from ..streaming import streams
@@ -18,6 +18,7 @@ from .registry import ORACLE_SQL, register
 from .snapshot_queries import CHANGES
 from .stream_queries import PROGRESS, stamped
 from .url_text import _host
+from .views import view_over
 
 def seo_json(pages: DataFrame) -> DataFrame:
     folder = shared_folder(pages.sparkSession, "seo")
@@ -61,13 +62,22 @@ def image_files(documents: DataFrame) -> DataFrame:
     return found.groupBy(F.regexp_extract("path", "file=([0-9]+)", 1).cast("long").alias("file")).agg(F.sum("bytes").alias("bytes"), F.sum(F.length("content")).alias("read"))
 
 
-def snapshots(headers: DataFrame, items: DataFrame) -> DataFrame:
-    """Two runs are appended: the items, and the same again further down, which ``unique_items`` leaves out."""
-    folder = shared_folder(items.sparkSession, "snapshots")
-    for part in (headers.where("checked_at < timestamp'1998-01-01'"), headers.where("checked_at >= timestamp'1998-01-01'")):
-        own = items.join(part.select("snapshot_id"), "snapshot_id", "left_semi")
-        sinks.append_snapshot(part, unique_items(own.unionByName(own.withColumn("rank", F.col("rank") + 100))), folder)
-    headers, back = sinks.read_snapshots(items.sparkSession, folder)
+def snapshots(sales: DataFrame) -> DataFrame:
+    """Two runs are appended: the items, and the same again further down, which ``unique_items`` leaves out.
+
+    Sales are dealt by listing and month while they are narrow, so that ranking them deals out nothing. Items are worked out and stored
+    once, and the headers counted from there. A run's items are dealt by snapshot before they are doubled, so ``unique_items`` deals
+    out nothing either. What is stored on the way goes when both runs are written.
+    """
+    spark = sales.sparkSession
+    folder = shared_folder(spark, "snapshots")
+    with scratch(spark):
+        items = stored(view_over(spark, "rank_items", sales=sales.repartition("listing_key", "ym")), "items")
+        headers = stored(view_over(spark, "rank_snapshots", rank_items=items), "headers")
+        for part in (headers.where("checked_at < timestamp'1998-01-01'"), headers.where("checked_at >= timestamp'1998-01-01'")):
+            own = items.join(part.select("snapshot_id"), "snapshot_id", "left_semi").repartition("snapshot_id")
+            sinks.append_snapshot(part, unique_items(own.withColumn("rank", F.explode(F.array("rank", F.col("rank") + 100)))), folder)
+    headers, back = sinks.read_snapshots(spark, folder)
     return back.join(headers.select("snapshot_id", "item_count"), "snapshot_id").select("snapshot_id", "product_key", "rank", "item_count")
 
 
@@ -130,7 +140,7 @@ WITH m AS (SELECT page_id, {_host("url")} AS domain, CAST(length(html) AS INT) A
 SELECT page_id, domain, chars, CAST(len(found) AS INT) AS metas, CASE page_id % 8 WHEN 5 THEN 1 WHEN 6 THEN 3 ELSE 0 END AS nodes, array_to_string(found, '|') AS contents FROM m""")
 register("scan_usage", ("usage_events",), usage_files, "SELECT event_id, user_id, ts, units, billable FROM usage_events WHERE endpoint = 'view'")
 register("scan_image_files", ("documents",), image_files, "SELECT doc_id % 40 AS file, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS read FROM documents GROUP BY 1")
-register("append_snapshot", ("rank_snapshots", "rank_items"), snapshots, "SELECT snapshot_id, product_key, min(rank) AS rank, max(item_count) AS item_count FROM rank_items JOIN rank_snapshots USING (snapshot_id) GROUP BY snapshot_id, product_key")
+register("append_snapshot", ("rank_snapshots", "rank_items", "sales"), lambda h, i, s: snapshots(s), "SELECT snapshot_id, product_key, min(rank) AS rank, max(item_count) AS item_count FROM rank_items JOIN rank_snapshots USING (snapshot_id) GROUP BY snapshot_id, product_key")
 register("rank_diff_stream", ("rank_items", "rank_snapshots"), lambda i, h: rank_changes_stream(i), f"WITH {CHANGES} SELECT pairs.listing_key, snapshot_id, product_key, CAST(previous_rank AS BIGINT) AS previous_rank, CAST(current_rank AS BIGINT) AS current_rank, direction FROM changes JOIN pairs USING (snapshot_id)")
 register("page_extract_stream", ("page_seo",), page_stream, f"WITH {FACTS} SELECT page_id, value, source FROM (SELECT page_id, {TITLE} FROM f)")
 

@@ -156,9 +156,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the driver or a view over them."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = VIEWS[name]
-    used = {n: view(spark, sf_dir, n) for n in set(re.findall(r"\{(\w+)\}", text))}
-    return spark.sql(re.sub(r"\{(?!\w+\})", "{{", re.sub(r"(?<!\{)\}", "}}", re.sub(r"\{(\w+)\}", r"<<\1>>", text))).replace("<<", "{").replace(">>", "}"), **used)
+    return view_over(spark, name, **{n: view(spark, sf_dir, n) for n in set(re.findall(r"\{(\w+)\}", VIEWS[name]))})
+
+
+def view_over(spark: SparkSession, name: str, **used: DataFrame) -> DataFrame:
+    """A view over the given tables, which stand for those that it names."""
+    return spark.sql(re.sub(r"\{(?!\w+\})", "{{", re.sub(r"(?<!\{)\}", "}}", re.sub(r"\{(\w+)\}", r"<<\1>>", VIEWS[name]))).replace("<<", "{").replace(">>", "}"), **used)
 
 
 def with_views(sql: str, *names: str) -> str:
