@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import urls as U
 from ..operators import extract as E
 from ..operators.snapshots import unique_items
-from ..session import scratch, shared_folder, stored
+from ..session import freed_shuffles, scratch, shared_folder, stored
 from ..sources import sinks
 from ..sources.tables import scan_image_files, scan_usage
 from ..streaming import streams
@@ -71,7 +71,7 @@ def snapshots(sales: DataFrame) -> DataFrame:
     """
     spark = sales.sparkSession
     folder = shared_folder(spark, "snapshots")
-    with scratch(spark):
+    with scratch(spark), freed_shuffles(spark):
         items = stored(view_over(spark, "rank_items", sales=sales.repartition("listing_key", "ym")), "items")
         headers = stored(view_over(spark, "rank_snapshots", rank_items=items), "headers")
         for part in (headers.where("checked_at < timestamp'1998-01-01'"), headers.where("checked_at >= timestamp'1998-01-01'")):

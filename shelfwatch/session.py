@@ -72,6 +72,18 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _remove(spark, _OPEN.scratches.pop())
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffles of what is written inside the block are removed once it is written, not whenever the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def close(spark: SparkSession) -> None:
     """Remove all tables that were stored for this session; frames that read them can't be used any more."""
     _remove(spark, _OWNED)

@@ -2,6 +2,7 @@
 
 import glob
 import tempfile
+import time
 
 from pyspark.sql import functions as F
 
@@ -53,3 +54,16 @@ def test_a_large_bucket_is_written_by_several_tasks(spark):
         spark.conf.set(name, before)
     assert len(glob.glob(f"{path}/items/*/*/*.parquet")) > 1
     assert [d.count() for d in sinks.read_snapshots(spark, path)] == [1, 40_000]
+
+
+def test_no_shuffle_outlives_the_writes(spark, sf_dir):
+    """Shuffles of finished writes lay on disk until the driver's next collection."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffles = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before = shuffles()
+    catalog.QUERIES["append_snapshot"](spark, sf_dir)
+    end = time.time() + 10
+    while shuffles() - before and time.time() < end:  # they are removed in the background
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") in (None, "false")
