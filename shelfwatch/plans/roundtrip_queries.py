@@ -66,8 +66,8 @@ def snapshots(sales: DataFrame) -> DataFrame:
     """Two runs are appended: the items, and the same again further down, which ``unique_items`` leaves out.
 
     Sales are dealt by listing and month while they are narrow, so that ranking them deals out nothing. Items are worked out and stored
-    once, and the headers counted from there. A run's items are dealt by snapshot before they are doubled, so ``unique_items`` deals
-    out nothing either. What is stored on the way goes when both runs are written.
+    once, and the headers counted from there. A run's items are dealt by ranges of snapshots, which begin with their listing, before they
+    are doubled, so neither ``unique_items`` nor the writer deals them out. What is stored on the way goes when both runs are written.
     """
     spark = sales.sparkSession
     folder = shared_folder(spark, "snapshots")
@@ -75,8 +75,8 @@ def snapshots(sales: DataFrame) -> DataFrame:
         items = stored(view_over(spark, "rank_items", sales=sales.repartition("listing_key", "ym")), "items")
         headers = stored(view_over(spark, "rank_snapshots", rank_items=items), "headers")
         for part in (headers.where("checked_at < timestamp'1998-01-01'"), headers.where("checked_at >= timestamp'1998-01-01'")):
-            own = items.join(part.select("snapshot_id"), "snapshot_id", "left_semi").repartition("snapshot_id")
-            sinks.append_snapshot(part, unique_items(own.withColumn("rank", F.explode(F.array("rank", F.col("rank") + 100)))), folder)
+            own = items.join(part.select("snapshot_id"), "snapshot_id", "left_semi").repartitionByRange("snapshot_id")
+            sinks.append_snapshot(part, unique_items(own.withColumn("rank", F.explode(F.array("rank", F.col("rank") + 100)))), folder, dealt=True)
     headers, back = sinks.read_snapshots(spark, folder)
     return back.join(headers.select("snapshot_id", "item_count"), "snapshot_id").select("snapshot_id", "product_key", "rank", "item_count")
 

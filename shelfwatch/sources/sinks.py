@@ -35,15 +35,16 @@ def _replace(rows: DataFrame, path: str, *parts: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
-def append_snapshot(header: DataFrame, items: DataFrame, path: str) -> None:
+def append_snapshot(header: DataFrame, items: DataFrame, path: str, dealt: bool = False) -> None:
     """Append snapshots: items in folders by batch and by a hash of the listing, and then their headers.
 
     A header marks a whole snapshot: until it is written, ``read_snapshots`` doesn't see the items. The batch is named by its
     snapshots, so an append that broke, or comes twice, is simply repeated: what it had written is replaced. A large bucket is
-    written by several tasks.
+    written by several tasks. Items that are ``dealt`` already, so that a task has those of a few listings, are not dealt again.
     """
     batch, deal = F.lit(_digest(header)), F.pmod(F.xxhash64("listing_key"), F.lit(BUCKETS)).cast("int")
-    _replace(items.withColumn("batch", batch).withColumn("bucket", deal).hint("rebalance", "bucket"), f"{path}/items", "batch", "bucket")
+    rows = items.withColumn("batch", batch).withColumn("bucket", deal)
+    _replace(rows if dealt else rows.hint("rebalance", "bucket"), f"{path}/items", "batch", "bucket")
     _replace(header.withColumn("batch", batch), f"{path}/snapshots", "batch")
 
 
